@@ -35,7 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heatlattice/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # The table stands for itself from here on, so its shuffle files can go as soon as it is written.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path
     return out
@@ -45,11 +52,10 @@ _PATHS: dict[int, str] = {}
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later step reads, and let Spark drop shuffle files that nothing refers to."""
+    """Delete a staged table that no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(df)))
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
 
 
 def remainder(doc_id: str, modulus: int):

@@ -3,10 +3,13 @@
 A document's set holds the 64-bit hashes of its distinct n-word shingles. Equal sets collapse to one class first. All
 sets follow one global token order, commonest tokens last (frequencies from a sketch of fixed size; the order only steers
 the work, any order is exact), so that two sets within the threshold share a token among the first
-n - ceil(t * n) + 1 of each. Classes that share such a token are first compared with the smallest class of the token;
-the links found make the groups. The token-group matrix then holds, for each token, the groups whose union of leading
-tokens has it, with their smallest and largest set; a class opens a group only if it is another group, shares a token
-with its union, and the group's sizes allow the threshold. Only members of opened groups that share a token are compared.
+p(n) = n - ceil(t * n) + 1 of each. A class is first compared with one other, the smallest class of most of its leading
+tokens; the links found make the groups. The token-group matrix then holds, for each token, the groups whose union of
+leading tokens has it, with their smallest and largest set. Of two sets whose leading tokens share c, the one whose last
+leading token comes first overlaps the other in at most c + n - p(n); so a class opens a group only if it is another
+group and the tokens it shares with the group's union can reach the threshold for a set of the group's sizes, and within
+an opened group only the members that pass the same bound are compared. This repeats with the groups grown by the links,
+one member of each opened group at first, then all, until no comparison is left that could join two groups.
 Comparisons that could only repeat a known connection are never made, so groups of copies cost linear work.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are their own component; with fewer words
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, bitmap, components, in_bitmap, mix, portions, staged, utf8, word_hashes, words
+from .common import LOWER, U64, bitmap, components, discard, in_bitmap, mix, portions, staged, utf8, word_hashes, words
 
 SKETCH_BITS, BLOCK = 20, 1 << 15
 PORTION = 1 << 20
@@ -200,12 +203,14 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits = spark.sparkContext.broadcast(bitmap(ids.mapInArrow(_scramble(), "key long"), "key", 24))
     sets = docs.select("doc_id", "text").mapInArrow(_sets_of(width, bits), "id long, elements binary")
-    sets = staged(sets.join(ids, "id", "left_semi"), "sets")
+    sets = staged(sets, "sets")
     spreads = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("spread"))
     heads = spreads.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), "elements")
     others = pairs.join(spreads, "a").join(sets, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("spread")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "elements")
     met = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return staged(met.mapInArrow(_compared(percent), "a long, b long"), "links")
+    out = staged(met.mapInArrow(_compared(percent), "a long, b long"), "links")
+    discard(sets)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -219,31 +224,55 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     leading = slim.mapInArrow(_leading(width, percent, levels), "doc_id long, n long, digest binary, tokens array<bigint>")
     classes = leading.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     by_token = Window.partitionBy("token").orderBy("id")
-    met = (
-        classes.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
-        .withColumns({"a": F.first("id").over(by_token), "a_n": F.first("n").over(by_token)})
-        .where("a < id")
-    )
-    met = staged(met.select("token", "id", "n", "pos", "a", "a_n"), "tokens")
+    met = classes.select("id", "n", F.array_max("tokens").alias("last"), F.explode("tokens").alias("token"))
+    met = met.withColumns({"head": F.first("id").over(by_token), "head_n": F.first("n").over(by_token), "before": F.lag("id").over(by_token), "after": F.lead("id").over(by_token)})
+    met = staged(met.where("before is not null or after is not null").drop("before", "after"), "tokens")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    stars = staged(met.where(fits(F.col("n"), F.col("a_n"))).select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = _links(slim, stars, width, percent)
+    least_overlap = lambda x, y: F.ceil((percent * (x + y)) / F.lit(100.0 + percent) - 1e-9)
+    rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
+    stars = met.where((F.col("head") < F.col("id")) & fits(F.col("n"), F.col("head_n"))).groupBy("id", "head").agg(F.count("*").alias("c"))
+    stars = stars.groupBy("id").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("a"))
+    done = staged(stars.select("a", F.col("id").alias("b")), "pairs")
+    links = _links(slim, done, width, percent)
 
-    # The groups that the stars have made, and the matrix of tokens by groups.
     group = components(links, "a", "b")
-    members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("grp"))
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    members = staged(members.join(shared, "token", "left_semi"), "members")
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = members.select("token", "id", "n", F.col("grp").alias("own"))
-    opened = queries.join(matrix, "token").where((F.col("grp") < F.col("own")) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
-    inside = members.select("token", "grp", F.col("id").alias("other"), F.col("n").alias("other_n"))
-    pairs = opened.join(inside, ["token", "grp"]).where(fits(F.col("n"), F.col("other_n")) & (F.col("id") != F.col("other")))
-    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = staged(pairs, "pairs")
-    if pairs.limit(1).count():
-        group = components(links.unionByName(_links(slim, pairs, width, percent)), "a", "b")
+    for turn in range(3):  # the last round compares all that is left
+        # The groups so far, and the matrix of tokens by groups.
+        members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", F.coalesce("component", "id").alias("grp"))
+        shared = members.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
+        members = staged(members.join(shared, "token", "left_semi"), "members")
+        matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        n = F.col("n")
+        opened = (
+            members.select("token", "id", "n", F.col("grp").alias("own"))
+            .join(matrix, "token")
+            .where((F.col("grp") < F.col("own")) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least")))
+            .groupBy("id", "n", "grp")
+            .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+            .where(F.col("c") >= F.least(least_overlap(n, F.col("least")) - rest(n), least_overlap(n, F.col("most")) - rest(F.col("most"))))
+            .select("id", "grp")
+        )
+        asked = members.select("token", "id", "n", "last").join(opened, "id")
+        inside = members.select("token", "grp", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"))
+        o = F.col("other_n")
+        pairs = (
+            asked.join(inside, ["token", "grp"])
+            .where(fits(n, o))
+            .groupBy("id", "n", "last", "grp", "other", "other_n", "other_last")
+            .agg(F.count("*").alias("c"))
+            .where(F.col("c") >= least_overlap(n, o) - F.when(F.col("last") == F.col("other_last"), F.least(rest(n), rest(o))).when(F.col("last") < F.col("other_last"), rest(n)).otherwise(rest(o)))
+            .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "id", "grp", "c")
+            .join(done, ["a", "b"], "left_anti")
+        )
+        if turn < 2:  # most groups join by one link
+            pairs = pairs.groupBy("id", "grp").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("best")).select("best.*")
+        pairs = staged(pairs.select("a", "b").distinct(), "pairs")
+        discard(members)
+        if not pairs.limit(1).count():
+            break
+        links = links.unionByName(_links(slim, pairs, width, percent))
+        done = done.unionByName(pairs)
+        group = components(links, "a", "b")
 
     reps = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     labelled = reps.join(group, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("label"))
