@@ -236,7 +236,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     links = _links(slim, done, width, percent)
 
     group = components(links, "a", "b")
-    for turn in range(3):  # the last round compares all that is left
+    for turn in range(2):  # the second turn compares all that is left
         # The groups so far, and the matrix of tokens by groups.
         members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", F.coalesce("component", "id").alias("grp"))
         shared = members.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
@@ -264,7 +264,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "id", "grp", "c")
             .join(done, ["a", "b"], "left_anti")
         )
-        if turn < 2:  # most groups join by one link
+        if turn < 1:  # most groups join by one link
             pairs = pairs.groupBy("id", "grp").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("best")).select("best.*")
         pairs = staged(pairs.select("a", "b").distinct(), "pairs")
         discard(members)
