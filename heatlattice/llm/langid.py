@@ -92,7 +92,7 @@ class Model:
                 hashes = self._hash(names, m - 1)
                 order = np.argsort(hashes)
                 self.contexts.append(hashes[order])
-                self.weights.append(np.log(np.array([heads[c] for c in names]).reshape(len(names), -1)[order]).astype(np.float32))
+                self.weights.append(np.log(np.array([heads[c] for c in names]).reshape(len(names), len(self.languages))[order]).astype(np.float32))
             else:
                 self.top = np.log(np.array(heads.get("", [1.0] * len(self.languages))))
         del self._tables
