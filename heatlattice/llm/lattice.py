@@ -266,7 +266,7 @@ def _split(head):
                     spot = np.searchsorted(keys, h)
                     spot[spot == len(keys)] = 0
                     hit = keys[spot] == h if len(keys) else np.zeros(len(h), bool)
-                    total = lambda v, r=row[hit], s=spot[hit], n=n: np.bincount(r, weights=v[s], minlength=n)
+                    total = lambda v, r=row[hit], s=spot[hit], n=n: np.bincount(r, weights=v[s], minlength=n).astype(float)
                     lines = task + line + np.arange(n)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(lines), batch.column("doc_id").slice(i, n), batch.column("train").slice(i, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)), pa.array(total(known).astype(np.int64)), pa.array(total(logs)), pa.array(total(lattice)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
