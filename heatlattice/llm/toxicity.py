@@ -264,11 +264,12 @@ def draw(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, to
     known = known.where(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)))
     h = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    ids = known.withColumn("h", h).where(
-        F.when(F.col("toxic") == 1, F.col("h") < int((1 << 40) * min(1.0, toxic / max(1, n.get(1, 0))))).otherwise(F.col("h") < int((1 << 40) * min(1.0, clean / max(1, n.get(0, 0)))))
-    )
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("h", "doc_id", "text", "toxic").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    out, left = [], {1: int(1.2 * toxic), 0: int(1.2 * clean)}
+    left = {1: int(1.2 * toxic), 0: int(1.2 * clean)}
+    drawn = [known.where(F.col("toxic") == x).withColumn("h", h).where(F.col("h") < int((1 << 40) * min(1.0, size / max(1, n.get(x, 0))))).orderBy("h", "doc_id").limit(left[x]) for x, size in ((1, toxic), (0, clean))]
+    # At most `left` ids reach every task, and at most twice as many rows the driver, however often an id is repeated.
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    rows = rows.orderBy("h", "doc_id", F.xxhash64("text")).limit(2 * sum(left.values())).select("text", "toxic").toArrow()
+    out = []
     for t, x in zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True):
         if left[x] > 0:
             left[x] -= 1
