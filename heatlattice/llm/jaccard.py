@@ -8,7 +8,8 @@ tokens; the links found make the groups. The token-group matrix then holds, for
 leading tokens has it, with their smallest and largest set. Of two sets whose leading tokens share c, the one whose last
 leading token comes first overlaps the other in at most c + n - p(n); so a class opens a group only if it is another
 group and the tokens it shares with the group's union can reach the threshold for a set of the group's sizes, and within
-an opened group only the members that pass the same bound are compared. This repeats with the groups grown by the links,
+an opened group only the members that pass the same bound are compared. A token counts only where the shared tokens ahead
+of it and the elements behind it, on both sides, leave room for that overlap. This repeats with the groups grown by the links,
 one member of each opened group at first, then all, until no comparison is left that could join two groups.
 Comparisons that could only repeat a known connection are never made, so groups of copies cost linear work.
 
@@ -224,12 +225,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     leading = slim.mapInArrow(_leading(width, percent, levels), "doc_id long, n long, digest binary, tokens array<bigint>")
     classes = leading.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     by_token = Window.partitionBy("token").orderBy("id")
-    met = classes.select("id", "n", F.array_max("tokens").alias("last"), F.explode("tokens").alias("token"))
-    met = met.withColumns({"head": F.first("id").over(by_token), "head_n": F.first("n").over(by_token), "before": F.lag("id").over(by_token), "after": F.lead("id").over(by_token)})
-    met = staged(met.where("before is not null or after is not null").drop("before", "after"), "tokens")
+    met = classes.select("id", "n", F.array_max("tokens").alias("last"), F.posexplode("tokens").alias("at", "token"))
+    met = met.withColumn("behind", F.col("n") - F.col("at") - 1).withColumns({"head": F.first("id").over(by_token), "head_n": F.first("n").over(by_token), "before": F.lag("id").over(by_token), "after": F.lead("id").over(by_token)})
+    met = met.where("before is not null or after is not null").drop("before", "after", "at")
+    # Elements ahead of a token that another class leads with too, and all elements behind it.
+    met = staged(met.withColumn("ahead", F.row_number().over(Window.partitionBy("id").orderBy("token")) - 1), "tokens")
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     least_overlap = lambda x, y: F.ceil((percent * (x + y)) / F.lit(100.0 + percent) - 1e-9)
     rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
+    # Two sets that both lead with a token share at most what is ahead of it in both, itself, and what is behind it in both.
+    within = lambda a, b, x, y: F.least("ahead", a) + 1 + F.least("behind", b) >= least_overlap(x, y)
     stars = met.where((F.col("head") < F.col("id")) & fits(F.col("n"), F.col("head_n"))).groupBy("id", "head").agg(F.count("*").alias("c"))
     stars = stars.groupBy("id").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("a"))
     done = staged(stars.select("a", F.col("id").alias("b")), "pairs")
@@ -238,26 +243,27 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     group = components(links, "a", "b")
     for turn in range(2):  # the second turn compares all that is left
         # The groups so far, and the matrix of tokens by groups.
-        members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", F.coalesce("component", "id").alias("grp"))
+        members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", "ahead", "behind", F.coalesce("component", "id").alias("grp"))
         shared = members.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
         members = staged(members.join(shared, "token", "left_semi"), "members")
-        matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("ahead").alias("g_ahead"), F.max("behind").alias("g_behind"))
         n = F.col("n")
         opened = (
-            members.select("token", "id", "n", F.col("grp").alias("own"))
+            members.select("token", "id", "n", "ahead", "behind", F.col("grp").alias("own"))
             .join(matrix, "token")
             .where((F.col("grp") < F.col("own")) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least")))
+            .where(within("g_ahead", "g_behind", n, F.greatest("least", F.ceil(percent * n / F.lit(100.0) - 1e-9))))
             .groupBy("id", "n", "grp")
             .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
             .where(F.col("c") >= F.least(least_overlap(n, F.col("least")) - rest(n), least_overlap(n, F.col("most")) - rest(F.col("most"))))
             .select("id", "grp")
         )
-        asked = members.select("token", "id", "n", "last").join(opened, "id")
-        inside = members.select("token", "grp", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"))
+        asked = members.select("token", "id", "n", "last", "ahead", "behind").join(opened, "id")
+        inside = members.select("token", "grp", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"), F.col("ahead").alias("other_ahead"), F.col("behind").alias("other_behind"))
         o = F.col("other_n")
         pairs = (
             asked.join(inside, ["token", "grp"])
-            .where(fits(n, o))
+            .where(fits(n, o) & within("other_ahead", "other_behind", n, o))
             .groupBy("id", "n", "last", "grp", "other", "other_n", "other_last")
             .agg(F.count("*").alias("c"))
             .where(F.col("c") >= least_overlap(n, o) - F.when(F.col("last") == F.col("other_last"), F.least(rest(n), rest(o))).when(F.col("last") < F.col("other_last"), rest(n)).otherwise(rest(o)))
