@@ -92,6 +92,7 @@ class RunIndex:
         letter = np.where(stop[before], 256, text[before].astype(np.int16))  # 256: a terminator, never followed
         new = np.concatenate([[True], letter[1:] != letter[:-1]])
         self.starts = np.flatnonzero(new)
+        self.run_of = (np.cumsum(new) - 1).astype(np.int32)  # rank directory, as long as the text, which is bounded
         lengths = np.diff(np.concatenate([self.starts, [n]]))
         heads = letter[self.starts]
         order = np.argsort(heads, kind="stable")
@@ -160,16 +161,30 @@ class RunIndex:
         return out
 
     def marked(self, length: int = LENGTH) -> list[np.ndarray]:
-        """For each string, which of its windows occur earlier in the text: all strings stream backwards together."""
+        """For each string, which of its windows occur earlier in the text."""
+        order, grid = self._stream(length)
+        out: list[np.ndarray] = [None] * len(order)  # type: ignore[list-item]
+        for s, i in enumerate(order.tolist()):
+            out[i] = grid[s, 1 : 1 + max(0, int(self.sizes[i]) - length + 1)]
+        return out
+
+    def marked_runs(self, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as maximal runs of windows: string, first window, number of windows."""
+        order, grid = self._stream(length)
+        step = np.diff(grid.view(np.int8), axis=1)
+        row, first = np.nonzero(step == 1)
+        return order[row], first, np.nonzero(step == -1)[1] - first
+
+    def _stream(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """All strings stream backwards together; strings by falling size and their marked windows between two blank columns."""
         order = np.argsort(-self.sizes, kind="stable")
         sizes, ends = self.sizes[order], self.ends[order]
-        out = [np.zeros(max(0, int(s) - length + 1), bool) for s in self.sizes]
-        grid = np.zeros((len(order), max(1, int(sizes[0]) - length + 1)), bool)
+        grid = np.zeros((len(order), max(1, int(sizes[0]) - length + 1) + 2), bool)
         row = order.copy()  # the i-th terminator is the i-th smallest suffix
         for matched in range(1, int(sizes[0]) + 1):
             live = int(np.searchsorted(-sizes, -matched, "right"))
             q = row[:live]
-            run = np.searchsorted(self.starts, q, "right") - 1
+            run = self.run_of[q]
             q = self.to[run] + (q - self.starts[run])
             row[:live] = q
             if matched >= length and len(self.row):
@@ -178,10 +193,8 @@ class RunIndex:
                 own = ends[:live] - matched
                 hit = (q >= self.row[cls]) & (q < self.row_end[cls]) & (self.earliest[cls] < own)
                 at = np.flatnonzero(hit)
-                grid[at, sizes[at] - matched] = True
-        for i, s in zip(order.tolist(), range(len(order)), strict=True):
-            out[i] = grid[s, : len(out[i])]
-        return out
+                grid[at, sizes[at] - matched + 1] = True
+        return order, grid
 
 
 def _seen(batches):
@@ -252,12 +265,8 @@ def _indexed(batches):
     docs, ats, strings, size, now = [], [], [], 0, None
 
     def out():
-        rows = []
-        for doc, at, hit in zip(docs, ats, RunIndex(strings).marked(), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            rows += [(doc, at + a, b - a + LENGTH - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc", "at", "bytes"])
+        which, first, n = RunIndex(strings).marked_runs()
+        return pa.RecordBatch.from_arrays([pa.array(np.array(docs, np.int64)[which]), pa.array((np.array(ats, np.int64)[which] + first).astype(np.int32)), pa.array((n + LENGTH - 1).astype(np.int32))], names=["doc", "at", "bytes"])
 
     for batch in batches:
         for key, doc, at, s in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "at", "context")), strict=True):
