@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, bitmap, components, discard, in_bitmap, mix, portions, staged, utf8, word_hashes, words
 
-SKETCH_BITS, BLOCK = 20, 1 << 15
+SKETCH_BITS, BLOCK = 23, 1 << 15
 PORTION = 1 << 20
 #: Members that one task compares with one class at most.
 SPREAD = 4000
@@ -78,17 +78,17 @@ def _rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list,
 
 def _summaries(width: int):
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for ids, sets in _rows(batches, width):
             digests = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in sets]
             if sum(map(len, sets)):
-                sketch += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                np.add.at(sketch, (np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), none, pa.nulls(len(ids), pa.binary())], names=["doc_id", "n", "digest", "block", "counts"])
         counts = np.minimum(sketch, 65535).astype("<u2").reshape(-1, BLOCK)
         for b, row in enumerate(counts):
             if row.any():
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([b], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["doc_id", "n", "digest", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([b], pa.int32()), pa.array([pa.compress(row.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["doc_id", "n", "digest", "block", "counts"])
 
     return run
 
@@ -99,13 +99,13 @@ def _added(batches):
     for batch in batches:
         for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             have = total.setdefault(b, np.zeros(BLOCK, np.int64))
-            have += np.frombuffer(raw, "<u2")
+            have += np.frombuffer(pa.decompress(raw, 2 * BLOCK, "zstd"), "<u2")
     for b, row in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(row, 2**31).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
 
 
 def _levels(summaries: DataFrame) -> np.ndarray:
-    """For each slot of the sketch, how much commoner than the mean its tokens are, in powers of two (0 to 31)."""
+    """For each slot of the sketch, how much commoner than the mean its tokens are, in powers of the root of two (0 to 31)."""
     blocks = summaries.where("block is not null").select("block", "counts")
     parts = (1 << SKETCH_BITS) // BLOCK
     found = blocks.repartition(parts, "block").mapInArrow(_added, "block int, counts binary").toArrow()
@@ -113,7 +113,7 @@ def _levels(summaries: DataFrame) -> np.ndarray:
     for b, raw in zip(found["block"].to_pylist(), found["counts"].to_pylist(), strict=True):
         counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(raw, "<u4")
     mean = max(4.0, float(np.mean(counts)))
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8)
+    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8)
 
 
 def _leading(width: int, percent: int, levels):
@@ -235,7 +235,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
     # Two sets that both lead with a token share at most what is ahead of it in both, itself, and what is behind it in both.
     within = lambda a, b, x, y: F.least("ahead", a) + 1 + F.least("behind", b) >= least_overlap(x, y)
-    stars = met.where((F.col("head") < F.col("id")) & fits(F.col("n"), F.col("head_n"))).groupBy("id", "head").agg(F.count("*").alias("c"))
+    # Tokens whose first class is another one are not in this count, so it may miss pairs; the turns below find these.
+    enough = lambda c, x, y: c >= least_overlap(x, y) - F.greatest(rest(x), rest(y))
+    stars = met.where((F.col("head") < F.col("id")) & fits(F.col("n"), F.col("head_n"))).groupBy("id", "head").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
+    stars = stars.where(enough(F.col("c"), F.col("n"), F.col("head_n")))
     stars = stars.groupBy("id").agg(F.max_by("head", F.struct("c", -F.col("head"))).alias("a"))
     done = staged(stars.select("a", F.col("id").alias("b")), "pairs")
     links = _links(slim, done, width, percent)
