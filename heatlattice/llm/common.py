@@ -143,12 +143,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def bitmap(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:
     """A fixed-size set of the long column key: 2**log2_bits bits whatever the rows, packed as little-endian uint64."""
     slot = F.col(key).bitwiseAND(F.lit((1 << log2_bits) - 1).cast("long"))
-    found = (
+    table = staged(
         df.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .toArrow()
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")),
+        "bits",
     )
+    found = table.toArrow()
+    discard(table)
     out = np.zeros(1 << (log2_bits - 6), np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out

@@ -303,7 +303,10 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     hot = mixed.where(F.col("n") > HOT).select("key", "doc", "at", "context").mapInArrow(_single_windows, "key long, doc long, at int, context binary")
     shards = usual.unionByName(hot).repartition("key").sortWithinPartitions("key", "doc", "at")
     marked = shards.mapInArrow(_indexed, "doc long, at int, bytes int")
-    return staged(later.unionByName(marked), "covered")
+    covered = staged(later.unionByName(marked), "covered")
+    discard(ranked)
+    discard(mixed)
+    return covered
 
 
 def _result(doc, raw: bytes, runs) -> tuple:
