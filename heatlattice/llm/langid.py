@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,19 @@ def normal(text: str | None) -> str:
     return _GAP.sub(" ", (text or "").lower()).strip()
 
 
+def in_portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts that end where they reach PORTION characters."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t or "")
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     """For each order from 1, the hash of the n-gram that ends at each position."""
     out = [mix(codes.astype(np.uint64) + U64(1))]
@@ -185,7 +199,8 @@ class Model:
         rows = [(normal(t), x) for t, x in rows if normal(t)]
         if not rows:
             return
-        cross, n = self.entropies([t for t, _ in rows])
+        parts = [self.entropies(part) for part in in_portions([t for t, _ in rows])]
+        cross, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         truth = np.array([self.languages.index(x) for _, x in rows])
 
         def loss(t: float) -> float:
@@ -230,15 +245,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION, l
 def _predicted(model):
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found, part, size = [], [], 0
-            for t in texts:
-                part.append(t)
-                size += len(t or "")
-                if size >= PORTION:
-                    found += model.value.predict(part)
-                    part, size = [], 0
-            found += model.value.predict(part) if part else []
+            found = [x for part in in_portions(batch.column("text").to_pylist()) for x in model.value.predict(part)]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
