@@ -235,6 +235,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
     # Two sets that both lead with a token share at most what is ahead of it in both, itself, and what is behind it in both.
     within = lambda a, b, x, y: F.least("ahead", a) + 1 + F.least("behind", b) >= least_overlap(x, y)
+    # Holds if c shared tokens are enough for any size from least to most. least_overlap(x, y) - rest(y) is not monotone in y, but
+    # above the same difference without rounding, which falls as y grows.
+    may_reach = lambda c, x, least, most: (
+        (c >= least_overlap(x, F.greatest(least, rest(x) + 1)) - rest(x))
+        | (100 * (100 + percent) * c > percent * (100 * x - percent * F.least(most, F.floor(100 * x / F.lit(1.0 * percent) + 1e-9))))
+    )
     # Tokens whose first class is another one are not in this count, so it may miss pairs; the turns below find these.
     enough = lambda c, x, y: c >= least_overlap(x, y) - F.greatest(rest(x), rest(y))
     stars = met.where((F.col("head") < F.col("id")) & fits(F.col("n"), F.col("head_n"))).groupBy("id", "head").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
@@ -258,7 +264,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
             .where(within("g_ahead", "g_behind", n, F.greatest("least", F.ceil(percent * n / F.lit(100.0) - 1e-9))))
             .groupBy("id", "n", "grp")
             .agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-            .where(F.col("c") >= F.least(least_overlap(n, F.col("least")) - rest(n), least_overlap(n, F.col("most")) - rest(F.col("most"))))
+            .where(may_reach(F.col("c"), n, F.col("least"), F.col("most")))
             .select("id", "grp")
         )
         asked = members.select("token", "id", "n", "last", "ahead", "behind").join(opened, "id")

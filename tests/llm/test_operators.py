@@ -102,6 +102,22 @@ def test_jaccard(spark, width, percent):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
 
 
+def between_sizes(seed, width, size):
+    """Texts of size + 2, size + 1 and size shingles, where only neighbours in this list are within the threshold."""
+    w = [f"v{seed}w{k}" for k in range(size + width + 2)]
+    return " ".join(w[1:]), " ".join(w[1:-1]), " ".join(w[: size + width - 1])
+
+
+# By these seeds the third text shares one leading token with the first two, the same one, and no other.
+@pytest.mark.parametrize(("width", "percent", "size", "seeds"), [(4, 85, 18, (57, 115)), (5, 80, 13, (171, 206))])
+def test_jaccard_sizes_between_a_groups_ends(spark, width, percent, size, seeds):
+    rows = [(3 * k + j, t) for k, seed in enumerate(seeds) for j, t in enumerate(between_sizes(seed, width, size))]
+    want = brute_jaccard(rows, width, percent)
+    assert all(want[i] == (size + 2 - i % 3, i - i % 3) for i in want)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs(spark, rows), width, percent).collect()}
+    assert got == want
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
