@@ -10,8 +10,8 @@ Contexts that are equal are one: all but the earliest are covered whole. Where a
 indexed: the run-length compressed Burrows-Wheeler transform of the contexts in text order, with the suffix positions
 sampled at the ends of its runs and the earliest position of each set of equal windows. All contexts then stream
 backwards through the index at once, one LF step a byte; each step extends the match, and a match of `length` bytes whose
-earliest position is before the context's own is marked. Anchors with very many contexts are first dealt window by
-window, so no task gets an unbounded group.
+earliest position is before the context's own is marked. The windows of anchors with very many contexts are
+compared by their digests alone, so no index holds an unbounded group.
 
 Defined cases: a null text is empty; texts under `length` bytes stay whole; matches never cross rows; rows that share a
 doc_id lie at the same place, so neither removes the other; a null doc_id comes before all others; overlapping copies
@@ -146,6 +146,8 @@ class RunIndex:
             rank[at] = rank[at] + (place[new][np.cumsum(new) - 1] - base)
             single[at] = new & np.concatenate([new[1:], [True]])
             h *= 2
+        if windows is None:  # all suffixes differ before that
+            windows = RunIndex._windows(rank, stop, h, length)
         return rank, windows
 
     @staticmethod
@@ -245,19 +247,13 @@ def _contexts(bits):
 
 
 def _single_windows(batches):
-    """Contexts of anchors with very many, as their windows, one by one."""
+    """Contexts of anchors with very many, as the digests and places of their windows, one by one."""
     for batch in batches:
-        keys, docs, ats, strings = (batch.column(c).to_pylist() for c in ("key", "doc", "at", "context"))
-        rows = []
-        for key, doc, at, s in zip(keys, docs, ats, strings, strict=True):
-            for o in range(len(s) - LENGTH + 1):
-                w = s[o : o + LENGTH]
-                rows.append((key ^ int.from_bytes(hashlib.md5(w, usedforsecurity=False).digest()[:7], "little"), doc, at + o, w))
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "at", "context"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "at", "context"])
+        docs, ats, strings = (batch.column(c).to_pylist() for c in ("doc", "at", "context"))
+        for i in range(0, len(docs), 300):
+            rows = [(doc, at + o, hashlib.md5(s[o : o + LENGTH], usedforsecurity=False).digest()) for doc, at, s in zip(docs[i : i + 300], ats[i : i + 300], strings[i : i + 300], strict=True) for o in range(len(s) - LENGTH + 1)]
+            both = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["w1", "w2", "doc", "at"])
 
 
 def _indexed(batches):
@@ -300,12 +296,16 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     mixed = staged(strings.join(firsts.drop("key"), ["c1", "c2"]).select("key", "n", "doc", "at", "context"), "mixed")
     discard(found)
     usual = mixed.where(F.col("n") <= HOT).select("key", "doc", "at", "context")
-    hot = mixed.where(F.col("n") > HOT).select("key", "doc", "at", "context").mapInArrow(_single_windows, "key long, doc long, at int, context binary")
-    shards = usual.unionByName(hot).repartition("key").sortWithinPartitions("key", "doc", "at")
+    # Windows have one length, so equal ones need no index: all but the earliest are covered.
+    single = staged(mixed.where(F.col("n") > HOT).select("doc", "at", "context").mapInArrow(_single_windows, "w1 long, w2 long, doc long, at int"), "single")
+    earliest = single.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
+    hot = single.join(earliest, ["w1", "w2"]).where(place != F.col("first")).select("doc", "at", F.lit(LENGTH).alias("bytes"))
+    shards = usual.repartition("key").sortWithinPartitions("key", "doc", "at")
     marked = shards.mapInArrow(_indexed, "doc long, at int, bytes int")
-    covered = staged(later.unionByName(marked), "covered")
+    covered = staged(later.unionByName(hot).unionByName(marked), "covered")
     discard(ranked)
     discard(mixed)
+    discard(single)
     return covered
 
 

@@ -62,6 +62,21 @@ def test_suffix_hot_anchor(spark, monkeypatch):
     test_suffix(spark)
 
 
+def test_run_index_of_one_window():
+    window = bytes(range(1, 101))  # no bytes repeat, so all suffixes are ranked at once
+    assert [m.tolist() for m in suffix.RunIndex([window]).marked()] == [[False]]
+
+
+def test_suffix_hot_windows_are_not_indexed(spark, monkeypatch):
+    def refuse(batches):
+        for batch in batches:
+            assert not batch.num_rows
+        yield from ()
+
+    monkeypatch.setattr(suffix, "_indexed", refuse)
+    test_suffix_hot_anchor(spark, monkeypatch)
+
+
 def test_run_index_long_and_periodic():
     rng = random.Random(2)
     a = bytes(rng.randrange(97, 100) for _ in range(300))
