@@ -188,6 +188,8 @@ def components(edges: DataFrame, u: str, v: str, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not come to rest in {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

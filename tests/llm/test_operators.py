@@ -353,6 +353,12 @@ def test_components(spark):
     assert got == {x: label[x] for e in edges for x in e if e[0] != e[1]}
 
 
+def test_components_raises_when_rounds_run_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        components(chain, "a", "b", rounds=1)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
