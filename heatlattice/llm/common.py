@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import discard, staged
+
 U64 = np.uint64
 #: ASCII white space: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -20,44 +20,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); in local mode a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="heatlattice-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/heatlattice/{name}-{uuid.uuid4().hex}"
-    # The table stands for itself from here on, so its shuffle files can go as soon as it is written.
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
-    return out
-
-
-_PATHS: dict[int, str] = {}
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a staged table that no later step reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(df)))
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(doc_id: str, modulus: int):
     """crc32 of doc_id as text, modulo modulus (a null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
@@ -183,7 +145,8 @@ def components(edges: DataFrame, u: str, v: str, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = mark(e)
         if now == seen:
             break
