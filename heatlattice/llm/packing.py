@@ -5,8 +5,8 @@ inside it. The tasks' totals, one number each, give the tasks' global offsets by
 document's place in the one long concatenation is known, so it is cut at multiples of the window without any shuffle,
 and each piece is a boundary record. Only the last sequence is shorter than the window.
 
-Words are tokenized once and kept, within a bound; texts with characters outside Latin letters, and tokenizers of other
-makes, go to the tokenizer whole.
+Words are tokenized once and kept, within a bound; texts with characters outside Latin letters or with the spelling of a
+special token, and tokenizers of other makes, go to the tokenizer whole.
 
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id are packed one by one; a null
 doc_id stays null; texts of any length are cut into as many pieces as they need; an empty table gives no piece; other
@@ -54,7 +54,9 @@ class WordTokenizer:
         with open(path) as f:
             make = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Spellings of added tokens, in any case, are left to the library: it gives them ids of their own.
+        spelled = sorted((re.escape(t["content"]) for t in make.get("added_tokens") or []), key=len, reverse=True)
+        self.special = re.compile("|".join(spelled) or r"(?!)", re.IGNORECASE).search
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.model, self.memo, self.letters = self.tokenizer.model, {}, _byte_letters()
@@ -79,7 +81,7 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or self.odd(text):
+        if not self.by_word or self.odd(text) or self.special(text):
             return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
         get, make = self.memo.get, self._word
         return b"".join([get(w) or make(w) for w in self.split(text.lower())])
