@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language has a model of the letters that follow the last ORDER - 1 (lower case; runs of other characters are one
+Each language has a model of the letters (category L) that follow the last ORDER - 1 (lower case; runs of other characters are one
 space). The models are fitted on a bounded sample of labelled rows, `sample` texts a language, and kept as one sorted array
 of n-gram hashes for each order with a row of log probabilities, one for each language, and as sorted arrays of contexts
 with their back-off weights. A text is scored at every character; the language of the lowest cross-entropy per character
@@ -25,14 +25,20 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, remainder
 
-ORDER, SAMPLE, CALIBRATION, LANGUAGES = 4, 400, 400, 200
+ORDER, SAMPLE, CALIBRATION = 4, 400, 400
+#: Characters of all texts that are learned from, and of those of one language at most.
+ROOM, OWN_ROOM = 1 << 28, 1 << 24
 EPSILON, SLACK = 0.001, 1.1
 PORTION = 1 << 19
 _GAP = re.compile(r"[\W\d_]+")
 
 
 def normal(text: str | None) -> str:
-    return _GAP.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters (category L) with one space between runs of them."""
+    plain = _GAP.sub(" ", (text or "").lower()).strip()
+    if plain.isascii() or plain.replace(" ", "").isalpha():
+        return plain
+    return " ".join("".join([c if c.isalpha() else " " for c in plain]).split())
 
 
 def in_portions(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -216,19 +222,25 @@ class Model:
                 self.limits[k] = float(own[min(rank, len(own)) - 1]) * SLACK
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION, languages: int = LANGUAGES) -> Model:
-    """A model from rows of (doc_id, text, lang); at most `sample` + `calibration` texts a language come to the driver,
-    for the `languages` most frequent languages."""
+def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION, room: int = ROOM) -> Model:
+    """A model of every lang value in rows of (doc_id, text, lang).
+
+    At most `sample` + `calibration` texts a language, and about `room` characters in all, come to the driver: each
+    language has an equal part of the room, at most OWN_ROOM, and texts longer than that part are not learned from.
+    The languages themselves are gathered, as the model has a column for each."""
+    spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").count().collect()
     if not sizes:
         return Model({})
+    want, part = sample + calibration, min(OWN_ROOM, room // len(sizes))
     # A share of each language's rows by a hash of the id, then an exact bound on those few.
-    want = sample + calibration
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * want / r["count"] + 20 / r["count"])))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id")
-    rows = known.where(F.col("lang").isin([r["lang"] for r in sizes])).where(drawn).withColumn("k", F.row_number().over(order)).where(F.col("k") <= want).select("lang", "k", "text").toArrow()
+    shares = spark.createDataFrame([(r["lang"], min(1.0, 1.5 * want / r["count"] + 20 / r["count"])) for r in sizes], "lang string, share double")
+    drawn = known.where(F.length("text") <= part).join(F.broadcast(shares), "lang")  # a row for each language
+    drawn = drawn.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", F.xxhash64("text"))
+    ranked = drawn.withColumns({"k": F.row_number().over(order), "total": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = ranked.where((F.col("k") <= want) & (F.col("total") <= part)).select("lang", "k", "text").toArrow()
     counts: dict[str, Counter] = defaultdict(Counter)
     held, pad = [], " " * (ORDER - 1)
     for lang, k, text in zip(*(rows[c].to_pylist() for c in ("lang", "k", "text")), strict=True):
