@@ -1,16 +1,18 @@
 """Quality rules with risk-controlled thresholds (native: DataFrame functions only).
 
-Each rule is a ratio, in thousandths, that junk has more of. For every stratum (language) and rule the labelled holdout
-of good documents decides the cutoff: from the most lenient candidate on, a cutoff is certified while the exact binomial
-test rejects "more than `risk` of the good documents lie above it" at level delta / (rules * strata); the first failure
-ends the sequence (fixed-sequence testing, Bonferroni over rules and strata), so with confidence 1 - delta every rule
-rejects at most `risk` of the good documents of every stratum. A stratum with too few labels certifies nothing and
-rejects only by the base rule.
-
-Defined cases: a null or blank text has no words, fails the base rule and is not kept; a null language, or one not in
-`languages`, belongs to the stratum "other"; a document with contradictory labels counts as good; null labels are
-ignored; repeated rows are decided one by one; empty tables give empty results; columns of documents that carry the
-names used here are passed through untouched by `filter_quality`, which decides on doc_id, text and lang alone.
+Each rule is a ratio, in thousandths, that junk has more of. The strata are the languages; those with labelled good
+documents are counted. For each of them and each rule the labelled holdout of good documents decides which cutoffs may be
+used: from the most lenient candidate on, a cutoff is certified while the exact binomial test rejects "more than `risk` of
+the good documents lie above it" at level delta / (rules * strata); the first failure ends the sequence (fixed-sequence
+testing, Bonferroni over rules and strata). So with confidence 1 - delta every certified cutoff, whichever is chosen,
+rejects at most `risk` of the good documents of its stratum. Chosen is the one above which lie most labelled bad documents
+over good ones, the more lenient on ties; where none has more bad than good ones above it, the rule rejects nothing. A
+stratum with too few labels certifies nothing and rejects only by the base rule.
+
+Defined cases: a null or blank text has no words, fails the base rule and is not kept; a null language is the stratum "";
+a document with contradictory labels counts as good; null labels are ignored; repeated rows are decided one by one; empty
+tables give empty results; columns of documents that carry the names used here are passed through untouched by
+`filter_quality`, which decides on doc_id, text and lang alone.
 Windows are compared by 64-bit hashes within one document.
 """
 
@@ -25,7 +27,6 @@ from .common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-LANGUAGES = ("en", "de", "fr", "es")
 #: name: (numerator, denominator, scale)
 RULES = {
     "symbols": ("n_symbols", "word_chars", 1000),
@@ -34,7 +35,7 @@ RULES = {
     "long_words": ("word_chars", "n_words", 10),
 }
 CUTOFFS = (10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 700)
-RISK, DELTA = 0.005, 0.05
+RISK, DELTA = 0.03, 0.1
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -79,8 +80,8 @@ def ratio(rule: str):
     return F.expr(f"({scale} * {top}) div greatest({bottom}, 1)")
 
 
-def stratum(lang: str = "lang", languages: tuple[str, ...] = LANGUAGES):
-    return F.when(F.col(lang).isin(*languages), F.col(lang)).otherwise("other")
+def stratum(lang: str = "lang"):
+    return F.coalesce(F.col(lang), F.lit(""))
 
 
 def lower_tail(k, n, p: float):
@@ -96,34 +97,35 @@ def lower_tail(k, n, p: float):
     return F.when(k >= n * p, 1.0).otherwise(F.aggregate(terms, first, step, lambda a: a["s"]))
 
 
-def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, cutoffs: tuple[int, ...] = CUTOFFS, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """One row for each stratum, at most len(languages) + 1: the smallest certified cutoff of each rule, or null."""
-    good = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = stats.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    above = [F.count_if(ratio(r) > c).alias(f"{r}_{c}") for r in RULES for c in cutoffs]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *above)
-    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in cutoffs))
-    long = counts.select("stratum", "n", F.inline(rows))
-    level = delta / (len(RULES) * (len(languages) + 1))
-    tested = long.withColumn("passed", lower_tail(F.col("k"), F.col("n"), risk) <= level)
+def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
+    """One row for each stratum with a chosen cutoff: the cutoff of each rule, or null."""
+    marks = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good in (0, 1)")
+    held = stats.where(~F.col("base_failed")).join(marks, "doc_id")
+    above = [F.count_if((ratio(r) > c) & (F.col("good") == g)).alias(f"{r}_{c}_{g}") for r in RULES for c in cutoffs for g in (1, 0)]
+    counts = staged(held.groupBy("stratum").agg(F.sum("good").cast("long").alias("n"), *above), "counts")
+    strata = counts.where("n > 0").agg(F.count("*").alias("strata"))  # one row
+    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}_1").alias("k"), F.col(f"{r}_{c}_0").alias("bad")) for r in RULES for c in cutoffs))
+    long = counts.where("n > 0").join(F.broadcast(strata)).select("stratum", "strata", "n", F.inline(rows))
+    tested = long.withColumn("passed", lower_tail(F.col("k"), F.col("n"), risk) <= delta / (len(RULES) * F.col("strata")))
     lenient_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
-    certified = tested.withColumn("certified", F.bool_and("passed").over(lenient_first)).where("certified")
-    return certified.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    certified = tested.withColumn("certified", F.bool_and("passed").over(lenient_first)).where("certified and bad > k")
+    best = lambda r: F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.struct(F.col("bad") - F.col("k"), "cutoff")))
+    return certified.groupBy("stratum").agg(*(best(r).alias(f"cut_{r}") for r in RULES))
 
 
 def verdict(stats: DataFrame, cuts: DataFrame) -> DataFrame:
-    """stats and kept; cuts has one row for each of the fixed strata, so its broadcast is bounded."""
+    """stats and kept. cuts is a staged table, so the join knows its size and broadcasts it only below Spark's threshold."""
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(ratio(r) > F.col(f"cut_{r}"), F.lit(False))
-    return stats.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return stats.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept for each row of docs."""
     slim = docs.select("doc_id", "text", stratum().alias("stratum"))
     stats = staged(with_statistics(slim).drop("text"), "quality")
-    out = verdict(stats, fit_cutoffs(stats, labels, **options))
+    out = verdict(stats, staged(fit_cutoffs(stats, labels, **options), "cutoffs"))
     return out.select("doc_id", *BASE, "base_failed", "kept", "stratum", "n_lines")
 
 
@@ -138,14 +140,12 @@ def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def oracle(risk: float = RISK, delta: float = DELTA) -> str:
     """DuckDB SQL for `quality` over documents and labels."""
-    langs = ", ".join(f"'{x}'" for x in LANGUAGES)
     rows = ", ".join(f"('{r}', {c})" for r in RULES for c in CUTOFFS)
     value = "case rule " + " ".join(f"when '{r}' then ({s} * {a}) // greatest({b}, 1)" for r, (a, b, s) in RULES.items()) + " end"
-    level = delta / (len(RULES) * (len(LANGUAGES) + 1))
-    cut = lambda r: f"(select min(cutoff) from certified c where ok and c.stratum = s.stratum and c.rule = '{r}')"
+    cut = lambda r: f"(select arg_max(cutoff, 1000 * (bad - k) + cutoff) from certified c where ok and bad > k and c.stratum = s.stratum and c.rule = '{r}')"
     verdicts = " and ".join(f"coalesce(({s} * {a}) // greatest({b}, 1) <= {cut(r)}, true)" for r, (a, b, s) in RULES.items())
     return f"""
-with t as (select doc_id, coalesce(text, '') as text, case when lang in ({langs}) then lang else 'other' end as stratum from documents),
+with t as (select doc_id, coalesce(text, '') as text, coalesce(lang, '') as stratum from documents),
 w as (select doc_id, stratum, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from t),
 g as (select *, [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] as g from w),
@@ -159,9 +159,12 @@ b as (select g.doc_id, stratum, len(w)::bigint as n_words, length(list_aggregate
       from g left join r using (doc_id)),
 s as (select doc_id, stratum, n_words, coalesce(wc, 0)::bigint as word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
         n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b),
-h as (select * from s where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
-k as (select stratum, rule, cutoff, count(*) as n, count(*) filter ({value} > cutoff) as k from h, (values {rows}) v(rule, cutoff) group by all),
+marks as (select doc_id, max(quality) as good from labels where quality is not null group by 1),
+h as (select s.*, good from s join marks using (doc_id) where not base_failed and good in (0, 1)),
+m as (select count(distinct stratum) as strata from h where good = 1),
+k as (select stratum, rule, cutoff, count(*) filter (good = 1) as n, count(*) filter (good = 1 and {value} > cutoff) as k, count(*) filter (good = 0 and {value} > cutoff) as bad
+      from h, (values {rows}) v(rule, cutoff) group by all having count(*) filter (good = 1) > 0),
 e as (select *, case when k >= n * {risk}::double then 1.0 else
         list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}::double) + (n - j) * ln(1 - {risk}::double)) for j in range(0, k + 1)]) end as tail from k),
-certified as (select stratum, rule, cutoff, bool_and(tail <= {level}) over (partition by stratum, rule order by cutoff desc) as ok from e)
+certified as (select stratum, rule, cutoff, k, bad, bool_and(tail <= {delta}::double / ({len(RULES)} * strata)) over (partition by stratum, rule order by cutoff desc) as ok from e, m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {verdicts} as kept, stratum, n_lines from s"""
