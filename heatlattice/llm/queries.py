@@ -37,7 +37,7 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_toxicity(spark, sf_dir):
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_spans=True)
 
 
 def op7_jaccard_join(spark, sf_dir):

@@ -6,11 +6,12 @@ documents that have it. The field has two states; features are a token's word, b
 sample's windows have them (others weigh nothing), and the transitions. It is fitted by gradient steps on windows of the sample. Forward and backward
 recursions over the whole text give each token's marginal, for many documents at a time; a logistic fit on rows of the
 sample that the field has not seen turns their sum and maximum into the document's score, and tokens whose marginal is
-at least one half are reported with their character offsets.
+at least one half are reported with their character offsets (`spans`).
 
 Defined cases: null or empty texts have no token and score as the logistic fit has it for none; without labels of both
 kinds every score is the share of toxic labels (0 without labels); a document with several labels counts as toxic if one
-says so; repeated rows are scored one by one; texts are read whole; an empty table gives an empty result.
+says so; repeated rows are scored one by one; texts are read whole, and offsets count code points of the text as it is;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, mix, remainder
 
 TOXIC, CLEAN = 2000, 3000  # rows of the sample
+#: Characters of one text, and of all, that the sample may hold.
+LONGEST, ROOM = 1 << 20, 1 << 27
 WIDTH, STEPS, KEPT = 32, 60, 400_000
+#: Windows of each sampled row that the field is fitted on: with marked tokens, and without.
+MARKED, OTHERS = 6, 2
 PORTION = 1 << 23
 LEVEL = 1e-3
 TOKEN = re.compile(r"\w+")
@@ -67,7 +72,7 @@ class Field:
         got = self.memo.get(word)
         if got is None:
             weight = self.weights.get
-            got = self.bias + sum([weight(f, 0.0) for f in features(word)])
+            got = self.bias + sum([weight(f, 0.0) for f in features(word.lower())])
             if len(word) <= 64:
                 if len(self.memo) >= KEPT:
                     self.memo.clear()
@@ -116,13 +121,14 @@ class Field:
 
 
 def _windows(rows: list[list[str]], marks: list[list[int]], rng: np.random.Generator):
-    """Windows of WIDTH tokens: those with marked tokens, and two others of each row."""
+    """Windows of WIDTH tokens: of each row the first MARKED with marked tokens and OTHERS drawn from the rest, so that
+    the fit's work is bounded by the sample's rows however long they are."""
     out = []
     for tokens, mark in zip(rows, marks, strict=True):
         parts = [(tokens[i : i + WIDTH], mark[i : i + WIDTH]) for i in range(0, len(tokens), WIDTH)]
-        hot = [p for p in parts if any(p[1])][:6]
+        hot = [p for p in parts if any(p[1])][:MARKED]
         cold = [p for p in parts if not any(p[1])]
-        out += hot + [cold[i] for i in rng.permutation(len(cold))[:2]]
+        out += hot + [cold[i] for i in rng.permutation(len(cold))[:OTHERS]]
     return out
 
 
@@ -196,7 +202,7 @@ def _first_of_copies(rows: list[list[str]], signs: int = 8) -> np.ndarray:
 def fit(sample: list[tuple[str, int]]) -> Field:
     """A field from (text, toxic) rows; every fourth row is kept for the logistic fit."""
     field = Field()
-    rows = [TOKEN.findall((t or "").lower()) for t, _ in sample]
+    rows = [[w.lower() for w in TOKEN.findall(t or "")] for t, _ in sample]
     keep = _first_of_copies(rows)
     rows = [r for r, on in zip(rows, keep, strict=True) if on]
     toxic = np.array([x for (_, x), on in zip(sample, keep, strict=True) if on])
@@ -243,14 +249,14 @@ def _scored(field, with_spans: bool):
                 while j < len(texts) and (j == i or size < PORTION):
                     size += len(texts[j] or "")
                     j += 1
-                found = model.marginals([np.array([emission(w) for w in TOKEN.findall((t or "").lower())], np.float64) for t in texts[i:j]])
+                found = model.marginals([np.array([emission(w) for w in TOKEN.findall(t or "")], np.float64) for t in texts[i:j]])
                 rows = []
                 for doc, h, text, p in zip(ids[i:j], held[i:j], texts[i:j], found, strict=True):
                     s = model.score(p)
                     rows.append([doc, h, s, int(s >= 0.7)])
                     if with_spans:
                         hot = {int(k): float(p[k]) for k in np.flatnonzero(p >= 0.5)}
-                        rows[-1].append([{"start": m.start(), "end": m.end(), "p": hot[k]} for k, m in enumerate(TOKEN.finditer((text or "").lower())) if k in hot] if hot else [])
+                        rows[-1].append([{"start": m.start(), "end": m.end(), "p": hot[k]} for k, m in enumerate(TOKEN.finditer(text or "")) if k in hot] if hot else [])
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=names[: len(cols)])
                 i = j
@@ -259,7 +265,8 @@ def _scored(field, with_spans: bool):
 
 
 def draw(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, toxic: int = TOXIC, clean: int = CLEAN) -> list[tuple[str, int]]:
-    """At most `toxic` + `clean` labelled training rows, by a hash of their id."""
+    """At most `toxic` + `clean` labelled training rows, by a hash of their id, of at most LONGEST characters each and
+    about ROOM in all."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(F.coalesce(remainder("doc_id", modulus) != held, F.lit(False)))
     h = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 40))
@@ -267,8 +274,11 @@ def draw(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, to
     left = {1: int(1.2 * toxic), 0: int(1.2 * clean)}
     drawn = [known.where(F.col("toxic") == x).withColumn("h", h).where(F.col("h") < int((1 << 40) * min(1.0, size / max(1, n.get(x, 0))))).orderBy("h", "doc_id").limit(left[x]) for x, size in ((1, toxic), (0, clean))]
     # At most `left` ids reach every task, and at most twice as many rows the driver, however often an id is repeated.
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    rows = rows.orderBy("h", "doc_id", F.xxhash64("text")).limit(2 * sum(left.values())).select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("size")).where(F.col("size") <= LONGEST)
+    rows = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").withColumn("tie", F.xxhash64("text"))
+    rows = rows.orderBy("h", "doc_id", "tie").limit(2 * sum(left.values()))
+    total = F.sum("size").over(Window.orderBy("h", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0))  # of these rows alone
+    rows = rows.withColumn("total", total).where(F.col("total") <= ROOM).orderBy("h", "doc_id", "tie").select("text", "toxic").toArrow()
     out = []
     for t, x in zip(rows["text"].to_pylist(), rows["toxic"].to_pylist(), strict=True):
         if left[x] > 0:
