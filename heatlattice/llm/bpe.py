@@ -8,7 +8,8 @@ of the tokens that end in a state the longest that is valid behind its predecess
 still open agree on a prefix, its tokens are emitted, so lookahead and register are bounded by the tokens in doubt.
 Pieces that were transduced whole are kept too, within a bound, as one long transition.
 
-Decoding. The ids' bytes pass through a UTF-8 state machine that carries an unfinished character from chunk to chunk.
+Decoding. A UTF-8 state machine over byte ranges, with the bits of the unfinished character, is lifted to tokens: each
+token's path from each configuration is run once and kept, so decoding is one look-up a token, from chunk to chunk.
 
 Defined cases: null text is empty and gives no ids; unpaired surrogates cannot occur in Arrow text; texts of any length
 run in memory of their own size; repeated rows give repeated rows; empty tables give empty results; other columns are
@@ -216,38 +217,105 @@ class Stream:
         return self.coder.back(self.last, len(self.last) - 1)
 
 
+def _utf8_table() -> list[list[int]]:
+    """For each state and byte, the next state; REJECT where the byte cannot follow. States are what a character still
+    needs: 0 nothing, 1 to 3 so many continuation bytes, 4 to 7 the same with a narrower range for the first of them."""
+    table = [[REJECT] * 256 for _ in range(8)]
+    for b in range(0x80):
+        table[0][b] = 0
+    for b in range(0xC2, 0xF5):
+        table[0][b] = {0xE0: 4, 0xED: 5, 0xF0: 6, 0xF4: 7}.get(b, 1 if b < 0xE0 else 2 if b < 0xF0 else 3)
+    for state, first, last, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        for b in range(first, last + 1):
+            table[state][b] = to
+    return table
+
+
+REJECT = -1
+_TABLE = _utf8_table()
+#: Bits of a lead byte that belong to the character, by the state it leads to.
+_LEAD = {1: 0x1F, 2: 0x0F, 4: 0x0F, 5: 0x0F, 3: 0x07, 6: 0x07, 7: 0x07}
+
+
 class Utf8Machine:
-    """Turns chunks of bytes into characters; an unfinished character waits for the next chunk, a wrong byte becomes
-    U+FFFD."""
+    """Turns chunks of bytes into characters, byte by byte: a state, and the bits of the unfinished character. A byte that
+    cannot follow ends the unfinished character as U+FFFD and is read anew; one that cannot lead is U+FFFD itself."""
 
     def __init__(self) -> None:
-        self.waiting = b""
+        self.state, self.bits = 0, 0
 
     def feed(self, chunk: bytes) -> str:
-        raw = self.waiting + chunk
-        cut = len(raw)
-        for back in range(1, min(3, cut) + 1):  # does the end hold a lead byte whose character is not complete?
-            b = raw[cut - back]
-            if b >= 0xC0:
-                need = 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                if need > back:
-                    cut -= back
-                break
-            if b < 0x80:
-                break
-        self.waiting = raw[cut:]
-        return raw[:cut].decode("utf-8", "replace")
+        out, state, bits = [], self.state, self.bits
+        for b in chunk:
+            to = _TABLE[state][b]
+            if to == REJECT:
+                out.append("\ufffd")
+                if not state:
+                    continue
+                state, to = 0, _TABLE[0][b]
+                if to == REJECT:
+                    out.append("\ufffd")
+                    state = 0
+                    continue
+            bits = bits << 6 | b & 0x3F if state else b & _LEAD.get(to, 0x7F)
+            state = to
+            if not state:
+                out.append(chr(bits))
+        self.state, self.bits = state, bits
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.waiting = self.waiting, b""
-        return rest.decode("utf-8", "replace")
-
-
-def decode_chunks(ids: array, bytes_of: list[bytes], chunk: int = 1 << 16) -> Iterator[str]:
-    machine = Utf8Machine()
-    for i in range(0, len(ids), chunk):
-        yield machine.feed(b"".join([bytes_of[t] for t in ids[i : i + chunk]]))
-    yield machine.finish()
+        rest = "\ufffd" if self.state else ""
+        self.state, self.bits = 0, 0
+        return rest
+
+
+class Decoder:
+    """The machine lifted to tokens: from each of its configurations a token leads to another one and gives characters,
+    found by running the machine over the token's bytes once."""
+
+    def __init__(self, bytes_of: list[bytes], most: int = PAIRS) -> None:
+        self.bytes_of, self.most = bytes_of, most
+        self.machine = Utf8Machine()
+        self.arcs: dict[tuple[int, int], dict[int, tuple[str, tuple[int, int]]]] = {}
+        # From the resting state: the characters of each token that ends in it, else None.
+        self.resting: list[str | None] = []
+        for raw in bytes_of:
+            text, to = self._run((0, 0), raw)
+            self.resting.append(text if to[0] == 0 else None)
+
+    def _run(self, at: tuple[int, int], raw: bytes) -> tuple[str, tuple[int, int]]:
+        self.machine.state, self.machine.bits = at
+        text = self.machine.feed(raw)
+        return text, (self.machine.state, self.machine.bits if self.machine.state else 0)
+
+    def chunks(self, ids: array, chunk: int = 1 << 16) -> Iterator[str]:
+        """Text in chunks; an unfinished character waits for the next one."""
+        at, resting = (0, 0), self.resting
+        for i in range(0, len(ids), chunk):
+            part = ids[i : i + chunk]
+            if at == (0, 0):
+                texts = [resting[t] for t in part]
+                if None not in texts:
+                    yield "".join(texts)
+                    continue
+            out = []
+            for t in part:
+                if at == (0, 0) and resting[t] is not None:
+                    out.append(resting[t])
+                    continue
+                arcs = self.arcs.setdefault(at, {})
+                step = arcs.get(t)
+                if step is None:
+                    if len(self.arcs) * len(arcs) > self.most:
+                        self.arcs.clear()
+                        arcs = self.arcs.setdefault(at, {})
+                    step = arcs[t] = self._run(at, self.bytes_of[t])
+                out.append(step[0])
+                at = step[1]
+            yield "".join(out)
+        if at[0]:
+            yield "\ufffd"
 
 
 @cache
@@ -257,7 +325,7 @@ def _coder(path: str):
     table = [b""] * (max(ranks.values()) + 1)
     for raw, rank in ranks.items():
         table[rank] = raw
-    return coder, table
+    return coder, Decoder(table)
 
 
 def _encoded(path: str, pattern: str, with_ids: bool):
@@ -265,7 +333,7 @@ def _encoded(path: str, pattern: str, with_ids: bool):
         import regex
 
         split = regex.compile(pattern).findall
-        coder, table = _coder(path)
+        coder, decoder = _coder(path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -273,7 +341,7 @@ def _encoded(path: str, pattern: str, with_ids: bool):
                 ids = array("I")
                 ids.frombytes(raw)
                 decoded = hashlib.sha256()
-                for part in decode_chunks(ids, table):
+                for part in decoder.chunks(ids):
                     decoded.update(part.encode())
                 rows.append((doc, len(ids), hashlib.sha256(raw).hexdigest(), decoded.hexdigest(), *([list(ids)] if with_ids else [])))
             if rows:
