@@ -2,10 +2,10 @@
 
 A text is its words in order and one end. The pieces of a unigram vocabulary, with the word-start mark, and the 256 bytes
 generate a word in all ways that spell it; a log-space forward recursion over the lattice sums them. Pieces never cross
-words, so the text's marginal is the product over its words and the end. The vocabulary's own scores (ranks) weight the
-first lattice; expected counts by forward-backward over every distinct training word give the piece probabilities
-(`rounds` of it). Each lattice also has one arc from start to end for a word that training texts have: its absolutely
-discounted relative frequency; what the discount frees weights the segmentations into pieces. Vocabulary and piece counts have a fixed size; word counts grow with the corpus and stay
+words, so the text's marginal is the product over its words and the end, and that is the score. The vocabulary's own
+scores (ranks) weight the first lattice; expected counts by forward-backward over the distinct training words, each
+as often as training texts have it, give the piece probabilities (`rounds` of it), so score is the log probability of a
+proper model of piece sequences. Vocabulary and piece counts have a fixed size; word counts grow with the corpus and stay
 distributed: each distinct word meets its count and its lattice once, the `head` most frequent ones are broadcast (a fixed
 number of short words), all others reach their documents by a join.
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, portions, remainder, staged, utf8, word_hashes, words
+from .common import LOWER, discard, portions, remainder, staged, utf8, word_hashes, words
 
 PORTION, HEAD, SHORT = 1 << 20, 150_000, 48
 MARK = "▁".encode()
@@ -50,7 +50,6 @@ class Pieces:
             first[i] = -np.log(2.0 + abs(min(0.0, model.get_score(i))))
         first[self.n] = -np.log(64.0)  # the end
         self.first = first - np.logaddexp.reduce(first)
-        self.starting = [i for raw, i, _ in rows if raw.startswith(MARK)]
         nodes, tokens = 1, {}
         index: dict[tuple[int, int], int] = {}
         for raw, i, _ in sorted(rows, key=lambda r: r[2]):
@@ -206,23 +205,23 @@ def _expected(path: str, logp):
         total = np.zeros(len(weight))
         for batch in batches:
             spelled = [MARK + w for w in batch.column("word").to_pylist()]
+            times = batch.column("n").to_numpy().astype(float)
             for i in range(0, len(spelled), 8192):
-                part = spelled[i : i + 8192]
-                marginals(pieces, weight, part, np.ones(len(part)), total)
+                marginals(pieces, weight, spelled[i : i + 8192], times[i : i + 8192], total)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["node", "n"])
 
     return run
 
 
-def fit(vocabulary: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
-    """Log probabilities of the pieces and, last, the end; every distinct training word counts once, as does the end."""
+def fit(vocabulary: DataFrame, path: str, ends: int, rounds: int = 2) -> np.ndarray:
+    """Log probabilities of the pieces and, last, the end, which `ends` training texts have; vocabulary holds (word, n)."""
     spark = vocabulary.sparkSession
     pieces = _pieces(path)
     logp = pieces.first
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(logp)
-        found = vocabulary.where("n > 0").select("word").mapInArrow(_expected(path, sent), "node long, n double").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+        found = vocabulary.where("n > 0").select("word", "n").mapInArrow(_expected(path, sent), "node long, n double").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
         counts = np.where(np.isfinite(pieces.first), FLOOR, 0.0)
         node, n = found["node"].to_numpy(), found["n"].to_numpy()
         weight = pieces.weights(logp)
@@ -230,7 +229,7 @@ def fit(vocabulary: DataFrame, path: str, rounds: int = 2) -> np.ndarray:
         share = np.exp(logp[one] - weight[node])  # of pieces that are spelled alike
         np.add.at(counts, one, n * share)
         np.add.at(counts, two[two >= 0], (n * (1 - share))[two >= 0])
-        counts[pieces.n] += 1
+        counts[pieces.n] += ends
         with np.errstate(divide="ignore"):
             logp = np.log(counts) - np.log(counts.sum())
     return logp
@@ -294,18 +293,13 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: i
     found = slim.select("text", "train").mapInArrow(_counted, "word binary, n long")
     counted = staged(found.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     n = F.col("n")
-    sums = counted.agg(F.sum(n), F.count_if(n > 0), F.sum(F.when(F.col("word").isNull(), n)), F.count_if(n == 1), F.count_if(n == 2)).first()
-    tokens, distinct, ends, ones, twos = (int(x or 0) for x in sums)
-    discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-    freed = np.log10(discount * distinct / tokens) if tokens else 0.0
+    sums = counted.agg(F.sum(n), F.count_if(n > 0), F.sum(F.when(F.col("word").isNull(), n))).first()
+    tokens, distinct, ends = (int(x or 0) for x in sums)
     vocabulary = counted.where("word is not null")
-    logp = fit(vocabulary, path, rounds)
-    scored = vocabulary.mapInArrow(_scored(path, spark.sparkContext.broadcast(logp)), "word binary, n long, lattice double")
-    whole = F.log10((n - discount) / max(1, tokens) + F.pow(F.lit(10.0), F.col("lattice") + freed))
-    scored = staged(scored.withColumn("lattice", F.when(n > 0, whole).otherwise(F.col("lattice") + freed)), "words")
-    pieces = _pieces(path)
-    going_on = float(np.exp(np.delete(logp, [*pieces.starting, pieces.n])).sum())
-    end = np.log10(max(ends - discount, 0) / max(1, tokens) + 10.0**freed * np.exp(logp[-1]) / (1 - going_on))
+    logp = fit(vocabulary, path, ends, rounds)
+    scored = staged(vocabulary.mapInArrow(_scored(path, spark.sparkContext.broadcast(logp)), "word binary, n long, lattice double"), "words")
+    discard(counted)
+    end = logp[-1] / np.log(10)
 
     top = scored.where(F.length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(head).toArrow()  # a fixed number of short words
     raw, at = utf8(top["word"])
