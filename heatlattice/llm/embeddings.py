@@ -1,14 +1,17 @@
 """Exact near-duplicate vectors by a metric range join over pivots.
 
-Vectors that are equal collapse to one class. On the unit sphere the angle is a metric; the link radius is
-eps = arccos(threshold). Pivots from a bounded sample (farthest first) cut the sphere into cells by nearest pivot. A
-vector x of cell i must meet the vectors of an earlier cell j only if angle(x, p_j) <= angle(x, p_i) + 2 eps and
-angle(x, p_j) <= radius_j + eps, by the triangle inequality; such cells get a replica. Cells then join independently,
-in blocks of bounded size: a large cell is dealt to many tasks, each of two blocks. A block returns sums and a spanning
-forest of its links, never the pairs. Vectors of different length never meet.
+Vectors that are equal, up to a power of two as a factor, collapse to one class. On the unit sphere the angle is a metric;
+the link radius is eps = arccos(threshold). Pivots, one for each CELL vectors, cut the sphere into cells by nearest pivot.
+A vector x of cell i must meet the vectors of an earlier cell j only if angle(x, p_j) <= angle(x, p_i) + 2 eps and
+angle(x, p_j) <= radius_j + eps, by the triangle inequality; such cells get a replica. A first narrow pass counts each
+cell's replicas, so that blocks are dealt for the replicas there are. Cells then join independently, in blocks of at
+most about BLOCK vectors: a large cell is dealt to many tasks, each of two blocks. A block returns sums and a spanning forest of
+its links, never the pairs. Products of unit vectors decide all pairs but those within MARGIN of the threshold; these are
+computed again from the vectors as given, by one formula that does not depend on the blocks. Vectors of different length
+never meet.
 
 In data without low-dimensional structure the triangle inequality excludes little, and the work is that of all blocks;
-that is inherent to an exact join.
+that is inherent to an exact join. Pivots take at most PIVOT_BYTES; beyond that cells grow, and stay exact.
 
 Defined cases: null, empty or zero vectors and those with null or non-finite components have no link and are their own
 component; equal vectors link with each other; rows with a null vec_id take part in nobody's component and get null;
@@ -21,136 +24,213 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import components, discard, staged
 
-THRESHOLD, CELL, BLOCK, PIVOTS, SAMPLE = 0.9, 4096, 4096, 512, 4000
+THRESHOLD, MARGIN = 0.9, 1e-9
+CELL = BLOCK = 16384
+#: Bytes of all pivots, pivots of one length chosen farthest first, and sampled vectors for each pivot.
+PIVOT_BYTES, FARTHEST, SAMPLE = 64 << 20, 512, 8
+ROWS = 4096
 
 
-def _cleaned(batches):
-    for batch in batches:
-        column = batch.column("embedding")
-        rows = []
-        for vec, raw in zip(batch.column("vec_id").to_pylist(), column, strict=True):
-            v = np.zeros(0)
-            if raw.is_valid and raw.values is not None and raw.values.null_count == 0:
-                v = raw.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            top = np.abs(v).max() if len(v) and np.isfinite(v).all() else 0.0
-            if top > 0 and vec is not None:
-                unit = v / top
-                unit = unit / np.sqrt(unit @ unit)
-                rows.append((vec, hashlib.md5(v.tobytes(), usedforsecurity=False).digest(), len(v), unit.tobytes()))
-            else:
-                rows.append((vec, None, 0, None))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["vec_id", "key", "dim", "unit"])
+def _cleaned(kind: str):
+    """(vec_id, key, dim, vector): the digest of the vector up to a power of two, and its components as they are."""
+
+    def run(batches):
+        for batch in batches:
+            column, ids = batch.column("embedding"), batch.column("vec_id")
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(lengths) - lengths
+            values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # null: NaN
+            named = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+            keys: list[bytes | None] = [None] * len(lengths)
+            raws: list[bytes | None] = [None] * len(lengths)
+            for d in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero((lengths == d) & named)
+                v = values[starts[at][:, None] + np.arange(d)]
+                top = np.abs(v).max(1)  # NaN if there is one
+                at, v, top = (x[np.isfinite(top) & (top > 0)] for x in (at, v, top))
+                scaled = np.ldexp(v, -np.frexp(top)[1][:, None])
+                plain = (v if kind == "<f4" else scaled).astype(kind)
+                for i, row, own in zip(at.tolist(), scaled, plain, strict=True):
+                    keys[i], raws[i] = hashlib.md5(row.tobytes(), usedforsecurity=False).digest(), own.tobytes()
+            dims = np.where([k is not None for k in keys], lengths, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(dims), pa.array(raws, pa.binary())], names=["vec_id", "key", "dim", "vector"])
+
+    return run
+
+
+def _matrix(raws: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(np.float64)
 
 
-def _matrix(units: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
+def _units(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
 
 def _angles(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ p.T, -1.0, 1.0))
 
 
-def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
-    """Farthest-first traversal."""
+def choose_pivots(sample: np.ndarray, k: int, farthest: int = FARTHEST) -> np.ndarray:
+    """Farthest-first traversal; beyond `farthest` pivots, those that lie farthest from these."""
     chosen = [0]
     nearest = _angles(sample, sample[:1])[:, 0]
-    while len(chosen) < min(k, len(sample)):
+    while len(chosen) < min(k, farthest, len(sample)):
         chosen.append(int(np.argmax(nearest)))
         nearest = np.minimum(nearest, _angles(sample, sample[chosen[-1:]])[:, 0])
+    if len(chosen) < min(k, len(sample)):
+        nearest[chosen] = -1.0
+        chosen += np.argsort(-nearest, kind="stable")[: min(k, len(sample)) - len(chosen)].tolist()
     return sample[chosen]
 
 
-def _assigned(pivots):
+def _by_dim(batch: pa.RecordBatch, kind: str, pivots: dict[int, np.ndarray]):
+    """(d, rows, unit vectors) of bounded parts of a batch, for the lengths that have pivots."""
+    dims, raws = batch.column("dim").to_numpy(), batch.column("vector")
+    for d, p in pivots.items():
+        at = np.flatnonzero(dims == d)
+        step = max(1, (1 << 22) // len(p))
+        for s in range(0, len(at), step):
+            part = at[s : s + step]
+            yield d, part, _units(_matrix(raws.take(pa.array(part)).to_pylist(), kind))
+
+
+def _assigned(kind: str, pivots):
     def run(batches):
         for batch in batches:
-            dims, units = batch.column("dim").to_pylist(), batch.column("unit").to_pylist()
-            cell, angle = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-            for d in set(dims):
-                if d in pivots.value:
-                    at = [i for i, x in enumerate(dims) if x == d]
-                    for s in range(0, len(at), 1024):
-                        part = at[s : s + 1024]
-                        a = _angles(_matrix([units[i] for i in part]), pivots.value[d])
-                        cell[part], angle[part] = a.argmin(1), a.min(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "copies", "dim", "unit")), pa.array(cell), pa.array(angle)], names=["id", "copies", "dim", "unit", "cell", "angle"])
+            cell, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for d, part, unit in _by_dim(batch, kind, pivots.value):
+                a = _angles(unit, pivots.value[d])
+                cell[part], angle[part] = a.argmin(1), a.min(1)
+            names = ["id", "copies", "key", "dim", "vector"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(cell), pa.array(angle)], names=[*names, "cell", "angle"])
 
     return run
 
 
-def _dealt(pivots, plan, eps: float):
-    """Rows for the blocks (dim, cell, kind, a, b): side 0 is core block a; side 1 is core block b or replica block b."""
+def _replicated(batch: pa.RecordBatch, kind: str, pivots: dict, radius: dict, eps: float):
+    """(d, rows, cells): which rows the triangle inequality sends to which earlier cells."""
+    cell, angle = batch.column("cell").to_numpy(), batch.column("angle").to_numpy()
+    for d, part, unit in _by_dim(batch, kind, pivots):
+        far = _angles(unit, pivots[d])
+        on = (far <= angle[part][:, None] + (2 * eps + 1e-9)) & (far <= radius[d] + (eps + 1e-9)) & (np.arange(far.shape[1]) < cell[part][:, None])
+        i, j = np.nonzero(on)
+        yield d, part[i], j
+
+
+def _counted(kind: str, pivots, radius, eps: float):
+    """(dim, cell, n): replicas of this task's rows."""
 
     def run(batches):
-        names = ["dim", "cell", "kind", "a", "b", "side", "id", "copies", "unit"]
-        kinds = [pa.int32()] * 6 + [pa.int64(), pa.int64(), pa.binary()]
+        total = {d: np.zeros(len(p), np.int64) for d, p in pivots.value.items()}
         for batch in batches:
-            rows = []
-
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-            for vec, copies, d, unit, cell, angle in zip(*(batch.column(c).to_pylist() for c in ("id", "copies", "dim", "unit", "cell", "angle")), strict=True):
-                h = int.from_bytes(hashlib.md5(unit, usedforsecurity=False).digest()[:6], "little")
-                cores, replicas, _ = plan.value[d, cell]
-                a = h % cores
-                for b in range(cores):
-                    lo, hi, side = (a, b, 0) if a <= b else (b, a, 1)
-                    rows.append((d, cell, 0, lo, hi, side, vec, copies, unit))
-                rows += [(d, cell, 1, a, b, 0, vec, copies, unit) for b in range(replicas)]
-                if cell and d in pivots.value:
-                    far = _angles(_matrix([unit]), pivots.value[d][:cell])[0]
-                    for j in np.flatnonzero(far <= angle + 2 * eps + 1e-9).tolist():
-                        if (d, j) in plan.value:
-                            cores_j, replicas_j, radius = plan.value[d, j]
-                            if far[j] <= radius + eps + 1e-9:
-                                rows += [(d, j, 1, b, h % replicas_j, 1, vec, copies, unit) for b in range(cores_j)]
-                if len(rows) > 4000:
-                    yield out()
-                    rows = []
-            if rows:
-                yield out()
+            for d, _, j in _replicated(batch, kind, pivots.value, radius.value, eps):
+                total[d] += np.bincount(j, minlength=len(total[d]))
+        rows = [(d, int(j), int(n[j])) for d, n in total.items() for j in np.flatnonzero(n)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["dim", "cell", "n"])
+
+    return run
+
+
+def _each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts n: the index of each count n times over, and 0, 1, ... within each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _dealt(kind: str, pivots, radius, plan, eps: float):
+    """Rows for the blocks (dim, cell, kind, a, b): side 0 is core block a; side 1 is core block b or replica block b."""
+
+    def run(batches):
+        names = ["dim", "cell", "kind", "a", "b", "side", "id", "copies", "vector"]
+        for whole in batches:
+            for s in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(s, ROWS)
+                dims, cell = batch.column("dim").to_numpy(), batch.column("cell").to_numpy()
+                h = np.frombuffer(b"".join(batch.column("key").to_pylist()), "<u4").reshape(-1, 4).astype(np.int64)
+                own = [plan.value[x] for x in zip(dims.tolist(), cell.tolist(), strict=True)]
+                cores, reps = (np.array([x[k] for x in own], np.int64) for k in (0, 1))
+                a = h[:, 0] % cores
+                row, b = _each(cores)
+                parts = [(row, cell[row], 0, np.minimum(a[row], b), np.maximum(a[row], b), (a[row] > b).astype(np.int32))]
+                row, b = _each(reps)
+                parts.append((row, cell[row], 1, a[row], b, np.zeros(len(row), np.int32)))
+                for d, i, j in _replicated(batch, kind, pivots.value, radius.value, eps):
+                    to = [plan.value[d, x] for x in j.tolist()]
+                    if to:
+                        cores_j, reps_j = (np.array([x[k] for x in to], np.int64) for k in (0, 1))
+                        copy, block = _each(cores_j)
+                        parts.append((i[copy], j[copy], 1, block, (h[i, 1] % reps_j)[copy], np.ones(len(copy), np.int32)))
+                for row, c, k, lo, hi, side in parts:
+                    for t in range(0, len(row), ROWS):
+                        r, cut = row[t : t + ROWS], slice(t, t + ROWS)
+                        got = [np.full(len(r), k), lo[cut], hi[cut], side[cut]]
+                        at = pa.array(r)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(dims[r]), *(pa.array(x.astype(np.int32)) for x in (c[cut], *got)), *(batch.column(x).take(at) for x in ("id", "copies", "vector"))],
+                            names=names,
+                        )
 
     return run
 
 
-def _joined(threshold: float):
+def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of a and b in double precision, the same whatever else is computed with them."""
+    return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+
+
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    up = parent[at]
+    while (up != (top := parent[up])).any():
+        up = top
+    return up
+
+
+def _linked(x: np.ndarray, y: np.ndarray, same: bool, threshold: float):
+    """Links of rows of x with rows of y (those behind them, if same), a bounded number of x's rows at a time."""
+    u, v = _units(x), _units(y).T
+    step = max(1, (1 << 22) // max(1, len(y)))
+    for s in range(0, len(x), step):
+        got = u[s : s + step] @ v
+        i, j = np.nonzero(got >= threshold + MARGIN)
+        ii, jj = np.nonzero(np.abs(got - threshold) < MARGIN)
+        for t in range(0, len(ii), 1 << 14):
+            p, q = ii[t : t + (1 << 14)], jj[t : t + (1 << 14)]
+            on = exact_cosine(x[s + p], y[q]) >= threshold
+            i, j = np.concatenate([i, p[on]]), np.concatenate([j, q[on]])
+        if same:
+            on = i + s < j
+            i, j = i[on], j[on]
+        yield i + s, j
+
+
+def _joined(kind: str, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        ids, copies, units = table["id"].to_numpy(), table["copies"].to_numpy(), table["unit"].to_pylist()
+        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = table["kind"][0].as_py() == 0 and table["a"][0].as_py() == table["b"][0].as_py()
         if same:
             left = right = np.arange(len(ids))
-        links = np.zeros(len(ids), np.int64)
-        label = np.arange(len(ids))
+        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if len(left) and len(right):
-            y = _matrix([units[i] for i in right])
-            found = []
-            for s in range(0, len(left), 256):
-                part = left[s : s + 256]
-                i, j = np.nonzero(_matrix([units[k] for k in part]) @ y.T >= threshold)
-                i, j = part[i], right[j]
-                on = i < j if same else np.ones(len(i), bool)
-                found.append(np.stack([i[on], j[on]]))
-            i, j = np.concatenate(found, axis=1)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            while len(i):
-                low = np.minimum(label[i], label[j])
-                before = label.copy()
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-                label = label[label]
-                if (label == before).all():
-                    break
-        hit = links > 0
-        return pa.table({"id": pa.array(ids[hit]), "links": pa.array(links[hit]), "other": pa.array(ids[label[hit]])})
+            x, y = (_matrix(table["vector"].take(pa.array(at)).to_pylist(), kind) for at in (left, right))
+            for i, j in _linked(x, y, same, threshold):
+                i, j = left[i], right[j]
+                links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+                while len(i):  # hook larger roots onto smaller ones until both ends of every link agree
+                    p, q = _roots(parent, i), _roots(parent, j)
+                    on = p != q
+                    i, j, p, q = i[on], j[on], p[on], q[on]
+                    np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+        hit = np.flatnonzero(links)
+        return pa.table({"id": pa.array(ids[hit]), "links": pa.array(links[hit]), "other": pa.array(ids[_roots(parent, hit)])})
 
     return run
 
@@ -158,28 +238,37 @@ def _joined(threshold: float):
 def link_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = staged(slim.mapInArrow(_cleaned, "vec_id long, key binary, dim int, unit binary"), "vectors")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("unit").alias("unit"))
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("embedding"))
+    rows = staged(slim.mapInArrow(_cleaned(kind), "vec_id long, key binary, dim int, vector binary"), "vectors")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     classes = staged(classes, "classes")
 
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(16).collect()}
     pivots = {}
-    for dim, n in sizes.items():
-        k = min(PIVOTS, -(-n // CELL))
-        if k > 1:
-            sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("key")).select("unit").limit(SAMPLE).toArrow()
-            pivots[dim] = choose_pivots(_matrix(sample["unit"].to_pylist()), k)
+    full = classes.groupBy("dim").count().where(F.col("count") > CELL).collect()  # lengths with more than a cell
+    for dim, n in full:
+        k = max(2, min(-(-n // CELL), PIVOT_BYTES // (8 * dim * len(full))))
+        sample = classes.where(F.col("dim") == dim).orderBy("key").select("vector").limit(SAMPLE * k).toArrow()  # keys are digests
+        pivots[dim] = choose_pivots(_units(_matrix(sample["vector"].to_pylist(), kind)), k)
     sent = spark.sparkContext.broadcast(pivots)
-    placed = staged(classes.mapInArrow(_assigned(sent), "id long, copies long, dim int, unit binary, cell int, angle double"), "cells")
-    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # one row for each pivot
-    total = {d: sum(r["n"] for r in cells if r["dim"] == d) for d in {r["dim"] for r in cells}}
-    plan = {(r["dim"], r["cell"]): (-(-r["n"] // BLOCK), max(1, -(-(total[r["dim"]] - r["n"]) // BLOCK)), r["radius"]) for r in cells}
+    fields = "id long, copies long, key binary, dim int, vector binary, cell int, angle double"
+    placed = staged(classes.select("id", "copies", "key", "dim", "vector").mapInArrow(_assigned(kind, sent), fields), "cells")
+    eps = float(np.arccos(threshold))
+    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row for each pivot
+    radius = {d: np.full(len(p), -np.inf) for d, p in pivots.items()}  # cells without vectors take no replica
+    for r in cells:
+        if r["dim"] in radius:
+            radius[r["dim"]][r["cell"]] = r["radius"]
+    reach = spark.sparkContext.broadcast(radius)
+    counted = placed.mapInArrow(_counted(kind, sent, reach, eps), "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n"))
+    replicas = {(r["dim"], r["cell"]): r["n"] for r in counted.collect()}  # a row for each pivot at most
+    plan = {(r["dim"], r["cell"]): (-(-r["n"] // BLOCK), -(-replicas.get((r["dim"], r["cell"]), 0) // BLOCK)) for r in cells}
     dealt = placed.mapInArrow(
-        _dealt(sent, spark.sparkContext.broadcast(plan), float(np.arccos(threshold))),
-        "dim int, cell int, kind int, a int, b int, side int, id long, copies long, unit binary",
+        _dealt(kind, sent, reach, spark.sparkContext.broadcast(plan), eps),
+        "dim int, cell int, kind int, a int, b int, side int, id long, copies long, vector binary",
     )
-    found = staged(dealt.groupBy("dim", "cell", "kind", "a", "b").applyInArrow(_joined(threshold), "id long, links long, other long"), "links")
+    found = staged(dealt.groupBy("dim", "cell", "kind", "a", "b").applyInArrow(_joined(kind, threshold), "id long, links long, other long"), "links")
+    discard(placed)
     group = components(found, "id", "other")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = (

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -196,6 +197,33 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.link_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_at_the_threshold(spark, kind):
+    rows = [(1, [8.0, -8.0, 0.0]), (2, [4.0, -5.0, 3.0]), (3, [16.0, -16.0, 0.0]), (4, [0.0, 0.0, 2.0**-70]), (4, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0])]
+    rows += [(100 + i, [math.cos(t), math.sin(t), 0.0]) for i, t in enumerate((2.0, 2.0 + math.acos(0.9) - 1e-3, 2.0 + 2 * math.acos(0.9) + 1e-3))]
+    out = embeddings.link_components(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in out)
+    # 72 / 80 is the threshold; 3 equals 1 up to a factor; both rows named 4 link, as separate vectors.
+    assert got == [(0, 0, None, None), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True), (100, 1, 100, True), (101, 1, 100, False), (102, 0, 102, True)]
+
+
+@pytest.mark.parametrize("dim", [3, 40])
+def test_embeddings_in_cells_against_brute_force(spark, monkeypatch, dim):
+    monkeypatch.setattr(embeddings, "CELL", 50)
+    monkeypatch.setattr(embeddings, "BLOCK", 30)
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(40, dim))
+    v = np.concatenate([base, base[:25] + 0.15 * rng.normal(size=(25, dim)), base[0] + 0.05 * rng.normal(size=(150, dim)), rng.normal(size=(60, dim))])
+    rows = [(int(i), v[i].tolist()) for i in rng.permutation(len(v))]
+    near = (u := v / np.linalg.norm(v, axis=1)[:, None]) @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        label = np.minimum(label, np.where(near, label, len(v)).min(1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(v))}
+
+
 def test_quality(spark):
     rng = random.Random(4)
     rows = [*texts(), (50, prose(rng, 80) + "\n" + "same line here\n" * 3), (51, "# " * 60), (None, None)]
