@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .common import LOWER, U64, bitmap, components, discard, in_bitmap, mix, por
 
 SKETCH_BITS, BLOCK = 23, 1 << 15
 PORTION = 1 << 20
-#: Members that one task compares with one class at most.
-SPREAD = 4000
+#: Sets that are compared with one copy of a class's set at most.
+SPREAD = 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -135,6 +136,23 @@ def _leading(width: int, percent: int, levels):
     return run
 
 
+def _shared(bits):
+    """(id, n, last, at, token): the leading tokens that may be in the bitmap, with their place and the last one of the set."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+            on = np.flatnonzero(in_bitmap(bits.value, flat.view(np.uint64)))
+            row, at = row[on], on - (ends - sizes)[row[on]]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("n").take(take), pa.array(flat[ends - 1][row]), pa.array(at.astype(np.int32)), pa.array(flat[on])], names=["id", "n", "last", "at", "token"])
+
+    return run
+
+
 def _sets_of(width: int, bits):
     """(id, elements): whole sets, six bytes an element, of the documents whose id may be in the bitmap."""
 
@@ -223,13 +241,16 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     rows = summaries.where("block is null").select("doc_id", "n", "digest")
 
     leading = slim.mapInArrow(_leading(width, percent, levels), "doc_id long, n long, digest binary, tokens array<bigint>")
-    classes = leading.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    by_token = Window.partitionBy("token").orderBy("id")
-    met = classes.select("id", "n", F.array_max("tokens").alias("last"), F.posexplode("tokens").alias("at", "token"))
-    met = met.withColumn("behind", F.col("n") - F.col("at") - 1).withColumns({"head": F.first("id").over(by_token), "head_n": F.first("n").over(by_token), "before": F.lag("id").over(by_token), "after": F.lead("id").over(by_token)})
-    met = met.where("before is not null or after is not null").drop("before", "after", "at")
+    classes = staged(leading.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).drop("digest"), "leading")
+    # Tokens that several classes lead with, and the smallest of these; others can be of no use.
+    seen = classes.select("id", "n", F.explode("tokens").alias("token")).groupBy("token")
+    heads = staged(seen.agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.count("*").alias("classes")).where("classes > 1").drop("classes"), "heads")
+    bits = spark.sparkContext.broadcast(bitmap(heads, "token", 26))
+    met = classes.mapInArrow(_shared(bits), "id long, n long, last long, at int, token long").join(heads, "token")
+    met = met.withColumn("behind", F.col("n") - F.col("at") - 1).drop("at")
     # Elements ahead of a token that another class leads with too, and all elements behind it.
     met = staged(met.withColumn("ahead", F.row_number().over(Window.partitionBy("id").orderBy("token")) - 1), "tokens")
+    discard(classes, heads)
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     least_overlap = lambda x, y: F.ceil((percent * (x + y)) / F.lit(100.0 + percent) - 1e-9)
     rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
@@ -302,3 +323,22 @@ def near_duplicates_removed(docs: DataFrame, width: int = 5, percent: int = 80)
     found = jaccard_components(docs, width, percent)
     drop = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def oracle(width: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for `jaccard_components` over documents with unique ids: all pairs that share a shingle."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(width))
+    return f"""
+with recursive t as (select doc_id, {_WORDS} as w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')]
+        else list_distinct([{gram} for i in range(1, len(w) - {width} + 2)]) end) as g from t),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * k >= {percent} * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select doc_id, doc_id from t union select r.a, e.b from r join e on e.a = r.b),
+c as (select a as doc_id, min(b) as component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from c left join n using (doc_id)"""

@@ -63,5 +63,6 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op3_language, op4
 ORACLE = {
     "op4_embedding_join": embeddings.ORACLE,
     "op5_quality_rules": quality.oracle(),
+    "op7_jaccard_join": jaccard.oracle(),
     "op9_chat_format": chat.ORACLE,
 }

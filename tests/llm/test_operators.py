@@ -197,6 +197,36 @@ def test_jaccard_sizes_between_a_groups_ends(spark, width, percent, size, seeds)
     assert got == want
 
 
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_families_at_the_threshold(spark, width, percent):
+    """Many families of texts, each of words of its own, whose neighbours lie at the threshold or just beside it."""
+    rng = random.Random(width)
+    rows, want = [], {}
+    for family in range(250):
+        size = rng.randint(10, 60)
+        text = [f"f{family}w{k}" for k in range(size + width - 1)]
+        own = []
+        for _ in range(rng.randint(2, 5)):
+            own.append((len(rows) + len(own), " ".join(text)))
+            drop = (100 - percent) * len(text) // (100 + percent) + rng.randint(-1, 2)  # about what the threshold allows
+            drop, side = max(0, drop), rng.randrange(3)
+            fresh = [f"f{family}x{rng.randrange(10**6)}" for _ in range(rng.choice([0, drop]) if side else drop)]
+            text = text[drop:] + fresh if side != 1 else fresh + text[: len(text) - drop]
+        rng.shuffle(own)
+        rows += own
+        want |= brute_jaccard(own, width, percent)
+    assert 50 < sum(c != i for i, (_, c) in want.items()) < len(rows) - 300
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(docs(spark, rows), width, percent).collect()}
+    assert got == want
+
+
+def test_jaccard_rows_without_or_with_shared_ids(spark):
+    a, b = (prose(random.Random(k), 80) for k in (1, 2))
+    rows = [(5, a), (5, b), (8, b), (9, a + " tail"), (None, a), (None, None), (11, ""), (11, "one")]
+    got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(docs(spark, rows)).collect())
+    assert got == collections.Counter([(5, 77, 5), (5, 77, 5), (8, 77, 5), (9, 78, 5), (None, 77, None), (None, 0, None), (11, 0, 11), (11, 1, 11)])
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
