@@ -31,7 +31,7 @@ from .common import staged
 
 WINDOW, END_ID = 2048, 1
 #: Words kept by each Python worker.
-KEPT = 700_000
+KEPT = 250_000
 
 
 def _byte_letters() -> list[str]:
