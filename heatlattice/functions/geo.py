@@ -7,15 +7,44 @@ from pyspark.sql import functions as F
 
 #: Digits of geohash codes (fixed values).
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
-_PAIR = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s+([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-_SHAPE = r"(?i)^\s*(POINT|POLYGON|MULTIPOLYGON|LINESTRING|MULTIPOINT)\s*\("
+_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_PAIR = rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER}){{0,2}}"
+_KINDS = "POINT|POLYGON|MULTIPOLYGON|LINESTRING|MULTIPOINT|MULTILINESTRING"
+_SHAPE = rf"(?i)^\s*({_KINDS})\s*(Z|M|ZM)?\s*\("
+_EMPTY = rf"(?i)^\s*({_KINDS})\s+EMPTY\s*$"
 
 
-def wkt_vertices(wkt: Column) -> Column:
-    """array<struct<x, y>> of all vertices in order; null stays null, other text raises."""
-    xs, ys = (F.regexp_extract_all(wkt, F.lit(_PAIR), F.lit(g)) for g in (1, 2))
-    made = F.zip_with(xs, ys, lambda x, y: F.struct((x.cast("double") + F.lit(0.0)).alias("x"), (y.cast("double") + F.lit(0.0)).alias("y")))
-    return F.when(wkt.isNull(), None).when(wkt.rlike(_SHAPE) & (F.size(xs) > 0), made).otherwise(F.raise_error(F.concat(F.lit("not a WKT geometry: "), F.substring(wkt, 1, 60))))
+def wkt_problem(wkt: Column) -> Column:
+    """What is wrong with a geometry text, or null: unknown kind, open brackets, or anything but coordinates in them."""
+    rest = F.regexp_replace(F.regexp_replace(wkt, _SHAPE, "("), _PAIR, "p")
+    count = lambda c: F.length(rest) - F.length(F.replace(rest, F.lit(c)))
+    good = wkt.rlike(_SHAPE) & rest.rlike(r"^(\(\s*)+p[p(),\s]*\)\s*$") & ~rest.rlike(r"p\s*p|,\s*[,)]|\(\s*[,)]|\)\s*[p(]|p\s*\(") & (count("(") == count(")"))
+    return F.when(wkt.isNull() | wkt.rlike(_EMPTY) | good, F.lit(None).cast("string")).otherwise(F.concat(F.lit("not a WKT geometry: "), F.substring(wkt, 1, 60)))
+
+
+def _points(text: Column) -> Column:
+    xs, ys = (F.regexp_extract_all(text, F.lit(_PAIR), F.lit(g)) for g in (1, 2))
+    return F.zip_with(xs, ys, lambda x, y: F.struct((x.cast("double") + F.lit(0.0)).alias("x"), (y.cast("double") + F.lit(0.0)).alias("y")))
+
+
+def wkt_vertices(wkt: Column, strict: bool = True) -> Column:
+    """array<struct<x, y>> of all vertices in order; null stays null, other text raises, or is null if not strict."""
+    problem = wkt_problem(wkt)
+    wrong = F.raise_error(problem) if strict else F.lit(None)
+    return F.when(wkt.isNull(), None).when(problem.isNull(), _points(wkt)).otherwise(wrong)
+
+
+def wkt_polygons(wkt: Column) -> Column:
+    """array (polygons) of arrays (rings, the outer one first) of vertices; for a point one ring of one vertex."""
+    parts = F.split(wkt, r"\)\s*\)\s*,\s*\(\s*\(")
+    rings = lambda part: F.transform(F.regexp_extract_all(F.concat(F.lit("("), part, F.lit(")")), F.lit(r"\(([^()]+)\)"), F.lit(1)), _points)
+    return F.when(wkt.isNotNull() & ~wkt.rlike(_EMPTY), F.transform(parts, rings)).when(wkt.isNotNull(), F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
+
+
+def web_mercator_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
+    """EPSG:3857 metres to EPSG:4326 degrees."""
+    radius = 6378137.0
+    return F.degrees(x / radius), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(1.5707963267948966))
 
 
 def geohash_bounds(code: Column) -> Column:
@@ -53,19 +82,30 @@ def with_geohash_geometry(df: DataFrame, field: str) -> DataFrame:
     return df.withColumn("geometry", geohash_wkt(F.col(field)))
 
 
+def finest_cells(codes: DataFrame, field: str) -> DataFrame:
+    """(code): the distinct cells, coarse ones as their parts of the finest precision there is."""
+    cells = codes.where(F.col(field).isNotNull()).select(F.lower(F.col(field)).alias("code")).distinct()
+    finest = cells.agg(F.max(F.length("code")).alias("finest"))  # one row
+    missing = F.col("finest") - F.length("code")
+    digit = lambda n, k: F.substring(F.lit(BASE32), (F.floor(n / F.pow(F.lit(32), k)) % 32).cast("int") + 1, F.lit(1))
+    suffix = lambda n: F.when(missing > 0, F.concat_ws("", F.transform(F.sequence(missing - 1, F.lit(0), F.lit(-1)), lambda k: digit(n, k)))).otherwise("")
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(32), missing).cast("bigint") - 1), lambda n: F.concat("code", suffix(n)))
+    return cells.join(F.broadcast(finest)).select(F.explode(parts).alias("code")).distinct()
+
+
 def merged_cells(codes: DataFrame, field: str) -> DataFrame:
-    """The union of geohash cells of one precision: its boundary edges (those of one cell only) and, as one row for each
-    edge, the total area."""
-    cells = codes.where(F.col(field).isNotNull()).select(F.lower(F.col(field)).alias("code")).distinct().select(geohash_bounds(F.col("code")).alias("b"))
+    """The boundary edges of the union of geohash cells: those that one cell alone has."""
+    cells = finest_cells(codes, field).select(geohash_bounds(F.col("code")).alias("b"))
     w, s, e, n = (F.col(f"b.{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
     side = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    edges = cells.select(F.explode(F.array(side(w, s, e, s), side(w, n, e, n), side(w, s, w, n), side(e, s, e, n))).alias("edge"), ((e - w) * (n - s)).alias("area"))
+    edges = cells.select(F.explode(F.array(side(w, s, e, s), side(w, n, e, n), side(w, s, w, n), side(e, s, e, n))).alias("edge"))
     return edges.groupBy("edge").agg(F.count("*").alias("k")).where("k = 1").select("edge.*")
 
 
 def cells_area(codes: DataFrame, field: str) -> DataFrame:
+    """One row: the area of the union."""
     b = geohash_bounds(F.col("code"))
-    cells = codes.where(F.col(field).isNotNull()).select(F.lower(F.col(field)).alias("code")).distinct()
+    cells = finest_cells(codes, field)
     return cells.select(((b["max_lon"] - b["min_lon"]) * (b["max_lat"] - b["min_lat"])).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
 
 
@@ -86,3 +126,24 @@ def ring_metrics(v: Column) -> Column:
         low(lambda k: k["x"], F.array_max).alias("max_x"),
         low(lambda k: k["y"], F.array_max).alias("max_y"),
     )
+
+
+def polygon_metrics(polygons: Column) -> Column:
+    """The figures of `ring_metrics` for polygons with holes, and valid: every ring of a polygon is closed, has four points
+    or more and an area. Holes count as negative; without any area the centre is the mean of the vertices."""
+    vertices = F.flatten(F.flatten(polygons))
+    weighed = F.flatten(F.transform(polygons, lambda rings: F.transform(rings, lambda ring, k: F.struct(ring_metrics(ring).alias("m"), F.when(k == 0, 1.0).otherwise(-1.0).alias("sign")))))
+    total = lambda f: F.aggregate(weighed, F.lit(0.0), lambda a, r: a + r["sign"] * f(r["m"]))
+    area = total(lambda m: m["area"])
+    mean = lambda c: F.aggregate(vertices, F.lit(0.0), lambda a, p: a + p[c]) / F.size(vertices)
+    centre = lambda c, axis: F.when(area > 0, total(lambda m: m["area"] * m[c]) / area).otherwise(mean(axis))
+    ends = lambda agg, c: agg(F.transform(vertices, lambda p: p[c]))
+    closed = lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & (ring_metrics(ring)["area"] > 0)
+    return F.when(
+        F.size(vertices) > 0,
+        F.struct(
+            area.alias("area"), centre("cx", "x").alias("cx"), centre("cy", "y").alias("cy"),
+            ends(F.array_min, "x").alias("min_x"), ends(F.array_min, "y").alias("min_y"), ends(F.array_max, "x").alias("max_x"), ends(F.array_max, "y").alias("max_y"),
+            F.forall(polygons, lambda rings: F.forall(rings, closed)).alias("valid"),
+        ),
+    )

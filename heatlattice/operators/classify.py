@@ -90,40 +90,75 @@ def classified(figures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.withColumns({"tau": F.when(live, tau).otherwise(nan), "p_value": F.when(live, p).otherwise(nan)})
 
 
-def _reason(threshold: float) -> Column:
-    c = F.col("classification")
-    return (
-        F.when(c == "skipped_insufficient_data", "At most one time period.")
-        .when(c == "skipped_all_nan", "All Gi* values are missing.")
-        .when(c == NONE, "No pattern's conditions hold.")
-        .otherwise(F.concat(F.lit("First pattern whose conditions hold: "), c))
-    )
+#: What each label says, and the figures that decide on it.
+REASONS = {
+    "new hotspot": ("Only the last period is significant, and it is hot.", ("significant", "last")),
+    "new coldspot": ("Only the last period is significant, and it is cold.", ("significant", "last")),
+    "consecutive hotspot": ("One unbroken significant run, the only one, ends hot in the last period.", ("last", "run", "significant", "hot_share")),
+    "consecutive coldspot": ("One unbroken significant run, the only one, ends cold in the last period.", ("last", "run", "significant", "cold_share")),
+    "intensifying hotspot": ("Significant nearly always and at the end, with a significant upward trend.", ("share", "last", "trend")),
+    "intensifying coldspot": ("Cold nearly always and significant at the end, with a significant downward trend.", ("cold_share", "last", "trend")),
+    "persistent hotspot": ("Hot nearly always, without a significant trend.", ("hot_share", "trend")),
+    "persistent coldspot": ("Cold nearly always, without a significant trend.", ("cold_share", "trend")),
+    "diminishing hotspot": ("Hot nearly always and at the end, with a significant downward trend.", ("hot_share", "last", "trend")),
+    "diminishing coldspot": ("Cold nearly always and significant at the end, with a significant upward trend.", ("cold_share", "last", "trend")),
+    "oscilating hotspot": ("Hot at the end after cold periods.", ("last", "cold", "hot_share")),
+    "oscilating coldspot": ("Cold at the end after hot periods.", ("last", "hot", "cold_share")),
+    "historical hotspot": ("Hot nearly always, but below the mean at the end.", ("hot_share", "last")),
+    "historical coldspot": ("Cold nearly always, but above the mean at the end.", ("cold_share", "last")),
+    "sporadic hotspot": ("Hot now and then, never cold.", ("hot", "cold", "hot_share")),
+    "sporadic coldspot": ("Cold now and then, never hot.", ("cold", "hot", "cold_share")),
+}
+SKIPPED = {"skipped_insufficient_data": "There is at most one time period.", "skipped_all_nan": "All Gi* values are missing.", "error_processing": "The region could not be processed.", NONE: "No pattern's conditions hold."}
+
+
+def criteria(threshold: float = THRESHOLD) -> Column:
+    """The deciding figures of a region's label as sentences, from columns of `classified`."""
+    count = lambda k, what: F.format_string(f"%d of %d periods are {what}", F.col(k), F.col("n"))
+    share = lambda k, what: F.format_string(f"share of {what} periods: %.2f (limit 0.90)", F.col(k) / F.col("n"))
+    said = {
+        "significant": count("n_sig", "significant"),
+        "hot": count("n_hot", "significantly hot"),
+        "cold": count("n_cold", "significantly cold"),
+        "share": share("n_sig", "significant"),
+        "hot_share": share("n_hot", "significantly hot"),
+        "cold_share": share("n_cold", "significantly cold"),
+        "run": F.format_string("the significant run at the end has %d periods", F.col("run")),
+        "last": F.format_string("Gi* of the last period: %.4f, significant: %s", F.col("last_gi"), F.initcap(F.col("last_sig").cast("string"))),
+        "trend": F.format_string(f"trend: tau %.4f, p %.4f (level {threshold})", F.col("tau"), F.col("p_value")),
+    }
+    made = F.lit(None).cast("array<string>")
+    for name, (_, facts) in reversed(REASONS.items()):
+        made = F.when(F.col("classification") == name, F.array(*(said[f] for f in facts))).otherwise(made)
+    return F.coalesce(made, F.array().cast("array<string>"))
 
 
-def result(done: DataFrame, edges: DataFrame, field: str = "region", threshold: float = THRESHOLD) -> DataFrame:
-    """The nested result, one row for each region."""
+def _reason() -> Column:
+    texts = {name: text for name, (text, _) in REASONS.items()} | SKIPPED
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in texts.items() for x in pair)), F.col("classification"))
+
+
+def result(done: DataFrame, edges: DataFrame, field: str = "region", threshold: float = THRESHOLD, problems: DataFrame | None = None) -> DataFrame:
+    """The nested result, one row for each region. Regions in problems (region, problem) are `error_processing` and keep
+    what was computed for them. Rows come in no order; `orderBy` the region for one."""
     near = edges.groupBy("region").agg(F.sort_array(F.collect_list("neighbor")).alias("near"))
+    if problems is None:
+        done = done.withColumn("problem", F.lit(None).cast("string"))
+    else:
+        done = done.join(problems, "region", "left")
+    done = done.withColumn("classification", F.when(F.col("problem").isNotNull(), "error_processing").otherwise(F.col("classification")))
     c = F.col("classification")
     live = ~c.startswith("skipped")
     gs = F.transform("series", lambda s: s["gi"])
     text = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss") if dict(done.select(F.col("series")[0]["t"].alias("t")).dtypes)["t"].startswith("timestamp") else t.cast("string")
-    share = lambda k: F.format_string("%.2f", F.col(k) / F.col("n"))
-    criteria = F.array(
-        F.concat(F.lit("significant periods: "), F.col("n_sig"), F.lit(" of "), F.col("n")),
-        F.concat(F.lit("share of hot periods: "), share("n_hot")),
-        F.concat(F.lit("share of cold periods: "), share("n_cold")),
-        F.concat(F.lit("significant run at the end: "), F.col("run")),
-        F.concat(F.lit("last period significant: "), F.initcap(F.col("last_sig").cast("string")), F.lit(", Gi* "), F.format_string("%.4f", "last_gi")),
-        F.concat(F.lit("trend tau "), F.format_string("%.4f", "tau"), F.lit(", p "), F.format_string("%.4f", "p_value")),
-    )
     none = F.array().cast("array<string>")
     return done.join(near, "region", "left").select(
         F.col("region").alias(field),
         c.alias("classification"),
         F.struct(
-            F.when(live & (c != NONE), criteria).otherwise(none).alias("criteria_met"),
-            _reason(threshold).alias("reason"),
-            F.lit(None).cast("string").alias("error_message"),
+            criteria(threshold).alias("criteria_met"),
+            _reason().alias("reason"),
+            F.col("problem").alias("error_message"),
             F.struct(
                 F.transform(gs, lambda g: F.round(g, 4)).alias("gi_star_series"),
                 F.transform("series", lambda s: s["sig"]).alias("significance_series"),
@@ -143,7 +178,7 @@ def result(done: DataFrame, edges: DataFrame, field: str = "region", threshold:
         F.struct(
             F.coalesce("near", none).alias("neighbors_config"),
             F.transform(F.coalesce("near", none), lambda x: 1.0 / F.size("near")).alias("weights_config"),
-            F.lit("Queen contiguity with the region itself, equal weights").alias("note"),
+            F.when(c == "error_processing", "Queen contiguity with the region itself, as far as its geometry could be read").otherwise("Queen contiguity with the region itself, equal weights").alias("note"),
         ).alias("spatial_context_summary"),
         F.transform("series", lambda s: F.struct(text(s["t"]).alias("time_period"), s["gi"].alias("value"), s["sig"].alias("is_significant"), s["x"].alias("original_value"))).alias("location_data"),
         "tau",

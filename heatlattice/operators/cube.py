@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clean_value, region_text
+from .numbering import numbered
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -62,22 +63,15 @@ def keyed(cube: DataFrame) -> DataFrame:
 def positional(cube: DataFrame) -> DataFrame:
     """(region, t, x) with the slot r and block b of each row's place in the order (time, region, value).
 
-    A row's place is its time's offset, a running sum over the few times, plus its rank within the time, so no task sorts
-    the whole cube. Slot i stands for the i-th region in order of first appearance; rows past regions * times are surplus.
+    Slot i stands for the i-th region in order of first appearance; rows past regions * times are surplus.
     """
-    counts = cube.groupBy("t").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("t").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("t", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    shape = cube.agg(F.countDistinct("region").alias("regions"), F.countDistinct("t").alias("times"))
-    within = Window.partitionBy("t").orderBy("region", "x")
-    idx = (F.col("offset") + F.row_number().over(within) - 1).alias("idx")
-    placed = cube.join(offsets, "t").select("region", "t", "x", idx).join(F.broadcast(shape))  # one row
-    return placed.select(
-        "region", "t", "x", F.expr("idx % regions").cast("string").alias("r"), F.expr("idx div regions").cast("int").alias("b"), (F.col("idx") >= F.col("regions") * F.col("times")).alias("surplus")
-    )
+    placed = numbered(cube.select("region", "t", "x"), [F.col("t").asc_nulls_last(), F.col("region"), F.col("x")], "idx")
+    shape = placed.agg(F.countDistinct("region").alias("regions"), F.countDistinct("t").alias("times"))
+    placed = placed.join(F.broadcast(shape))  # one row
+    return placed.select("region", "t", "x", F.expr("idx % regions").alias("r"), F.expr("idx div regions").cast("int").alias("b"), (F.col("idx") >= F.col("regions") * F.col("times")).alias("surplus"))
 
 
 def slots(cube: DataFrame) -> DataFrame:
     """(region, slot): regions in order of first appearance, one row a region."""
     first = cube.groupBy("region").agg(F.min("t").alias("t"))
-    return first.select("region", (F.row_number().over(Window.orderBy("t", "region")) - 1).cast("string").alias("slot"))
+    return numbered(first, [F.col("t").asc_nulls_last(), F.col("region")], "slot").select("region", "slot")

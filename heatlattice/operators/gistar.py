@@ -37,3 +37,8 @@ def gi_star(obs: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
 
 def cluster_label(gi: Column, p: Column, threshold: float = THRESHOLD) -> Column:
     return F.when((p <= threshold) & (gi > 0), "Hot Spot").when((p <= threshold) & (gi < 0), "Cold Spot").otherwise("Not Significant")
+
+
+def significance_counts(scored: DataFrame, levels: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
+    """One row: the cells, and those with p_sim at most each level."""
+    return scored.agg(F.count("*").alias("cells"), *(F.count_if(F.col("p_sim") <= x).alias(f"at_{x:g}".replace(".", "_")) for x in levels))

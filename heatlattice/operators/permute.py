@@ -1,9 +1,11 @@
 """Conditional permutation p-values: each cell draws as many other cells as it has neighbour values, without
 replacement, nsim times; p is the smaller of both tails, ties in both, over nsim + 1.
 
-Cells have numbers o = time index * regions + region index. Draws depend on (seed, simulation, cell, draw) alone, so
-results are the same however the rows lie. `native` explodes draws and joins values by cell number; `numpy` looks them up
-in the broadcast vector of values and is used while that vector is below BROADCAST cells.
+Cells have numbers o = time index * regions + region index. Draw d of a simulation is s * A**d modulo the prime P, twice
+with two starts and multipliers for 62 bits, where the starts are scrambled from (seed, cell, simulation): in integers
+that Spark, numpy and SQL compute alike. So results are the same however the rows lie and whichever backend runs:
+`native` explodes draws and joins values by cell number; `numpy` looks them up in the broadcast vector of values, and
+is what `auto` takes while that vector is below BROADCAST cells.
 """
 
 from __future__ import annotations
@@ -11,12 +13,18 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .gistar import closed_form
+from .numbering import numbered as in_order
 
 MOST, SOFT, BROADCAST, SLACK = 9999, 999, 4_000_000, 16
+P = 2**31 - 1
+#: Multipliers of both sequences, steps of the simulation in both starts, and what the rounds of scrambling add.
+A, STEPS, ROUNDS = (48271, 39373), (742938285, 950706376), (1226874159, 62089911)
+PORTION = 1 << 21
 
 
 def check_nsim(nsim) -> int:
@@ -30,59 +38,146 @@ def check_nsim(nsim) -> int:
 
 
 def numbered(gi: DataFrame) -> DataFrame:
-    """gi with o (cell number) and total (cells of the cube); regions are numbered by their names or slots."""
-    regions = gi.where(~F.col("surplus")).select("r").distinct()
-    regions = regions.select("r", (F.row_number().over(Window.orderBy("r")) - 1).alias("r_idx"))
-    shape = gi.where(~F.col("surplus")).agg(F.countDistinct("r").alias("regions"), (F.max("b") + 1).alias("times"))
-    out = gi.join(regions, "r", "left").join(F.broadcast(shape))  # one row
+    """gi with o (cell number) and total (cells of the cube); regions are numbered by their slots, or by their names."""
+    real = gi.where(~F.col("surplus"))
+    shape = real.agg(F.countDistinct("r").alias("regions"), (F.max("b") + 1).alias("times"))
+    if dict(gi.dtypes)["r"] == "bigint":
+        out = gi.withColumn("r_idx", F.col("r"))
+    else:
+        out = gi.join(in_order(real.select("r").distinct(), [F.col("r")], "r_idx"), "r", "left")
+    out = out.join(F.broadcast(shape))  # one row
     return out.withColumns({"o": F.col("b") * F.col("regions") + F.col("r_idx"), "total": F.col("regions") * F.col("times")})
 
 
-def draws(cells: DataFrame, nsim: int, seed: int, slack: int = SLACK) -> DataFrame:
+def scrambled(x, rounds=ROUNDS):
+    """Rounds of x**5 + c modulo P, one to one on 0 to P - 1; for integers, numpy arrays and columns."""
+    for c in rounds:
+        square = x * x % P
+        x = (square * square % P * x + c) % P
+    return x
+
+
+def tries(m, total, least=min, ceil=lambda a, b: -(-a // b)):
+    """How many draws are looked at first: enough for m different cells but in a vanishing share of cases."""
+    return m + SLACK + ceil(2 * m * m, total) if 3 * m < total else least(20 * total, 40 * m + 200)
+
+
+def powers(n: int) -> np.ndarray:
+    """A[0]**d and A[1]**d modulo P for d from 1 to n."""
+    out = np.ones((2, n + 1), np.int64)
+    for k, a in enumerate(A):
+        have = 1
+        while have <= n:
+            out[k, have : 2 * have] = out[k, : min(have, n + 1 - have)] * pow(a, have, P) % P
+            have *= 2
+    return out[:, 1:]
+
+
+def draws(cells: DataFrame, nsim: int, seed: int) -> DataFrame:
     """(o, sim, j): the cells drawn for each cell and simulation; cells has o, m, total."""
     check_nsim(nsim)
-    sims = cells.select("o", "m", "total", F.explode(F.sequence(F.lit(1), F.lit(nsim))).alias("sim"))
-    number = lambda d: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sim").cast("string"), F.col("o").cast("string"), d.cast("string"))), 1, 8), 16, 10).cast("bigint")
-    place = lambda d: (F.col("o") + 1 + number(d) % F.greatest(F.col("total") - 1, F.lit(1))) % F.col("total")
-    enough = F.col("total") - 1 >= F.col("m")
-    # Where the neighbourhood is a large share of the cube, more draws are needed to find so many different cells.
-    most = F.col("m") + F.when(3 * F.col("m") < F.col("total"), slack).otherwise(F.least(20 * F.col("total"), 40 * F.col("m") + 200))
-    made = F.transform(F.sequence(F.lit(1).cast("bigint"), F.when(enough, most).otherwise(F.col("m")).cast("bigint")), place)
-    chosen = F.slice(F.when(enough, F.array_distinct(made)).otherwise(made), F.lit(1), F.col("m").cast("int"))
-    return sims.where("total > 1").select("o", "sim", F.explode(chosen).alias("j"))
+    m, total = F.col("m"), F.col("total")
+    most = F.when(3 * m < total, m + SLACK + F.ceil(2 * m * m / total)).otherwise(F.least(20 * total, 40 * m + 200))
+    most = F.when(total - 1 >= m, most).otherwise(m).cast("int")
+    rows = cells.where("total > 1 and m > 0").select("o", "m", "total", most.alias("most"))
+    longest = rows.agg(F.max("most")).first()[0] or 0
+    table = powers(longest)
+    listed = [F.transform(F.split(F.lit(",".join(map(str, t.tolist()))), ","), lambda v: v.cast("bigint")) for t in table]  # folded to constants
+
+    def step(df: DataFrame, name: str, start: Column) -> DataFrame:
+        """A column, scrambled: a projection for each round, so that none is written out twice."""
+        df = df.withColumn(name, start)
+        for c in ROUNDS:
+            df = df.withColumn(name, scrambled(F.col(name), (c,)))
+        return df
+
+    rows = step(rows, "key", (F.col("o") % P * 16807 + F.expr(f"o div {P}") * 69621 + (seed * 40692 + 1) % P) % P)
+    rows = rows.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(nsim))))
+    for k, c in enumerate(STEPS):
+        rows = step(rows, f"start{k}", (F.col("key") + F.col("sim") * F.lit(c).cast("bigint") + k) % P)
+        rows = rows.withColumn(f"start{k}", F.col(f"start{k}") % (P - 1) + 1)
+    place = lambda a, b: (F.col("o") + 1 + (F.col("start0") * a % P * P + F.col("start1") * b % P) % (F.col("total") - 1)) % F.col("total")
+    first = [F.slice(t, F.lit(1), F.col("most")) for t in listed]
+    made = rows.select("o", "sim", "m", "total", F.zip_with(*first, place).alias("made"))
+    enough = F.col("total") - 1 >= m
+    # Should the draws hold too few different cells, the cells that follow o fill up.
+    rest = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("total") - 1), lambda d: (F.col("o") + d) % F.col("total"))
+    made = made.withColumn("made", F.when(enough, F.array_distinct("made")).otherwise(F.col("made")))
+    made = made.withColumn("made", F.when(F.size("made") < m, F.array_distinct(F.concat("made", rest))).otherwise(F.col("made")))
+    return made.select("o", "sim", F.explode(F.slice("made", F.lit(1), m.cast("int"))).alias("j"))
+
+
+def starts(o: np.ndarray, nsim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both starts for each cell and simulation."""
+    key = scrambled((o % P * 16807 + o // P * 69621 + (seed * 40692 + 1) % P) % P)
+    sim = np.arange(1, nsim + 1, dtype=np.int64)
+    return tuple(scrambled((key[:, None] + sim * c + k) % P) % (P - 1) + 1 for k, c in enumerate(STEPS))
+
+
+def picks(o: np.ndarray, m: int, total: int, nsim: int, seed: int) -> np.ndarray:
+    """The same cells as `draws`, as an array (cell, simulation, draw), for cells with m neighbour values each."""
+    most = tries(m, total) if total - 1 >= m else m
+    up = powers(most)
+    s, t = (x.ravel() for x in starts(o, nsim, seed))
+    own = np.repeat(o, nsim)
+    place = lambda at, n: (own[at, None] + 1 + (s[at, None] * up[0, :n] % P * P + t[at, None] * up[1, :n] % P) % (total - 1)) % total
+    out = place(slice(None), m)
+    if total - 1 >= m:
+        order = np.sort(out, axis=1)
+        bad = np.flatnonzero((order[:, 1:] == order[:, :-1]).any(axis=1))
+        for i in range(0, len(bad), max(1, PORTION // most)):
+            at = bad[i : i + max(1, PORTION // most)]
+            made = place(at, most)
+            order = np.argsort(made, axis=1, kind="stable")
+            ranked = np.take_along_axis(made, order, 1)
+            new = np.ones(made.shape, bool)
+            np.put_along_axis(new, order[:, 1:], ranked[:, 1:] != ranked[:, :-1], 1)
+            count = np.cumsum(new, axis=1)
+            full = count[:, -1] >= m
+            out[at[full]] = made[full][new[full] & (count[full] <= m)].reshape(-1, m)
+            for k in np.flatnonzero(~full):
+                found = dict.fromkeys(made[k].tolist())
+                found.update(dict.fromkeys(((own[at[k]] + np.arange(1, total)) % total).tolist()))
+                out[at[k]] = list(found)[:m]
+    return out.reshape(len(o), nsim, m)
 
 
 def p_values(gi: DataFrame, nsim: int = 199, seed: int = 77, backend: str = "auto") -> DataFrame:
     """gi with p_sim and upper, lower tail counts; cells without neighbours and surplus rows have p 1."""
     check_nsim(nsim)
-    cells = numbered(gi)
+    if backend not in ("auto", "numpy", "native"):
+        raise ValueError("backend must be 'auto', 'numpy' or 'native'")
+    cells = staged(numbered(gi), "gi")  # read by all that follows
     real = cells.where(~F.col("surplus") & F.col("m").isNotNull())
     if backend == "auto":
         backend = "numpy" if real.count() <= BROADCAST else "native"
-    tails = (_native if backend == "native" else _numpy)(real, nsim, seed)
+    # Rows that share a cell have all but x in common.
+    one = real.where("total > 1").groupBy("o").agg(*(F.min(c).alias(c) for c in ("m", "total", "s", "n", "mean", "var", "gi", "x")))
+    tails = (_native if backend == "native" else _numpy)(one, nsim, seed)
     out = cells.join(tails, "o", "left")
     flat = F.col("surplus") | F.col("upper").isNull()
     p = F.least(F.col("upper"), F.col("lower")) / F.lit(nsim + 1.0)
     return out.withColumn("p_sim", F.when(flat, 1.0).otherwise(p)).drop("regions", "times", "r_idx")
 
 
-def _native(real: DataFrame, nsim: int, seed: int) -> DataFrame:
-    one = real.select("o", "m", "total", "s", "n", "mean", "var", "gi").dropDuplicates(["o"])
-    values = real.groupBy(F.col("o").alias("j")).agg(F.first("x").alias("v"))
+def _native(one: DataFrame, nsim: int, seed: int) -> DataFrame:
+    values = one.select(F.col("o").alias("j"), F.col("x").alias("v"))
     sums = draws(one, nsim, seed).join(values, "j").groupBy("o", "sim").agg(F.sum("v").alias("sim_s"), F.count("*").alias("sim_m"))
-    met = sums.join(one, "o")
+    met = sums.join(one.drop("x"), "o")
     same = F.col("sim_m") == F.col("m")
     live = (F.col("n") > F.col("m")) & (F.col("var") > 0)
     sim_gi = closed_form(F.col("sim_s"), F.col("sim_m"), F.col("n"), F.col("mean"), F.col("var"))
     above = F.when(same & live, F.col("sim_s") >= F.col("s")).otherwise(sim_gi >= F.col("gi"))
     below = F.when(same & live, F.col("sim_s") <= F.col("s")).otherwise(sim_gi <= F.col("gi"))
-    return met.groupBy("o").agg((F.count_if(above) + 1).alias("upper"), (F.count_if(below) + 1).alias("lower"))
+    # Draws that meet no value at all count as 0, as those of a flat slice do.
+    tails = met.groupBy("o").agg(F.count_if(above).alias("above"), F.count_if(below).alias("below"), F.count("*").alias("met"), F.first("gi").alias("gi"))
+    blank = nsim - F.col("met")
+    return tails.select("o", (F.col("above") + F.when(F.col("gi") <= 0, blank).otherwise(0) + 1).alias("upper"), (F.col("below") + F.when(F.col("gi") >= 0, blank).otherwise(0) + 1).alias("lower"))
 
 
-def _numpy(real: DataFrame, nsim: int, seed: int) -> DataFrame:
-    spark = real.sparkSession
-    slim = real.select("o", "m", "total", "s", "n", "mean", "var", "gi", "x").dropDuplicates(["o"])
-    got = slim.select("o", "x", "total").toPandas()  # bounded by BROADCAST
+def _numpy(one: DataFrame, nsim: int, seed: int) -> DataFrame:
+    spark = one.sparkSession
+    got = one.select("o", "x", "total").toPandas()  # bounded by BROADCAST
     total = int(got["total"].iloc[0]) if len(got) else 0
     vector = np.full(total, np.nan)
     vector[got["o"].to_numpy().astype(np.int64)] = got["x"].to_numpy()
@@ -90,34 +185,21 @@ def _numpy(real: DataFrame, nsim: int, seed: int) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            upper, lower = np.ones(len(f), np.int64), np.ones(len(f), np.int64)
-            for i, (o, m, s, n, mean, var, gi) in enumerate(zip(f.o, f.m, f.s, f.n, f["mean"], f["var"], f.gi, strict=True)):
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(o)]))
-                picks = _picks(rng, nsim, int(m), total - 1)
-                v = sent.value[picks + (picks >= o)]
-                there = ~np.isnan(v)
-                sums, sizes = np.where(there, v, 0.0).sum(1), there.sum(1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    usable = (n > sizes) & (sizes > 0) & (var > 0)
-                    z = np.where(usable, (sums - sizes * mean) / np.sqrt(var * sizes * (n - sizes) / max(1, n - 1)), 0.0)
-                same = (sizes == m) & (n > m) & (var > 0)
-                upper[i] += int(np.where(same, sums >= s, z >= gi).sum())
-                lower[i] += int(np.where(same, sums <= s, z <= gi).sum())
-            yield f[["o"]].assign(upper=upper, lower=lower)
-
-    return slim.repartition("o").mapInPandas(run, "o bigint, upper bigint, lower bigint")
-
-
-def _picks(rng, nsim: int, m: int, others: int) -> np.ndarray:
-    """nsim rows of m different numbers below `others`; with replacement where there are fewer than m."""
-    if others < m:
-        return rng.integers(0, max(1, others), (nsim, m))
-    if 3 * m >= others:
-        return np.argsort(rng.random((nsim, others)), axis=1)[:, :m]
-    out = rng.integers(0, others, (nsim, m))
-    while True:
-        order = np.sort(out, axis=1)
-        bad = (order[:, 1:] == order[:, :-1]).any(axis=1)
-        if not bad.any():
-            return out
-        out[bad] = rng.integers(0, others, (int(bad.sum()), m))
+            for m in np.unique(f.m.to_numpy()).tolist():
+                part = f[f.m == m]
+                step = max(1, PORTION // (nsim * int(m)))
+                for i in range(0, len(part), step):
+                    g = part.iloc[i : i + step]
+                    v = sent.value[picks(g.o.to_numpy().astype(np.int64), int(m), total, nsim, seed)]
+                    there = ~np.isnan(v)
+                    sums, sizes = np.where(there, v, 0.0).sum(2), there.sum(2)
+                    s, n, mean, var, gi = (g[c].to_numpy()[:, None] for c in ("s", "n", "mean", "var", "gi"))
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        usable = (n > sizes) & (sizes > 0) & (var > 0)
+                        z = np.where(usable, (sums - sizes * mean) / np.sqrt(var * sizes * (n - sizes) / np.maximum(1, n - 1)), 0.0)
+                    same = (sizes == m) & (n > m) & (var > 0)
+                    upper = np.where(same, sums >= s, z >= gi).sum(1) + 1
+                    lower = np.where(same, sums <= s, z <= gi).sum(1) + 1
+                    yield g[["o"]].assign(upper=upper, lower=lower)
+
+    return one.mapInPandas(run, "o bigint, upper bigint, lower bigint")

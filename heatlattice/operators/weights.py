@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.geo import wkt_vertices
 
 
-def vertices(geo: DataFrame, region: str = "region", geometry: str = "geometry", snap: int | None = None) -> DataFrame:
-    """(region, vx, vy), distinct; snap rounds to so many decimals, else vertices must be equal bit for bit."""
+def vertices(geo: DataFrame, region: str = "region", geometry: str = "geometry", snap: int | None = None, strict: bool = True) -> DataFrame:
+    """(region, vx, vy), distinct; snap rounds to so many decimals, else vertices must be equal bit for bit.
+    What is no geometry raises, or has no vertex if not strict."""
     kind = dict(geo.dtypes)[geometry]
-    points = F.col(geometry) if kind.startswith("array") else wkt_vertices(F.col(geometry))
+    points = F.col(geometry) if kind.startswith("array") else wkt_vertices(F.col(geometry), strict)
     axis = lambda c: F.round(F.col(f"v.{c}"), snap) + 0.0 if snap is not None else F.col(f"v.{c}") + F.lit(0.0)
     return geo.select(F.col(region).alias("region"), F.explode(points).alias("v")).select("region", axis("x").alias("vx"), axis("y").alias("vy")).distinct()
 
 
-def queen_edges(geo: DataFrame, region: str = "region", geometry: str = "geometry", snap: int | None = None) -> DataFrame:
+def queen_edges(geo: DataFrame, region: str = "region", geometry: str = "geometry", snap: int | None = None, strict: bool = True) -> DataFrame:
     """(region, neighbor) with each region its own neighbour; a point touches only coincident points."""
-    v = vertices(geo, region, geometry, snap)
+    v = vertices(geo, region, geometry, snap, strict)
     a, b = v.alias("a"), v.alias("b")
     met = a.join(b, (F.col("a.vx") == F.col("b.vx")) & (F.col("a.vy") == F.col("b.vy")) & (F.col("a.region") != F.col("b.region")))
     own = geo.select(F.col(region).alias("region")).distinct()

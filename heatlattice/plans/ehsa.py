@@ -10,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import wkt_problem
 from ..operators import classify, cube, gistar, permute, weights
+from ..storage import staged
 
 log = logging.getLogger("heatlattice")
 
@@ -42,42 +44,58 @@ def gi_star_by_period(observations: DataFrame, edges: DataFrame) -> DataFrame:
     return gi_star_spacetime(observations, edges)
 
 
-def file_log(save_log: bool, log_dir: str | None) -> logging.Handler | None:
-    if not save_log:
-        return None
-    folder = Path(log_dir or ".")
-    folder.mkdir(parents=True, exist_ok=True)
-    handler = logging.FileHandler(folder / f"ehsa_log_{datetime.now():%Y%m%d_%H%M%S}.txt")
-    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
-    log.addHandler(handler)
-    return handler
+def handlers(save_log: bool, log_dir: str | None) -> list[logging.Handler]:
+    """A console handler, and one for a file if asked for."""
+    out: list[logging.Handler] = [logging.StreamHandler()]
+    if save_log:
+        folder = Path(log_dir or ".")
+        folder.mkdir(parents=True, exist_ok=True)
+        out.append(logging.FileHandler(folder / f"ehsa_log_{datetime.now():%Y%m%d_%H%M%S}.txt"))
+    for handler in out:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    return out
 
 
 def emerging_hotspot_analysis(
     df: DataFrame, region_id_field: str, time_period_field: str, value: str, seed: int = 77, save_log: bool = False, log_dir: str | None = None,
     k: int = 1, nsim: int = 49, gap_policy: str = "positional", backend: str = "auto", snap: int | None = None, summary: bool = False,
+    on_error: str = "row",
 ) -> DataFrame:
     """One row for each region with its pattern. The default nsim of 49 cannot reach the significance level of 0.01; use 99
-    or more to find patterns. `summary` logs label counts, which runs the plan."""
+    or more to find patterns.
+
+    A region whose geometry cannot be read has no neighbour but itself and is `error_processing` with a message; with
+    on_error "raise" it ends the run. Progress goes to the console, and to a file with save_log. With save_log or summary
+    the result is computed at once, written to the shared folder, and its time and label counts are logged.
+    """
     permute.check_nsim(nsim)
+    if on_error not in ("row", "raise"):
+        raise ValueError("on_error must be 'row' or 'raise'")
     cube.require(df, region_id_field, time_period_field, value, "geometry")
-    handler = file_log(save_log, log_dir)
+    writers = handlers(save_log, log_dir)
     try:
         began = time.time()
         log.info("analysis of %s by %s and %s, k %d, nsim %d, seed %d", value, region_id_field, time_period_field, k, nsim, seed)
         observations = prepare(df, region_id_field, time_period_field, value)
         geo = cube.region_geometry(df.withColumn(region_id_field, F.coalesce(F.col(region_id_field).cast("string"), F.lit("None"))), region_id_field)
-        edges = weights.queen_edges(geo, region_id_field, "geometry", snap)
+        edges = weights.queen_edges(geo, region_id_field, "geometry", snap, on_error == "raise")
+        problems = None
+        if on_error == "row" and dict(geo.dtypes)["geometry"] == "string":
+            problems = geo.select(F.col(region_id_field).alias("region"), wkt_problem(F.col("geometry")).alias("problem")).where("problem is not null")
         series = gi_star_spacetime(observations, edges, k, nsim, seed, gap_policy, backend)
+        log.info("Gi* and draws prepared in %.2f s", time.time() - began)
         done = classify.classified(classify.region_figures(series.select("region", "t", "x", "gi", "p_sim")))
-        out = classify.result(done, edges, region_id_field)
-        if summary:
+        out = classify.result(done, edges, region_id_field, problems=problems)
+        if summary or save_log:
+            out = staged(out, "ehsa")
             for row in classify.label_distribution(out).orderBy(F.desc("regions")).collect():
                 log.info("%s: %d (%.1f %%)", row["classification"], row["regions"], row["percent"])
             log.info("tau: %s", classify.describe_tau(out).first().asDict())
-        log.info("planned in %.2f s", time.time() - began)
+            log.info("computed in %.2f s", time.time() - began)
         return out
     finally:
-        if handler:
+        for handler in writers:
             log.removeHandler(handler)
             handler.close()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, numeric
+from .functions import geo, numeric, union
 from .operators import classify, cube, gistar, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest
@@ -50,12 +50,12 @@ def nation_orders(spark, d):
 
 
 def ny(spark, d):
-    rows = nation_orders(spark, d).where("o_orderdate < '2001-01-01'")
+    rows = nation_orders(spark, d)
     return rows.groupBy("region", F.year("o_orderdate").alias("t")).agg(F.count("*").cast("double").alias("x"))
 
 
 def nq(spark, d):
-    rows = nation_orders(spark, d).where("o_orderdate < '2001-07-01'")
+    rows = nation_orders(spark, d)
     return rows.groupBy("region", F.date_trunc("quarter", "o_orderdate").alias("t")).agg(F.count("*").cast("double").alias("x"))
 
 
@@ -77,9 +77,9 @@ def user_geo(spark, d):
 
 
 NY = """obs as (select c_nationkey::varchar as region, year(o_orderdate) as t, count(*)::double as x
-  from orders join customer on o_custkey = c_custkey where o_orderdate < '2001-01-01' group by 1, 2)"""
+  from orders join customer on o_custkey = c_custkey group by 1, 2)"""
 NQ = """obs as (select c_nationkey::varchar as region, date_trunc('quarter', o_orderdate)::timestamp as t, count(*)::double as x
-  from orders join customer on o_custkey = c_custkey where o_orderdate < '2001-07-01' group by 1, 2)"""
+  from orders join customer on o_custkey = c_custkey group by 1, 2)"""
 SY = """obs as (select l_suppkey::varchar as region, year(l_shipdate) as t, sum(l_quantity::bigint)::double as x from lineitem group by 1, 2)"""
 UD = """obs as (select user_id::varchar as region, date_trunc('day', ts)::timestamp as t, count(*)::double as x from events group by 1, 2)"""
 NATION_KEYS = "select n_nationkey as key from nation"
@@ -168,6 +168,48 @@ def geohash_union(spark, d):
     return area.join(geo.merged_cells(codes, "code").agg(F.count("*").cast("int").alias("edges")))
 
 
+#: Sets of cells: two that touch along a side, two that touch in a corner, a cell with all but one of its 32 parts (a hole),
+#: parts and the whole of a cell, no cell.
+UNIONS = {"side": ["9q8yy", "9q8yz"], "corner": ["9q8yy", "9q8zp"], "hole": ["9q8y" + c for c in geo.BASE32 if c != "s"], "mixed": ["9q8y", "9q8yy", "9q8yyb", "9q8z"], "none": []}
+
+
+@query("""select * from (values ('side', 'POLYGON', 1, 1, round(2 * 0.0439453125::double * 0.0439453125::double, 9), true), ('corner', 'MULTIPOLYGON', 2, 2, round(2 * 0.0439453125::double * 0.0439453125::double, 9), true),
+ ('hole', 'POLYGON', 1, 2, round(31 * 0.0439453125::double * 0.0439453125::double, 9), true), ('mixed', 'POLYGON', 1, 1, round(64 * 0.0439453125::double * 0.0439453125::double, 9), true), ('none', 'POLYGON', 0, 0, 0.0::double, true)) v(id, kind, polygons, rings, area, valid)""")
+def geohash_union_polygons(spark, d):
+    rows = spark.createDataFrame(list(UNIONS.items()), "id string, codes array<string>").select("id", union.union_wkt(F.col("codes")).alias("wkt"))
+    shapes = rows.select("id", "wkt", geo.wkt_polygons(F.col("wkt")).alias("p"))
+    m = geo.polygon_metrics(F.col("p"))
+    return shapes.select("id", F.regexp_extract("wkt", "^[A-Z]+", 0).alias("kind"), F.size("p").alias("polygons"), F.size(F.flatten("p")).alias("rings"), F.coalesce(F.round(m["area"], 9), F.lit(0.0)).alias("area"), F.coalesce(m["valid"], F.lit(True)).alias("valid"))
+
+
+@query("select round(33 * 0.0439453125::double * 0.0439453125::double / 32, 12) as area, 2 * (4 + 8) + 4 - 2 * 1::bigint as edges")
+def geohash_union_mixed(spark, d):
+    """Edges and area of a cell, one of its parts and a neighbour's part, as rows."""
+    codes = spark.createDataFrame([("9q8yy",), ("9q8yyb",), ("9q8yzp",)], "code string")
+    return geo.cells_area(codes, "code").select(F.round("area", 12).alias("area")).join(geo.merged_cells(codes, "code").agg(F.count("*").alias("edges")))
+
+
+@query("select id, area, cx, cy, valid from (values ('hole', 12.0::double, 2.0::double, 2.0::double, true), ('two', 5.0::double, round(4 * 1.0::double / 5 + 5.5::double / 5, 9), round(4 * 1.0::double / 5 + 0.5::double / 5, 9), true), ('open', 0.5::double, round(2.0::double / 3, 9), round(1.0::double / 3, 9), false), ('point', 0.0::double, 1.0::double, -2.5::double, false)) v(id, area, cx, cy, valid)")
+def polygon_holes(spark, d):
+    shapes = [("hole", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"), ("two", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))"), ("open", "POLYGON ((0 0, 1 0, 1 1))"), ("point", "POINT (1 -2.5)")]
+    m = geo.polygon_metrics(geo.wkt_polygons(F.col("w")))
+    return spark.createDataFrame(shapes, "id string, w string").select("id", *(F.round(m[c], 9).alias(c) for c in ("area", "cx", "cy")), m["valid"].alias("valid"))
+
+
+@query("select n_nationkey as id, round(n_nationkey * 100000.0::double / 6378137.0::double * 180 / pi(), 9) as lon, round((2 * atan(exp(n_nationkey * 100000.0::double / 6378137.0::double)) - pi() / 2) * 180 / pi(), 9) as lat from nation")
+def reprojected(spark, d):
+    metres = F.concat(F.lit("POINT ("), (F.col("n_nationkey") * 100000).cast("string"), F.lit(" "), (F.col("n_nationkey") * 100000).cast("string"), F.lit(")"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), metres.alias("geometry"))
+    return ingest.with_geometry(rows, srid=3857).select("id", F.round(F.col("geometry")[0]["x"], 9).alias("lon"), F.round(F.col("geometry")[0]["y"], 9).alias("lat"))
+
+
+@query("select last_day(date '2023-01-31' + to_months(n_nationkey::int))::varchar as t, n_nationkey as id from nation")
+def month_ends(spark, d):
+    """The period generator: month ends from a date on, one for each nation."""
+    dates = ingest.date_range(spark, "2023-01-31", table(spark, d, "nation").count())
+    return dates.select(F.col("t").cast("string").alias("t"), (F.row_number().over(Window.orderBy("t")) - 1).alias("id"))  # as many rows as nations
+
+
 @query(f"with keys as ({NATION_KEYS}) select key::varchar as region, 1.0::double as area, key % 5 + 0.5::double as cx, key // 5 + 0.5::double as cy, (key % 5)::double as min_x, (key // 5)::double as min_y, (key % 5 + 1)::double as max_x, (key // 5 + 1)::double as max_y from keys")
 def geom_metrics(spark, d):
     return nation_geo(spark, d).select("region", geo.ring_metrics(geo.wkt_vertices(F.col("geometry"))).alias("m")).select("region", *(F.round(f"m.{c}", 9).alias(c) for c in ("area", "cx", "cy", "min_x", "min_y", "max_x", "max_y")))
@@ -240,13 +282,16 @@ def gi_star_k2(spark, d):
     return _gi(sy(spark, d), weights.queen_edges(supplier_geo(spark, d)), 2)
 
 
-@query(f"""with {UD}, {edges_sql(USER_KEYS, 15)},
-shape as (select count(distinct region) as l, count(distinct t) as q from obs),
+POSITIONAL = f"""{UD}, {edges_sql(USER_KEYS, 15)},
+cube as (select count(distinct region) as l, count(distinct t) as q from obs),
 ordered as (select region, t, x, row_number() over (order by t, region, x) - 1 as idx from obs),
 firsts as (select region, row_number() over (order by min(t), region) - 1 as slot from obs group by region),
-placed as (select region, t, x, idx % l as r, idx // l as b from ordered, shape where idx < l * q),
+placed as (select region, t, x, idx % l as r, idx // l as b from ordered, cube where idx < l * q),
 near as (select a.slot as region, c.slot as neighbor from edges e join firsts a on a.region = e.region join firsts c on c.region = e.neighbor),
-{gi_sql(1)} select region, t::varchar as t, round(gi, 6) + 0.0 as gi from gi""")
+{gi_sql(1)}"""
+
+
+@query(f"with {POSITIONAL} select region, t::varchar as t, round(gi, 6) + 0.0 as gi from gi")
 def gi_star_positional_gaps(spark, d):
     cells, edges = ud(spark, d), weights.queen_edges(user_geo(spark, d))
     names = cube.slots(cells)
@@ -254,20 +299,41 @@ def gi_star_positional_gaps(spark, d):
     return gistar.gi_star(cube.positional(cells), near, 1).select("region", F.col("t").cast("string").alias("t"), F.round("gi", 6).alias("gi"))
 
 
-DRAWS = """shape as (select count(distinct r) as regions, max(b) + 1 as times from gi),
-names as (select r, row_number() over (order by r) - 1 as r_idx from (select distinct r from gi)),
+def _scrambled_sql(name: str, source: str, column: str) -> str:
+    """Tables name0, name1, ...: source with column scrambled, a round at a time."""
+    out, now = [], source
+    for k, c in enumerate(permute.ROUNDS):
+        x = column
+        out.append(f"{name}{k} as (select * replace (({x} * {x} % {permute.P} * ({x} * {x} % {permute.P}) % {permute.P} * {x} + {c}) % {permute.P} as {x}) from {now})")
+        now = f"{name}{k}"
+    return ", ".join(out)
+
+
+def draws_sql(nsim: int, number: str = "row_number() over (order by r) - 1", seed: int = 77) -> str:
+    """gi to cells, numbered, and draws (o, sim, j)."""
+    p, last = permute.P, len(permute.ROUNDS) - 1
+    values = ", ".join(f"({d + 1}, {a}::bigint, {b}::bigint)" for d, (a, b) in enumerate(permute.powers(64).T.tolist()))
+    return f"""shape as (select count(distinct r) as regions, max(b) + 1 as times from gi),
+names as (select r, {number} as r_idx from (select distinct r from gi)),
 cells as (select g.*, b * regions + r_idx as o, regions * times as total from gi g join names using (r), shape),
-made as (select o, m, sim.range as sim, dr.range as dr, (o + 1 + ('0x' || substr(md5('77:' || sim.range || ':' || o || ':' || dr.range), 1, 8))::bigint % (total - 1)) % total as j
-  from cells, range(1, {nsim} + 1) sim, range(1, 64) dr where dr.range <= m + 16),
-firstmade as (select o, m, sim, j, min(dr) as dr from made group by 1, 2, 3, 4),
-draws as (select o, sim, j from (select *, row_number() over (partition by o, sim order by dr) as k from firstmade) where k <= m)"""
-P_SIM = """sims as (select d.o, d.sim, sum(v.x) as sim_s from draws d join cells v on v.o = d.j group by 1, 2),
-tails as (select c.o, count(*) filter (sim_s >= s or not (n > m and var > 0)) + 1 as upper, count(*) filter (sim_s <= s or not (n > m and var > 0)) + 1 as lower from sims join cells c using (o) group by 1),
+seeds as (select o, m, total, (o % {p} * 16807 + o // {p} * 69621 + {(seed * 40692 + 1) % p}) % {p} as k from cells), {_scrambled_sql("seed", "seeds", "k")},
+begun as (select o, m, total, sim.range as sim, (k + sim.range * {permute.STEPS[0]}) % {p} as s0, (k + sim.range * {permute.STEPS[1]} + 1) % {p} as s1 from seed{last}, range(1, {nsim} + 1) sim),
+{_scrambled_sql("one", "begun", "s0")}, {_scrambled_sql("two", f"one{last}", "s1")},
+steps(d, a, e) as (values {values}),
+made as (select o, m, sim, d, (o + 1 + ((s0 % {p - 1} + 1) * a % {p} * {p} + (s1 % {p - 1} + 1) * e % {p}) % (total - 1)) % total as j
+  from two{last} join steps on d <= m + 16 + (2 * m * m + total - 1) // total),
+firstmade as (select o, m, sim, j, min(d) as d from made group by 1, 2, 3, 4),
+draws as (select o, sim, j from (select *, row_number() over (partition by o, sim order by d) as k from firstmade) where k <= m)"""
+
+
+P_SIM = """sims as (select d.o, d.sim, coalesce(sum(v.x), 0) as sim_s, count(v.x) as sim_m from draws d left join cells v on v.o = d.j group by 1, 2),
+zs as (select c.o, c.s, c.gi, sim_s, n > m and var > 0 and sim_m = m as alike, case when n > sim_m and sim_m > 0 and var > 0 then (sim_s - sim_m * mean) / sqrt(var * sim_m * (n - sim_m) / (n - 1)) else 0 end as z from sims join cells c using (o)),
+tails as (select o, count(*) filter (case when alike then sim_s >= s else z >= gi end) + 1 as upper, count(*) filter (case when alike then sim_s <= s else z <= gi end) + 1 as lower from zs group by 1),
 p as (select cells.*, upper, lower, least(upper, lower) / ({nsim} + 1)::double as p_sim from cells join tails using (o))"""
 _NY_GI = f"{NY}, {edges_sql(NATION_KEYS, 5)}, {KEYED}, {gi_sql(1)}"
 
 
-@query(f"with {_NY_GI}, {DRAWS.format(nsim=9)} select o::bigint as o, sim::int as sim, j::bigint as j from draws")
+@query(f"with {_NY_GI}, {draws_sql(9)} select o::bigint as o, sim::int as sim, j::bigint as j from draws")
 def perm_samples(spark, d):
     gi = gistar.gi_star(cube.keyed(ny(spark, d)), weights.queen_edges(nation_geo(spark, d)), 1)
     return permute.draws(permute.numbered(gi), 9, 77).select(F.col("o").cast("bigint").alias("o"), "sim", F.col("j").cast("bigint").alias("j"))
@@ -277,17 +343,19 @@ def _ny_p(spark, d):
     return ehsa.gi_star_spacetime(ny(spark, d), weights.queen_edges(nation_geo(spark, d)), 1, 99, 77, "keyed", "native")
 
 
-@query(f"with {_NY_GI}, {DRAWS.format(nsim=99)}, {P_SIM.format(nsim=99)} select region, t::int as t, upper::bigint as upper, lower::bigint as lower, round(p_sim, 9) as p_sim from p")
+@query(f"with {_NY_GI}, {draws_sql(99)}, {P_SIM.format(nsim=99)} select region, t::int as t, upper::bigint as upper, lower::bigint as lower, round(p_sim, 9) as p_sim from p")
 def p_sim(spark, d):
     return _ny_p(spark, d).select("region", "t", "upper", "lower", F.round("p_sim", 9).alias("p_sim"))
 
 
-@query()
+@query(ORACLE["p_sim"])
 def p_sim_numpy(spark, d):
-    return ehsa.gi_star_spacetime(ny(spark, d), weights.queen_edges(nation_geo(spark, d)), 1, 99, 77, "keyed", "numpy").select("region", "t", "gi", "p_sim", "cluster")
+    """The same draws, looked up in the broadcast values."""
+    out = ehsa.gi_star_spacetime(ny(spark, d), weights.queen_edges(nation_geo(spark, d)), 1, 99, 77, "keyed", "numpy")
+    return out.select("region", "t", "upper", "lower", F.round("p_sim", 9).alias("p_sim"))
 
 
-@query(f"with {_NY_GI}, {DRAWS.format(nsim=99)}, {P_SIM.format(nsim=99)} select cluster, count(*) as n from (select case when p_sim <= 0.01::double and gi > 0 then 'Hot Spot' when p_sim <= 0.01::double and gi < 0 then 'Cold Spot' else 'Not Significant' end as cluster from p) group by 1")
+@query(f"with {_NY_GI}, {draws_sql(99)}, {P_SIM.format(nsim=99)} select cluster, count(*) as n from (select case when p_sim <= 0.01::double and gi > 0 then 'Hot Spot' when p_sim <= 0.01::double and gi < 0 then 'Cold Spot' else 'Not Significant' end as cluster from p) group by 1")
 def cluster_labels(spark, d):
     return _ny_p(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -385,11 +453,12 @@ def boosted(spark, d):
     return ny(spark, d).select("region", "t", F.expr(BOOST.replace("//", "div")).alias("x"))
 
 
-_EHSA = f"""{_BOOSTED}, {edges_sql(NATION_KEYS, 5)}, {KEYED}, {gi_sql(1)}, {DRAWS.format(nsim=99)}, {P_SIM.format(nsim=99)},
-{mk_sql('select region as id, row_number() over (partition by region order by t) as i, gi as x from p')},
+LABELLED = f"""{mk_sql('select region as id, pos as i, gi as x from series')},
 f as (select region, count(*) as n, count(*) filter (p_sim <= 0.01::double) as sig, count(*) filter (p_sim <= 0.01::double and gi > 0) as hot, count(*) filter (p_sim <= 0.01::double and gi < 0) as cold,
- arg_max(p_sim, t) <= 0.01::double as ls, arg_max(gi, t) as lg, count(*) - coalesce(max(case when p_sim > 0.01::double then b + 1 end), 0) as run from p group by 1),
-done as (select region, {_CASE.replace('thr', '0.01::double').replace(' p ', ' mk.sl ').replace('tau', 'mk.tau')} as classification, mk.tau, mk.sl as p_value, sig as n_sig from f join (select id, tau, sl from mk) mk on mk.id = region)"""
+ arg_max(p_sim, t) <= 0.01::double as ls, arg_max(gi, t) as lg, count(*) - coalesce(max(case when p_sim > 0.01::double then pos end), 0) as run from series group by 1),
+done as (select f.*, {_CASE.replace('thr', '0.01::double').replace(' p ', ' mk.sl ').replace('tau', 'mk.tau')} as classification, mk.tau, mk.sl as p_value, sig as n_sig from f join (select id, tau, sl from mk) mk on mk.id = region)"""
+_SERIES = "series as (select *, row_number() over (partition by region order by t) as pos from p)"
+_EHSA = f"{_BOOSTED}, {edges_sql(NATION_KEYS, 5)}, {KEYED}, {gi_sql(1)}, {draws_sql(99)}, {P_SIM.format(nsim=99)}, {_SERIES}, {LABELLED}"
 
 
 def _analysis(spark, d):
@@ -403,17 +472,62 @@ def ehsa_full(spark, d):
     return out.select("region", "classification", F.round("tau", 6).alias("tau"), F.round("p_value", 6).alias("p_value"), F.size(F.filter("classification_details.values_at_decision.significance_series", lambda s: s)).cast("bigint").alias("n_sig"))
 
 
-@query()
+@query(f"""with {_EHSA}, degrees as (select region, count(*) as degree from edges group by 1),
+ each as (select region, string_agg(printf('%d:%.4f:%s', pos::int, round(gi, 4) + 0.0, case when p_sim <= 0.01::double then 'true' else 'false' end), ' ' order by t) as told, sum(x) as total from series group by 1)
+select done.region, classification, n::int as periods, told, total, round(p_value, 6) as sl, round(tau, 6) as tau, degree, 1.0::double / degree as weight,
+ case when classification = 'no pattern detected' then 0 when classification like 'consecutive%' then 4 when classification like 'persistent%' or classification like 'historical%' or classification like 'new%' then 2 else 3 end::int as criteria
+from done join degrees on degrees.region = done.region join each on each.region = done.region""")
 def ehsa_nested(spark, d):
-    """The whole nested result."""
-    return _analysis(spark, d)
-
-
-@query()
+    """The nested result, read field by field."""
+    out = _analysis(spark, d)
+    told = F.zip_with("classification_details.values_at_decision.gi_star_series", "classification_details.values_at_decision.significance_series", lambda g, s: F.struct(g.alias("g"), s.alias("s")))
+    told = F.transform(told, lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), F.format_string("%.4f", v["g"] + 0.0), F.lit(":"), v["s"].cast("string")))
+    return out.select(
+        "region", "classification", F.col("classification_details.values_at_decision.num_time_periods").alias("periods"), F.concat_ws(" ", told).alias("told"),
+        F.aggregate("location_data", F.lit(0.0), lambda a, v: a + v["original_value"]).alias("total"), F.round("mann_kendall_details.results.sl", 6).alias("sl"), F.round("mann_kendall_details.results.tau", 6).alias("tau"),
+        F.size("spatial_context_summary.neighbors_config").cast("bigint").alias("degree"), F.element_at("spatial_context_summary.weights_config", 1).alias("weight"), F.size("classification_details.criteria_met").alias("criteria"),
+    )
+
+
+@query(f"""with {_EHSA} select region, classification, case classification
+ when 'no pattern detected' then 'No pattern''s conditions hold.'
+ when 'new hotspot' then printf('%d of %d periods are significant', sig, n) when 'new coldspot' then printf('%d of %d periods are significant', sig, n)
+ when 'sporadic hotspot' then printf('%d of %d periods are significantly hot', hot, n) when 'sporadic coldspot' then printf('%d of %d periods are significantly cold', cold, n)
+ when 'oscilating hotspot' then printf('Gi* of the last period: %.4f, significant: True', lg) when 'oscilating coldspot' then printf('Gi* of the last period: %.4f, significant: True', lg)
+ when 'consecutive hotspot' then printf('Gi* of the last period: %.4f, significant: True', lg) when 'consecutive coldspot' then printf('Gi* of the last period: %.4f, significant: True', lg)
+ when 'intensifying hotspot' then printf('share of significant periods: %.2f (limit 0.90)', sig / n::double)
+ else printf('share of significantly ' || case when classification like '%hotspot' then 'hot' else 'cold' end || ' periods: %.2f (limit 0.90)', case when classification like '%hotspot' then hot else cold end / n::double) end as fact from done""")
+def ehsa_reasons(spark, d):
+    """The first deciding figure of each region's label, or the reason where none holds."""
+    details = F.col("classification_details")
+    return _analysis(spark, d).select("region", "classification", F.coalesce(F.get(details["criteria_met"], F.lit(0)), details["reason"]).alias("fact"))
+
+
+@query("""with n as (select n_nationkey as k from nation), t as (select range as t from range(0, 3))
+select k::varchar as region, case when k % 5 = 0 then 'error_processing' else 'no pattern detected' end as classification, case when k % 5 = 0 then 'not a WKT geometry: POINT (' || k || ' 0' end as message, 3::bigint as periods from n""")
+def ehsa_error_rows(spark, d):
+    """Regions whose geometry cannot be read are rows of their own kind; the others are analysed."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    shape = F.concat(F.lit("POINT ("), F.col("k"), F.lit(" 0"), F.when(F.col("k") % 5 == 0, "").otherwise(")"))
+    rows = nation.select(F.col("k").cast("string").alias("region"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("t"), F.lit(1.0).alias("x"), shape.alias("geometry"))
+    out = ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9)
+    return out.select("region", "classification", F.col("classification_details.error_message").alias("message"), F.size("location_data").cast("bigint").alias("periods"))
+
+
+_GAPS = f"{POSITIONAL}, {draws_sql(99, 'r')}, {P_SIM.format(nsim=99)}, {_SERIES}, {LABELLED}"
+
+
+@query(f"with {_GAPS} select region, classification, round(tau, 6) + 0.0 as tau, round(p_value, 6) as p_value from done")
 def ehsa_positional_gaps(spark, d):
     """The pipeline over a cube with gaps, by place, with the default backend."""
     rows = ud(spark, d).join(user_geo(spark, d), "region")
-    return ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", k=1, nsim=99).select("region", "classification", "tau", "p_value")
+    out = ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", k=1, nsim=99)
+    return out.select("region", "classification", F.round("tau", 6).alias("tau"), F.round("p_value", 6).alias("p_value"))
+
+
+@query(f"with {_NY_GI}, {draws_sql(99)}, {P_SIM.format(nsim=99)} select count(*) as cells, count(*) filter (p_sim <= 0.01::double) as at_0_01, count(*) filter (p_sim <= 0.05::double) as at_0_05 from p")
+def significance_counts(spark, d):
+    return gistar.significance_counts(_ny_p(spark, d))
 
 
 @query(f"with {_EHSA} select classification, count(*) as regions, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from done group by 1")
@@ -469,14 +583,24 @@ def hover_text(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), numeric.hover_text(F.col("n_name"), F.lit("none"), F.lit(0.25), F.col("n_nationkey") / F.lit(25.0)).alias("hover"))
 
 
-@query()
+@query(f"""with {_EHSA}, spots as (select region, classification, (region::int % 5)::double as x, (region::int // 5)::double as y from done)
+select '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' || array_to_string([printf('[%.1f,%.1f]', x + a, y + b) for a, b in [(0, 0)]] || [printf('[%.1f,%.1f]', x + 1, y), printf('[%.1f,%.1f]', x + 1, y + 1), printf('[%.1f,%.1f]', x, y + 1), printf('[%.1f,%.1f]', x, y)], ',') || ']]}},"properties":{{"region":"' || region || '","classification":"' || classification || '"}}}}' as feature from spots""".replace("[printf('[%.1f,%.1f]', x + a, y + b) for a, b in [(0, 0)]]", "[printf('[%.1f,%.1f]', x, y)]"))
 def geojson_features(spark, d):
-    return export.features(_analysis(spark, d).select("region", "classification", "tau").join(nation_geo(spark, d), "region"))
+    return export.features(_analysis(spark, d).select("region", "classification").join(nation_geo(spark, d), "region"))
 
 
-@query()
+@query(f"""with {_EHSA} select region, classification, case when round(tau, 6) < 0 then chr(39) else '' end || printf('%.6f', round(tau, 6) + 0.0) as tau, '{{"sig":' || n_sig || ',"periods":' || n || '}}' as nested from done""")
 def guarded_export(spark, d):
-    return export.guarded(_analysis(spark, d))
+    """Text that no spreadsheet takes for a formula; nested columns are JSON."""
+    out = _analysis(spark, d).select("region", "classification", F.format_string("%.6f", F.round("tau", 6) + 0.0).alias("tau"), F.struct(F.size(F.filter("classification_details.values_at_decision.significance_series", lambda s: s)).alias("sig"), F.col("classification_details.values_at_decision.num_time_periods").alias("periods")).alias("nested"))
+    return export.guarded(out)
+
+
+@query("""select n_nationkey as id, '{"id":' || n_nationkey || ',"inner":{"a":1,"list":[{"b":"' || n_name || '"}]},"map":{"kept":2}}' as record from nation""")
+def json_records(spark, d):
+    """Keys that a script could take for object machinery are left out at any depth."""
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.expr("named_struct('a', 1, '__proto__', 'x', 'list', array(named_struct('constructor', 1, 'b', n_name)))").alias("inner"), F.expr("map('kept', 2, 'prototype', 3)").alias("map"), F.lit(1).alias("constructor"))
+    return rows.select("id").join(export.records(rows).withColumn("id", F.get_json_object("record", "$.id").cast("int")), "id")
 
 
 @query(f"with {_EHSA} select region, classification, (region::int % 5 + 0.5)::double as cx, (region::int // 5 + 0.5)::double as cy from done")

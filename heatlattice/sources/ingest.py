@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import wkt_vertices
+from ..functions.geo import web_mercator_to_degrees, wkt_vertices
 
 
 def sniff_separator(line: str) -> str:
@@ -56,9 +57,39 @@ def join_districts(districts: DataFrame, totals: DataFrame, key: str) -> DataFra
 
 
 def with_geometry(df: DataFrame, geometry: str = "geometry", srid: int = 4326) -> DataFrame:
-    """df with geometry as vertices, checked; only EPSG:4326 is accepted."""
-    if srid != 4326:
-        raise ValueError("coordinates must be EPSG:4326")
+    """df with geometry as vertices in EPSG:4326, checked; EPSG:3857 is converted, other systems raise."""
+    if srid not in (4326, 3857):
+        raise ValueError("coordinates must be EPSG:4326 or EPSG:3857")
     if geometry not in df.columns:
         raise KeyError(geometry)
-    return df if dict(df.dtypes)[geometry].startswith("array") else df.withColumn(geometry, wkt_vertices(F.col(geometry)))
+    out = df if dict(df.dtypes)[geometry].startswith("array") else df.withColumn(geometry, wkt_vertices(F.col(geometry)))
+    if srid == 4326:
+        return out
+    degrees = lambda p: dict(zip("xy", web_mercator_to_degrees(p["x"], p["y"]), strict=True))
+    return out.withColumn(geometry, F.transform(geometry, lambda p: F.struct(*(c.alias(n) for n, c in degrees(p).items()))))
+
+
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """Features of GeoJSON files, one a line or one collection a file: geometry as WKT, and properties as JSON text."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.when(F.get_json_object("value", "$.features").isNotNull(), F.from_json(F.get_json_object("value", "$.features"), "array<string>")).otherwise(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))).alias("f"))
+    kind, body = F.upper(F.get_json_object("f", "$.geometry.type")), F.get_json_object("f", "$.geometry.coordinates")
+    # [x,y] becomes "x y"; what brackets are left are those of rings and polygons.
+    flat = F.regexp_replace(F.regexp_replace(body, r"\s", ""), r"\[(-?[0-9.eE+-]+),(-?[0-9.eE+-]+)(?:,-?[0-9.eE+-]+)*\]", "$1 $2")
+    inner = F.translate(flat, "[]", "()")
+    return raw.select(F.when(kind == "POINT", F.concat(F.lit("POINT ("), inner, F.lit(")"))).when(kind.isNotNull(), F.concat(kind, F.lit(" "), inner)).alias("geometry"), F.get_json_object("f", "$.properties").alias("properties"))
+
+
+def periods(start: str, n: int, step: str = "month") -> list[date]:
+    """n dates from start on: month ends, or steps of 30 days (`step` "30 days")."""
+    first = date.fromisoformat(start)
+    if step == "30 days":
+        return [first + timedelta(days=30 * i) for i in range(n)]
+    if step != "month":
+        raise ValueError("step must be 'month' or '30 days'")
+    months = [first.year * 12 + first.month + i for i in range(n)]  # of the month behind each
+    return [date(m // 12, m % 12 + 1, 1) - timedelta(days=1) for m in months]
+
+
+def date_range(spark: SparkSession, start: str, n: int, step: str = "month") -> DataFrame:
+    """(t): the dates of `periods`."""
+    return spark.createDataFrame([(d,) for d in periods(start, n, step)], "t date")

@@ -1,13 +1,17 @@
+import json
 import math
 import os
+import random
+import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heatlattice import queries
-from heatlattice.functions import geo, numeric
-from heatlattice.operators import classify, cube, permute, trend, weights
+from heatlattice.functions import geo, numeric, union
+from heatlattice.operators import classify, cube, numbering, permute, trend, weights
 from heatlattice.plans import ehsa
 from heatlattice.sources import export, ingest
 
@@ -49,9 +53,41 @@ def test_gi_star_golden(spark, policy):
 def test_p_values_do_not_depend_on_partitioning(spark):
     cells = spark.createDataFrame([(str(r), t, float((r * 7 + t * 3) % 11)) for t in range(3) for r in range(9)], "region string, t int, x double")
     edges = weights.queen_edges(square_grid(spark, 3))
-    for backend in ("numpy", "native"):
-        one, two = (sorted((r["region"], r["t"], r["p_sim"]) for r in ehsa.gi_star_spacetime(c, edges, 1, 19, 3, "keyed", backend).collect()) for c in (cells, cells.repartition(7)))
-        assert one == two
+    made = [sorted((r["region"], r["t"], r["p_sim"]) for r in ehsa.gi_star_spacetime(c, edges, 1, 19, 3, "keyed", backend).collect()) for c in (cells, cells.repartition(7)) for backend in ("numpy", "native", "auto")]
+    assert all(m == made[0] for m in made)
+
+
+@pytest.mark.parametrize(("m", "total"), [(3, 11), (9, 27), (26, 27), (40, 27), (200, 700), (18, 100_000)])
+def test_draws_of_both_backends(spark, m, total):
+    cells = [0, 5, total - 1]
+    native = permute.draws(spark.createDataFrame([(o, m, total) for o in cells], "o bigint, m bigint, total bigint"), 7, 77).groupBy("o", "sim").agg(F.collect_list("j").alias("j")).collect()
+    numpy = permute.picks(np.array(cells), m, total, 7, 77)
+    for r in native:
+        own = numpy[cells.index(r["o"]), r["sim"] - 1].tolist()
+        assert sorted(r["j"]) == sorted(own) and len(own) == m and r["o"] not in own
+        assert len(set(own)) == m or total - 1 < m
+
+
+def test_draws_are_even():
+    seen = np.bincount(permute.picks(np.arange(60), 10, 60, 200, 1).ravel(), minlength=60)
+    assert abs(seen / seen.mean() - 1).max() < 0.1
+    big = permute.picks(np.arange(100), 10, 2**40, 20, 1)
+    assert 0.45 < (big > 2**39).mean() < 0.55
+
+
+def test_scrambling_is_one_to_one():
+    x = permute.scrambled(np.arange(200_000, dtype=np.int64))
+    assert len(np.unique(x)) == len(x) and x.min() >= 0 and x.max() < permute.P
+
+
+def test_places_in_order(spark):
+    rows = [((i * 37) % 101, i % 3) for i in range(500)] + [(None, 1)]
+    got = numbering.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.col("a").asc_nulls_last(), F.col("b")], "place").collect()
+    assert sorted(r["place"] for r in got) == list(range(501))
+    key = lambda r: (r["a"] is None, r["a"] or 0, r["b"])
+    ordered = [key(r) for r in sorted(got, key=lambda r: r["place"])]
+    assert ordered == sorted(ordered)
+    assert numbering.numbered(spark.createDataFrame([], "a int"), [F.col("a")], "place").count() == 0
 
 
 def test_labels(spark):
@@ -73,6 +109,30 @@ def test_geometry(spark):
     assert sizes == [5, 4, 1, None]
     with pytest.raises(Exception, match="WKT"):
         spark.createDataFrame([("nonsense",)], "w string").select(geo.wkt_vertices(F.col("w"))).collect()
+    wrong = ["POLYGON ((0 0, 1 1", "POLYGON ((0 0, 1 x))", "POINT (1)", "POINT (1 2) x", "POLYGON ((0 0,, 1 1))", "POLYGON", "POINT (1 2 3 4 5)", "POLYGON ((0 0) (1 1))"]
+    right = ["POINT Z (1 2 3)", "point(1 2)", "POLYGON EMPTY", "MULTIPOINT ((1 2), (3 4))", "LINESTRING (0 0, 1e-3 .5)", None]
+    told = spark.createDataFrame([(w,) for w in wrong + right], "w string").select(geo.wkt_problem(F.col("w")), geo.wkt_vertices(F.col("w"), strict=False)).collect()
+    assert all(r[0] and r[1] is None for r in told[: len(wrong)])
+    assert [None if r[1] is None else len(r[1]) for r in told[len(wrong) :]] == [1, 1, 0, 2, 2, None]
+    assert not any(r[0] for r in told[len(wrong) :])
+
+
+def test_unions_of_cells(spark):
+    rng = random.Random(4)
+    side = 0.0439453125
+    for _ in range(40):
+        codes = ["9q8" + "".join(rng.choice(geo.BASE32) for _ in range(rng.choice([1, 2, 2, 2, 2]))) for _ in range(rng.randint(1, 200))]
+        fine = {x for c in codes for x in ([c] if len(c) == 5 else [c + d for d in geo.BASE32])}
+        shape = union.geohashes_to_polygon(codes)
+        rings = [[tuple(map(float, p.split())) for p in r.split(",")] for r in re.findall(r"\(([^()]+)\)", shape)]
+        area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False)) / 2 for r in rings)  # holes turn the other way
+        assert area == pytest.approx(len(fine) * side * side)
+        assert all(r[0] == r[-1] and len(set(r)) == len(r) - 1 for r in rings)
+    edges = geo.merged_cells(spark.createDataFrame([(c,) for c in codes], "code string"), "code").count()
+    assert edges == sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for r in rings for a, b in zip(r, r[1:], strict=False)) / side
+    assert union.geohashes_to_polygon([None]) == "POLYGON EMPTY" and union.geohash_to_polygon("9q").startswith("POLYGON ((-123.75 33.75, -112.5 33.75")
+    with pytest.raises(ValueError):
+        union.geohash_to_polygon("9a")
 
 
 def test_neighbours_of_points_and_near_vertices(spark):
@@ -112,6 +172,54 @@ def test_analysis_of_short_and_gappy_input(spark, tmp_path):
     assert {r["region"] for r in ehsa.emerging_hotspot_analysis(dirty, "region", "t", "x", nsim=19).collect()} == {"a", "b"}
 
 
+def test_regions_that_cannot_be_read(spark):
+    rows = spark.createDataFrame([(r, t, float(t), g) for r, g in (("a", "POINT (0 0)"), ("b", "POLYGON ((0 0, 1")) for t in range(3)], "region string, t int, x double, geometry string")
+    out = {r["region"]: r for r in ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9).collect()}
+    assert out["a"]["classification"] != "error_processing" and out["a"]["classification_details"]["error_message"] is None
+    assert out["b"]["classification"] == "error_processing" and "POLYGON ((0 0, 1" in out["b"]["classification_details"]["error_message"]
+    assert len(out["b"]["location_data"]) == 3 and out["b"]["spatial_context_summary"]["neighbors_config"] == ["b"]
+    with pytest.raises(Exception, match="WKT"):
+        ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9, on_error="raise").collect()
+    with pytest.raises(ValueError):
+        ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9, on_error="other")
+
+
+def test_public_names(spark):
+    import heatlattice
+
+    for name in heatlattice.__all__:
+        assert callable(getattr(heatlattice, name))
+    with pytest.raises(AttributeError):
+        heatlattice.nothing  # noqa: B018
+    for series in ([1, 2, 3, 4, 5, 6], [1, 2, 2, 3, 3, 3, 4], [0, 0, 5e-11, 1], [5], [3] * 6):
+        plain = heatlattice.MannKendall.mann_kendall_test(series)
+        row = spark.createDataFrame([([float(x) for x in series],)], "s array<double>").select(trend.mann_kendall(F.col("s")).alias("m")).first()["m"]
+        assert {k: v for k, v in plain.items() if k != "x"} == pytest.approx(row.asDict(), abs=1e-12)
+    edges = heatlattice.SpatialWeights.calculate_spatial_weights(square_grid(spark, 3), "region")
+    cells = spark.createDataFrame([(str(r), t, float((r * 7 + t) % 5)) for t in range(2) for r in range(9)], "id string, month int, v double")
+    scored = heatlattice.GiStar.calculate_gi_star_spacetime(cells, edges, "id", "month", "v", nsim=9)
+    assert scored.columns == ["id", "month", "v", "gi", "p_sim", "cluster"] and scored.count() == 18
+    done = heatlattice.EhsaClassification.perform_emerging_hotspot_analysis(scored.toDF("region", "t", "x", "gi", "p_sim", "cluster"), edges)
+    assert done.count() == 9
+
+
+def test_dates_and_projection(spark, tmp_path):
+    assert [str(d) for d in ingest.periods("2023-11-30", 4)] == ["2023-11-30", "2023-12-31", "2024-01-31", "2024-02-29"]
+    assert [str(d) for d in ingest.periods("2023-01-01", 3, "30 days")] == ["2023-01-01", "2023-01-31", "2023-03-02"]
+    with pytest.raises(ValueError):
+        ingest.with_geometry(spark.createDataFrame([("POINT (0 0)",)], "geometry string"), srid=31983)
+    line = '{"type":"Feature","geometry":{"type":"%s","coordinates":%s},"properties":{"id":%d}}'
+    found = [line % ("Point", "[1, 2.5]", 1), line % ("Polygon", "[[[0,0],[2,0],[2,2],[0,0]]]", 2), line % ("MultiPolygon", "[[[[0,0],[2,0],[2,2],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]", 3)]
+    (tmp_path / "a.geojson").write_text("\n".join(found) + "\n")
+    (tmp_path / "b.geojson").write_text('{"type":"FeatureCollection","features":[' + ",".join(found) + "]}")
+    for name in "ab":
+        got = ingest.read_geojson(spark, str(tmp_path / f"{name}.geojson"))
+        shapes = got.select(geo.wkt_problem(F.col("geometry")).alias("p"), geo.polygon_metrics(geo.wkt_polygons(F.col("geometry")))["area"].alias("a"), F.get_json_object("properties", "$.id").alias("id")).orderBy("id").collect()
+        assert [(r["p"], r["a"], r["id"]) for r in shapes] == [(None, 0.0, "1"), (None, 2.0, "2"), (None, 2.5, "3")]
+        back = export.features(got).collect()
+        assert sorted(json.loads(r[0])["geometry"]["type"] for r in back) == ["MultiPolygon", "Point", "Polygon"]
+
+
 def test_paths_and_pages(spark, tmp_path):
     for bad in ("/etc/x.html", "../x.html", str(tmp_path / "x.txt"), ""):
         with pytest.raises(ValueError):
@@ -121,6 +229,13 @@ def test_paths_and_pages(spark, tmp_path):
     assert "<circle" in page and "a</script>" not in page
     with pytest.raises(ValueError):
         export.plot_map(df, lib="other")
+    with pytest.raises(ValueError):
+        export.render(df.unionByName(df), most=1)
+    for lib in ("plotly", "folium"):
+        assert 'id="find"' in export.plot_map(df, lib=lib)
+    assert 'id="find"' not in export.plot_map(df) and export.COLOURS["new coldspot"] == "#87CEEB"
+    holed = df.withColumn("geometry", F.lit("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"))
+    assert export.plot_map(holed).count("M") >= 2 and len(json.loads(export.features(holed).first()[0])["geometry"]["coordinates"]) == 2
     assert os.path.exists(export.launch_visualization(None, auto_open=False))
     assert export.records(df).count() == 1
     assert '"Point"' in export.features(df).first()[0]
@@ -141,7 +256,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "mk_ties", "ehsa_full", "yearly_totals"])
+@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "p_sim_numpy", "mk_ties", "ehsa_full", "ehsa_nested", "ehsa_positional_gaps", "ehsa_error_rows", "geohash_union_polygons", "geojson_features", "yearly_totals"])
 def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL).toPandas()
     want = duck(SMALL).execute(queries.ORACLE[name]).df()
