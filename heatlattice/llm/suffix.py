@@ -14,7 +14,7 @@ of that byte above and below, whose samples tell how much of the match each keep
 gives each position's matching statistic, its length and a position; lengths of `length` or more are marked. An
 index must hold earlier contexts alone: for an anchor's contexts in order, numbered in binary, each bit splits those
 that agree in all higher bits into indexed ones (0) and streamed ones (1), so every two contexts meet once, the earlier
-one in the index. The anchor's first byte becomes a symbol of its own for each such split, so no match leaves it. The
+one in the index. A mark of four symbols, no byte and the split's number, stands for the anchor's first byte, so no match leaves a split. The
 windows of anchors with very many contexts are compared by their digests, so no index holds an unbounded group.
 
 Defined cases: a null text is empty; texts under `length` bytes stay whole; matches never cross rows; rows that share a
@@ -113,8 +113,8 @@ class _Blocks:
 
 
 class RunIndex:
-    """Runs of the Burrows-Wheeler transform of strings of symbols from 1 on, each followed by a terminator (0, ordered by
-    place), with the text positions of both ends of each run."""
+    """Runs of the Burrows-Wheeler transform of strings of symbols from 1 to 511, each followed by a terminator (0, ordered
+    by place), with the text positions of both ends of each run."""
 
     def __init__(self, strings: list[np.ndarray], anchors: np.ndarray | None = None) -> None:
         sizes = np.array([len(x) for x in strings], np.int64)
@@ -139,23 +139,25 @@ class RunIndex:
         """All suffixes in order, by prefix doubling; what follows a terminator does not count, its place does."""
         n = len(text)
         key, ended = np.zeros(n, np.uint64), np.zeros(n, bool)
-        for o in range(4):
+        for o in range(7):  # symbols of nine bits
             c, stop = np.zeros(n, np.uint64), np.ones(n, bool)
             c[: n - o], stop[: n - o] = text[o:], text[o:] == 0
             c[ended] = 0
-            key = (key << U64(16)) | c
+            key = (key << U64(9)) | c
             ended |= stop
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k, e = key[order], ended[order]
+        tied = order[e]  # equal keys that end come in the order of their places
+        order[e] = tied[np.lexsort((tied, k[e]))]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | e[1:]])
         rank = np.empty(n, np.int64)
         rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
         single = np.zeros(n, bool)
         single[order] = new & np.concatenate([new[1:], [True]])
-        h = 4
+        h = 7
         while len(todo := np.flatnonzero(~single)):
             pair = (rank[todo].astype(np.uint64) << U64(32)) | rank[np.minimum(todo + h, n - 1)].astype(np.uint64)
-            order = np.argsort(pair, kind="stable")
+            order = np.argsort(pair)
             at, p = todo[order], pair[order]
             new = np.concatenate([[True], p[1:] != p[:-1]])
             group = np.concatenate([[True], (p[1:] >> U64(32)) != (p[:-1] >> U64(32))])
@@ -229,6 +231,37 @@ def _splits(sizes: list[int]):
         first += g
 
 
+def _related(groups: list[list[tuple[int, bytes]]], length: int) -> tuple[list[int], list[int]]:
+    """The numbers of contexts that may share a window, family by family in order, and the sizes of the families. A window
+    has half of its bytes beyond the anchor on one side of it at least, so contexts that share one agree there."""
+    half, first, order, sizes = -(-(length - K) // 2), 0, [], []
+    for group in groups:
+        up = list(range(len(group)))
+        met: dict[bytes, int] = {}
+        for i, (a, raw) in enumerate(group):
+            for side, part in ((b"<", raw[a - half : a] if a >= half else b""), (b">", raw[a + K : a + K + half])):
+                if len(part) == half:
+                    x, y = met.setdefault(side + part, i), i
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    while up[y] != y:
+                        up[y] = y = up[up[y]]
+                    up[max(x, y)] = min(x, y)
+        families: dict[int, list[int]] = {}
+        for i in range(len(group)):
+            x = i
+            while up[x] != x:
+                x = up[x]
+            up[i] = x
+            families.setdefault(x, []).append(first + i)
+        for family in families.values():
+            if len(family) > 1:
+                order += family
+                sizes.append(len(family))
+        first += len(group)
+    return order, sizes
+
+
 def marked_windows(groups: list[list[tuple[int, bytes]]], length: int = LENGTH) -> list[np.ndarray]:
     """For each context (offset of its anchor, bytes) of groups in order, which of its windows an earlier one of its group
     has. Indexes hold about INDEX symbols, or one split."""
@@ -236,26 +269,30 @@ def marked_windows(groups: list[list[tuple[int, bytes]]], length: int = LENGTH)
     plain = [np.frombuffer(raw, np.uint8).astype(np.uint16) + 1 for _, raw in contexts]
     out = [np.zeros(max(0, len(raw) - length + 1), bool) for _, raw in contexts]
     indexed: list[np.ndarray] = []
-    anchors, asked, owner, size, symbol, last = [], [], [], 0, 257, -1
+    anchors, asked, owner, size, first, mark = [], [], [], 0, 0, np.zeros(4, np.uint16)
 
     def flush():
         if asked:
             by, n, _ = RunIndex(indexed, np.array(anchors, np.int64)).statistics(asked)
             for r, k in enumerate(by.tolist()):
                 own = out[owner[k]]
-                own |= n[r, : len(own)] >= length
+                own |= n[r, : len(own)] >= length + 3  # windows start no later than their anchor
 
-    for number, k, stored in _splits([len(g) for g in groups]):
+    last = -1
+    order, sizes = _related(groups, length)
+    for number, k, stored in _splits(sizes):
+        k = order[k]
         if number != last:
-            if size >= INDEX or symbol >= 65_535:
+            if size >= INDEX:
                 flush()
-                indexed, anchors, asked, owner, size, symbol = [], [], [], [], 0, 257
-            last, symbol = number, symbol + 1
-        x = plain[k].copy()
-        x[contexts[k][0]] = symbol
+                indexed, anchors, asked, owner, size, first = [], [], [], [], 0, number
+            last, own = number, number - first
+            mark = np.array([257, own // 65_536 + 1, own // 256 % 256 + 1, own % 256 + 1], np.uint16)
+        anchor, x = contexts[k][0], plain[k]
+        x = np.concatenate([x[:anchor], mark, x[anchor + 1 :]])
         if stored:
             indexed.append(x)
-            anchors.append(contexts[k][0])
+            anchors.append(anchor)
         else:
             asked.append(x)
             owner.append(k)
