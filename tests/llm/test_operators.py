@@ -1,11 +1,15 @@
 import collections
 import hashlib
+import itertools
 import math
+import os
 import random
 import re
 import zlib
+from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,9 +236,9 @@ def test_packing(spark):
 
     path = tokenizer_file("word_bpe_49k.json")
     real = Tokenizer.from_file(path)
-    real.encode_special_tokens = True
-    rows = [*texts(), (900, "İstanbul ß don't 中文 １２ <|endoftext|> a b É it's"), (900, "again")]
-    pieces = packing.pack(docs(spark, rows), path, with_ids=True).collect()
+    rows = [*texts(), (900, "İstanbul ß don't 中文 １２ <|endoftext|> a b É it's"), (900, "again"), (None, "no id"), (901, "a <|endoftext|> b"), (902, "A <|ENDOFTEXT|> <|startoftext|>"), (903, "word " * 500_000)]
+    pieces = packing.pack(docs(spark, rows, "task at n ids"), path, with_ids=True).collect()
+    assert [p["ids"] for p in pieces if p["doc_id"] == 901] == [[320, 49407, 321, 1]]
     want = collections.Counter((i, tuple(real.encode(t or "", add_special_tokens=False).ids) + (1,)) for i, t in rows)
     stream = [x for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])) for x in p["ids"]]
     assert sum(len(ids) for _, ids in want.elements()) == len(stream)
@@ -264,10 +268,65 @@ def test_language(spark):
     assert langid.filter_language(spark.createDataFrame(rows, DOC)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.Model({"x": collections.Counter({"aaab": 3, "aaba": 2, "abab": 1})})
-    p = [np.exp(model.probs[3][np.searchsorted(model.grams[3], model._hash([g], 4)[0]), 0]) for g in ("aaab", "aaba", "abab")]
-    assert all(0 < x < 1 for x in p)
+def naive_kneser_ney(top, letters):
+    """P(letter | context) straight from the definition, for contexts of up to three letters."""
+    levels = {langid.ORDER: top}
+    for m in range(langid.ORDER - 1, 0, -1):
+        levels[m] = collections.Counter(g[1:] for g in levels[m + 1])
+    discount = {}
+    for m, counts in levels.items():
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        discount[m] = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    def p(context, letter):
+        m = len(context) + 1
+        below = p(context[1:], letter) if context else 1 / (letters + 2)
+        after = {g: n for g, n in levels[m].items() if g[:-1] == context}
+        if not after:
+            return below
+        total = sum(after.values())
+        return (max(after.get(context + letter, 0) - discount[m], 0) + discount[m] * len(after) * below) / total
+
+    return p
+
+
+def test_kneser_ney_against_the_definition():
+    rng = random.Random(2)
+    texts = {"x": prose(rng, 60, "abc"), "y": prose(rng, 60, "bcde")}
+    pad = " " * (langid.ORDER - 1)
+    counts = {k: collections.Counter((pad + t + " ")[i : i + langid.ORDER] for i in range(len(t) + 1)) for k, t in texts.items()}
+    model = langid.Model(counts)
+    letters = sorted({c for grams in counts.values() for g in grams for c in g})
+    asked = [prose(rng, 12, "abcdez"), "a", "zzz", texts["x"][:40].strip()]
+    cross, n = model.entropies(asked)
+    for k, name in enumerate(model.languages):
+        p = naive_kneser_ney(counts[name], len(letters))
+        for context in ("", "a", "ab", " ab", "zz", "bcd"):
+            # Two symbols stand for all letters that were never seen.
+            assert sum(p(context, c) for c in letters) + 2 * p(context, "?") == pytest.approx(1)
+        for i, t in enumerate(asked):
+            padded = pad + t + " "
+            want = [-math.log(p(padded[j : j + langid.ORDER - 1], padded[j + langid.ORDER - 1])) for j in range(len(t) + 1)]
+            assert n[i] == len(want) and cross[i, k] == pytest.approx(sum(want) / len(want), rel=1e-5)
+
+
+def test_language_without_letters():
+    assert langid.normal("² ½ Ⅷ _ 7 %") == "" and langid.normal("x² Ⅷy ½") == "x y" and langid.normal("Ünï-CODE中文!") == "ünï code中文"
+    model = langid.Model({"bb": collections.Counter({"  ab": 3}), "aa": collections.Counter({"  ab": 3})})
+    assert model.predict(["² ½", "", None, "12 _"]) == [("und", 0.0, True)] * 4
+    assert model.predict(["ab"])[0][0] == "aa"  # a tie
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{k:03d}" for k in range(230)]
+    rows = [(3 * i + j, " ".join(["".join(random.Random(name).choices("abcdefghij", k=7))] * 12), name, "s", 1) for i, name in enumerate(names) for j in range(3)]
+    rows.append((9999, "x" * 5000, "l000", "s", 1))
+    out = langid.identify(spark.createDataFrame([*rows, rows[0]], DOC), room=len(names) * 400).collect()
+    truth = {r[0]: r[2] for r in rows}
+    seen = collections.Counter((r["doc_id"], r["lang_pred"]) for r in out)
+    assert seen[0, "l000"] == 2
+    learned = {r["lang_pred"] for r in out}
+    assert len(learned) > 220 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in out) > 0.9 * len(out)
 
 
 def test_embeddings(spark, monkeypatch):
@@ -336,15 +395,40 @@ def test_quality(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
 
 
-def test_quality_cutoffs_and_tail(spark):
+def test_quality_tail(spark):
     from math import comb
 
     tail = spark.range(1).select(quality.lower_tail(F.lit(3).cast("long"), F.lit(1000).cast("long"), 0.01)).first()[0]
     assert tail == pytest.approx(sum(comb(1000, j) * 0.01**j * 0.99 ** (1000 - j) for j in range(4)), rel=1e-9)
-    stats = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"), F.when(F.col("id") < 2, 100).otherwise(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(5).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(False).alias("base_failed"))
-    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+
+
+def test_quality_decides_by_certified_cutoffs(spark):
+    """A language with many labels uses its cutoffs, one with few does not; both without labels and null are strata, too."""
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(700):
+        junk = i % 7 == 0
+        lang = "en" if i < 600 else [None, "xx", "yy"][i % 3]
+        rows.append((i, prose(rng, 60) + (" #*#*#*#*#*#*#*#*" * 3 if junk else ""), lang, "s", 1))
+        labels.append((i, 0 if junk else 1, 0))
+    df = spark.createDataFrame([*rows, rows[7]], DOC)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.quality(df, marks).collect()
+    assert len(out) == 701
+    for r in out:
+        assert r["kept"] == (r["doc_id"] >= 600 or r["doc_id"] % 7 != 0)
+    assert {r["stratum"] for r in out} == {"en", "", "xx", "yy"}
+    assert quality.filter_quality(df, marks).count() == sum(r["kept"] for r in out)
+    none = marks.limit(0)
+    assert all(r["kept"] != r["base_failed"] for r in quality.quality(df, none).collect())
+    assert quality.quality(df.limit(0), marks).count() == 0 and quality.filter_quality(df.limit(0), none).count() == 0
+
+
+def test_quality_takes_no_cutoff_that_hits_more_good_than_bad(spark):
+    stats = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("en").alias("stratum"), F.lit(100).cast("long").alias("n_words"), F.lit(500).cast("long").alias("word_chars"), F.when(F.col("id") % 100 == 0, 100).otherwise(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(5).cast("long").alias("n_lines"), F.when(F.col("id") % 400 == 1, 30).otherwise(5).cast("long").alias("n_repeat_words"), F.lit(False).alias("base_failed"))
+    labels = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 400 == 1, 0).otherwise(1).alias("quality"))
     cuts = quality.fit_cutoffs(stats, labels).first()
-    assert cuts["cut_symbols"] == 10 and cuts["cut_long_words"] == 50
+    assert cuts["cut_symbols"] is None and cuts["cut_repeats"] == 200 and cuts["cut_dup_lines"] is None
 
 
 def test_toxicity(spark):
@@ -364,25 +448,52 @@ def test_toxicity(spark):
     text = dict(rows)
     spans = [text[r["doc_id"]][s["start"] : s["end"]] for r in out for s in r["spans"]]
     assert spans and sum(s in ("vileword", "nastyone", "vilething") for s in spans) > 0.9 * len(spans)
+    # Offsets count code points of the text as it is, also where a lower-case letter is longer.
+    odd = "İİ é🌍 vileword İ"
+    field = toxicity.fit([(t, x) for (i, t), (_, _, x) in zip(rows, labels, strict=False)])
+    few = spark.createDataFrame([(1, odd), (1, odd), (3, None)], "doc_id long, text string")
+    marked = list(toxicity._scored(type("Sent", (), {"value": field}), True)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "held_out": [True], "text": [odd]})])))[0].to_pylist()[0]
+    assert [odd[s["start"] : s["end"]] for s in marked["spans"]] == ["vileword"]
+    # A score is the logistic figure of the marginals' sum and maximum, here by enumeration of all taggings.
+    words = toxicity.TOKEN.findall(odd)
+    p = brute_marginals(field, [field.emission(w) for w in words])
+    z = field.logistic @ np.array([1.0, p.max(), math.log1p(p.sum())])
+    assert marked["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+    double = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert [r["score"] for r in toxicity.score(few, double).collect()] == pytest.approx([1.0] * 3, abs=1e-6)  # the only label says toxic
+    assert toxicity.score(few.limit(0), double).count() == 0
     none = toxicity.score(docs(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(none) == len(texts()) and all(r["predicted"] == 0 for r in none)
 
 
-def test_marginals_against_enumeration():
-    from itertools import product
+def brute_marginals(field, e):
+    total, one = 0.0, np.zeros(len(e))
+    start, up, down, stay = field.moves
+    for y in itertools.product((0, 1), repeat=len(e)):
+        z = sum(a * b for a, b in zip(y, e, strict=True)) + (start * y[0] if y else 0)
+        z += sum({(0, 1): up, (1, 0): down, (1, 1): stay}.get(s, 0) for s in zip(y, y[1:], strict=False))
+        total += np.exp(z)
+        one += np.exp(z) * np.array(y)
+    return one / total
+
 
+def test_marginals_against_enumeration():
     field = toxicity.Field()
     field.moves = np.array([-0.5, 0.3, -0.2, 0.7])
     rng = np.random.default_rng(0)
     rows = [rng.normal(size=n) for n in (4, 0, 1, 6)]
     for e, p in zip(rows, field.marginals(rows), strict=True):
-        total, one = 0.0, np.zeros(len(e))
-        for y in product((0, 1), repeat=len(e)):
-            z = sum(a * b for a, b in zip(y, e, strict=True)) + (field.moves[0] * y[0] if y else 0)
-            z += sum({(0, 1): 0.3, (1, 0): -0.2, (1, 1): 0.7}.get(s, 0) for s in zip(y, y[1:], strict=False))
-            total += np.exp(z)
-            one += np.exp(z) * np.array(y)
-        assert p == pytest.approx(one / total)
+        assert p == pytest.approx(brute_marginals(field, e))
+
+
+def test_field_gradient_climbs():
+    """The fit gives marked words higher marginals than others, also those it has only seen by their beginning."""
+    rng = random.Random(5)
+    windows = [(w := prose(rng, 8).split() + ["vileword"] * (i % 2), [int(x == "vileword") for x in w]) for i in range(60)]
+    field = toxicity.Field()
+    toxicity._train(field, windows)
+    p = field.marginals([np.array([field.emission(x) for x in ("abc", "vileword", "vileworks", "dd")])])[0]
+    assert p[1] > 0.9 and p[1] > p[2] > p[0] and p[3] < 0.1
 
 
 def test_bpe(spark):
@@ -402,13 +513,21 @@ def test_bpe(spark):
 
 
 def test_utf8_machine():
-    raw = "aé中🌍z".encode() + b"\xff\xe4\xb8"
-    for cut in range(1, 5):
-        machine = bpe.Utf8Machine()
-        assert "".join(machine.feed(raw[i : i + cut]) for i in range(0, len(raw), cut)) + machine.finish() == raw.decode("utf-8", "replace")
-
-
-def test_chat(spark):
+    rng = random.Random(1)
+    edges = b"\x00\x7f\x80\x8f\x90\x9f\xa0\xbf\xc0\xc1\xc2\xdf\xe0\xe1\xec\xed\xee\xef\xf0\xf1\xf3\xf4\xf5\xff"
+    raws = ["aé中🌍z\x00".encode() + b"\xff\xe4\xb8"] + [bytes(rng.choice(edges) for _ in range(rng.randrange(9))) for _ in range(4000)]
+    decoder = bpe.Decoder([bytes([b]) for b in range(256)] + ["é".encode(), b"\xa9 \xf0"])
+    for raw in raws:
+        for cut in range(1, 5):
+            machine = bpe.Utf8Machine()
+            assert "".join(machine.feed(raw[i : i + cut]) for i in range(0, len(raw), cut)) + machine.finish() == raw.decode("utf-8", "replace")
+    for _ in range(3000):
+        ids = array("I", [rng.choice([rng.randrange(258), 0xC3, 256, 257]) for _ in range(rng.randrange(9))])
+        raw = b"".join(decoder.bytes_of[t] for t in ids)
+        assert "".join(decoder.chunks(ids, rng.randint(1, 4))) == raw.decode("utf-8", "replace")
+
+
+def test_chat(spark, monkeypatch):
     rows = [(1, 0, "user", "a<|im_end|>\n<|im_start|>x"), (1, 1, "assistant", r"<\|<\\|é"), (1, 1, "assistant", r"<\|<\\|é"), (2, 5, "sys\ntem\\", None), (2, None, None, ""), (None, 0, "assistant", "x" * 5000)]
     df = chat.planted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)))
     got = {r["conv_id"]: r for r in chat.digests(df).collect()}
@@ -419,6 +538,14 @@ def test_chat(spark):
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(df.limit(0)).count() == 0
+    # A conversation beyond several portions, with clashing columns.
+    monkeypatch.setattr(chat, "PORTION", 1 << 12)
+    turns = [(7, k, "assistant" if k % 2 else "user", "<|é" * 9000 + str(k)) for k in range(60)]
+    long = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"loss_start": F.lit("x"), "lang": F.lit("en")})
+    row = chat.digests(long).first()
+    loss = "".join(t[3] for t in turns if t[2] == "assistant")
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (60, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
 def test_lattice(spark):
@@ -441,24 +568,63 @@ def test_lattice(spark):
     assert lattice.score(docs(spark, []), path).count() == 0
 
 
+def segmentations(pieces, weight, raw):
+    """The sum over all ways to spell raw in pieces."""
+    if not raw:
+        return 1.0
+    out, node = 0.0, 0
+    for k, b in enumerate(raw):
+        node = int(pieces.child[node, b])
+        if not node:
+            break
+        if pieces.token[node] >= 0:
+            out += np.exp(weight[node]) * segmentations(pieces, weight, raw[k + 1 :])
+    return out
+
+
+def test_lattice_score_against_enumeration(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    pieces = lattice._pieces(path)
+    rows = [(i, t) for i, t in enumerate(["the end", "the the of", "over it", "", None, "new word", "It IS", "zq"] * 3)]
+    rows += [(50, rows[0][1]), (50, "over")]
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = collections.Counter(w for t in train for w in t.lower().split())
+    # Two rounds of expectations, each by enumeration of every word's segmentations.
+    logp = pieces.first
+    for _ in range(2):
+        weight = pieces.weights(logp)
+        got = np.where(np.isfinite(pieces.first), lattice.FLOOR, 0.0)
+        for word, n in count.items():
+            raw = lattice.MARK + word.encode()
+            total = segmentations(pieces, weight, raw)
+            for a in range(len(raw)):
+                node = 0
+                for b in range(a, len(raw)):
+                    node = int(pieces.child[node, raw[b]])
+                    if not node:
+                        break
+                    for token in (pieces.token[node], pieces.second[node]):
+                        if token >= 0:
+                            got[token] += n * segmentations(pieces, weight, raw[:a]) * np.exp(logp[token]) * segmentations(pieces, weight, raw[b + 1 :]) / total
+        got[pieces.n] += len(train)
+        with np.errstate(divide="ignore"):
+            logp = np.log(got / got.sum())
+    weight = pieces.weights(logp)
+    out = collections.defaultdict(list)
+    for r in lattice.score(docs(spark, rows), path, head=3).collect():
+        out[r["doc_id"]].append(r["score"])
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[i].append((sum(np.log(segmentations(pieces, weight, lattice.MARK + w.encode())) for w in (t or "").lower().split()) + logp[-1]) / np.log(10))
+    assert {i: sorted(x) for i, x in out.items()} == {i: pytest.approx(sorted(x), rel=1e-9) for i, x in want.items()}
+
+
 def test_lattice_marginal_against_enumeration():
     pieces = lattice._pieces(tokenizer_file("piece_bpe_32k.model"))
     weight = pieces.weights(pieces.first)
 
-    def total(raw):
-        if not raw:
-            return 1.0
-        out, node = 0.0, 0
-        for k, b in enumerate(raw):
-            node = int(pieces.child[node, b])
-            if not node:
-                break
-            if pieces.token[node] >= 0:
-                out += np.exp(weight[node]) * total(raw[k + 1 :])
-        return out
-
     spelled = [lattice.MARK + w for w in (b"the", b"over", b"\xff", b"")]
-    assert lattice.marginals(pieces, weight, spelled) == pytest.approx([np.log(total(s)) for s in spelled])
+    assert lattice.marginals(pieces, weight, spelled) == pytest.approx([np.log(segmentations(pieces, weight, s)) for s in spelled])
     long = lattice.MARK + b"word" * 20
     assert lattice.marginals(pieces, weight, [long])[0] == pytest.approx(lattice._long(pieces, weight, long, None, None))
 
@@ -481,15 +647,45 @@ def test_components_raises_when_rounds_run_out(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """The five stages against plain versions of what they decide: base rules, language, near duplicates, repeats, ids."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     rng = random.Random(6)
+    own = DOC + ", runs string, n int, row string"
     rows = [(i, prose(rng, 150), "en", "s", 1) for i in range(40)]
     rows += [(100, rows[0][1], "en", "s", 1), (101, rows[1][1] + " " + prose(rng, 150), "en", "s", 1), (102, "short", "en", "s", 1), (103, None, None, None, None)]
-    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [(104, prose(rng, 60_000), "en", "s", 1), (105, "12 ² 34 " * 60, "en", "s", 1), (106, rows[5][1], "en", "s", 1), (106, prose(rng, 200), None, "s", 1)]
+    spark.createDataFrame([(*r, "clash", 7, "clash") for r in rows], own).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    real = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    left = [(i, t) for i, t, *_ in rows if len(words(t)) >= 50 and any(c.isalpha() for c in t)]
+    # The two rows named 106 are one node: one is a copy of row 5, so both go.
+    left = [(i, t) for i, t in left if i not in (100, 106)]
+    seen, want = set(), collections.Counter()
+    for i, t in sorted(left):
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in seen:
+                gone[at : at + 100] = True
+            seen.add(raw[at : at + 100])
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        want[i, len(real.encode(kept, add_special_tokens=False).ids) + 1] += 1
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in out}
-    assert ids == {*range(40), 101}
-    tokens = {r["doc_id"]: r["doc_tokens"] for r in out}
-    assert tokens[101] < 1.3 * tokens[1]
+    assert collections.Counter((r["doc_id"], r["doc_tokens"]) for r in out if r["start"] == 0) == want
+    assert sum(r["length"] for r in out) == sum(n for _, n in want.elements())
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], own).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_staged_tables_go(spark):
+    from heatlattice.storage import discard, staged
+
+    df = staged(spark.range(5), "numbers")
+    path = df._staged_path.removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 5
+    discard(df)
+    assert not os.path.exists(path)
