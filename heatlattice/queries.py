@@ -525,6 +525,17 @@ def ehsa_positional_gaps(spark, d):
     return out.select("region", "classification", F.round("tau", 6).alias("tau"), F.round("p_value", 6).alias("p_value"))
 
 
+_SUPPLIERS = f"{SY}, {edges_sql(SUPPLIER_KEYS, 10)}, {KEYED}, {gi_sql(1)}, {draws_sql(99)}, {P_SIM.format(nsim=99)}, {_SERIES}, {LABELLED}"
+
+
+@query(f"with {_SUPPLIERS} select region, classification, round(tau, 6) + 0.0 as tau, round(p_value, 6) as p_value from done")
+def ehsa_supplier_year(spark, d):
+    """The pipeline over suppliers and years, all quantities shipped."""
+    rows = sy(spark, d).join(supplier_geo(spark, d), "region")
+    out = ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", k=1, nsim=99, gap_policy="keyed")
+    return out.select("region", "classification", F.round("tau", 6).alias("tau"), F.round("p_value", 6).alias("p_value"))
+
+
 @query(f"with {_NY_GI}, {draws_sql(99)}, {P_SIM.format(nsim=99)} select count(*) as cells, count(*) filter (p_sim <= 0.01::double) as at_0_01, count(*) filter (p_sim <= 0.05::double) as at_0_05 from p")
 def significance_counts(spark, d):
     return gistar.significance_counts(_ny_p(spark, d))
