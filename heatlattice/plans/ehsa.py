@@ -61,14 +61,15 @@ def handlers(save_log: bool, log_dir: str | None) -> list[logging.Handler]:
 def emerging_hotspot_analysis(
     df: DataFrame, region_id_field: str, time_period_field: str, value: str, seed: int = 77, save_log: bool = False, log_dir: str | None = None,
     k: int = 1, nsim: int = 49, gap_policy: str = "positional", backend: str = "auto", snap: int | None = None, summary: bool = False,
-    on_error: str = "row",
+    on_error: str = "row", ordered: bool = False,
 ) -> DataFrame:
     """One row for each region with its pattern. The default nsim of 49 cannot reach the significance level of 0.01; use 99
     or more to find patterns.
 
     A region whose geometry cannot be read has no neighbour but itself and is `error_processing` with a message; with
     on_error "raise" it ends the run. Progress goes to the console, and to a file with save_log. With save_log or summary
-    the result is computed at once, written to the shared folder, and its time and label counts are logged.
+    the result is computed at once, written to the shared folder, and its time and label counts are logged. Rows come in
+    the order of the region if `ordered`, else in none.
     """
     permute.check_nsim(nsim)
     if on_error not in ("row", "raise"):
@@ -94,7 +95,7 @@ def emerging_hotspot_analysis(
                 log.info("%s: %d (%.1f %%)", row["classification"], row["regions"], row["percent"])
             log.info("tau: %s", classify.describe_tau(out).first().asDict())
             log.info("computed in %.2f s", time.time() - began)
-        return out
+        return out.orderBy(region_id_field) if ordered else out
     finally:
         for handler in writers:
             log.removeHandler(handler)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions import geo, numeric, union
 from .operators import classify, cube, gistar, permute, trend, weights
 from .plans import ehsa
-from .sources import export, ingest
+from .sources import export, ingest, shapes
+from .storage import shared_dir
 from .streaming import cube as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,6 +609,47 @@ def guarded_export(spark, d):
     return export.guarded(out)
 
 
+def _shapefile(keys: list[int]) -> tuple[bytes, bytes]:
+    """Unit squares of a grid, five wide, as the bytes of a .shp and a .dbf file."""
+    body, rows = b"", b""
+    for i, k in enumerate(keys):
+        x, y = float(k % 5), float(k // 5)
+        ring = [(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y), (x, y)]
+        content = struct.pack("<i4d2ii", 5, x, y, x + 1, y + 1, 1, 5, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+        body += struct.pack(">2i", i + 1, len(content) // 2) + content
+        rows += b" " + str(k).rjust(8).encode()
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+    field = b"KEY".ljust(11, b"\0") + b"N" + bytes(4) + bytes([8, 0]) + bytes(14)
+    return head + body, struct.pack("<4BIHH20x", 3, 0, 0, 0, len(keys), 32 + 32 + 1, 9) + field + b"\r" + rows
+
+
+@query("select n_nationkey as key, 1.0::double as area, n_nationkey % 5 + 0.5::double as cx, n_nationkey // 5 + 0.5::double as cy, true as valid from nation")
+def shapefile_read(spark, d):
+    """The nations' squares through the shapefile format."""
+    shp, dbf = _shapefile(sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()))  # a fixture: one file
+    rows = shapes.shapes(spark.createDataFrame([("nations", bytearray(shp), bytearray(dbf))], "name string, shp binary, dbf binary"))
+    m = geo.polygon_metrics(geo.wkt_polygons(F.col("geometry")))
+    return rows.select(F.col("attributes")["KEY"].cast("int").alias("key"), *(m[c].alias(c) for c in ("area", "cx", "cy", "valid")))
+
+
+@query("select n_nationkey::varchar as \"N_NATIONKEY\", n_name as \"N_NAME\", '{\"a\":' || n_nationkey || '}' as \"NESTED\" from nation")
+def csv_round_trip(spark, d):
+    """Written as CSV with nested columns as JSON, and read with a separator found in the header."""
+    folder = f"{shared_dir(spark)}/heatlattice/{spark.sparkContext.applicationId}/csv"
+    export.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_nationkey").alias("a")).alias("nested")), folder)
+    return ingest.read_table(spark, folder)
+
+
+@query("select * from (values ('one', 'skipped_insufficient_data', 'There is at most one time period.', true), ('nan', 'skipped_all_nan', 'All Gi* values are missing.', true), ('flat', 'no pattern detected', 'No pattern''s conditions hold.', false)) v(region, classification, reason, no_trend)")
+def skipped_regions(spark, d):
+    """Regions with one period, and with no value at all."""
+    nan = float("nan")
+    rows = [("one", 1, 2.0, 0.5), ("nan", 1, nan, 1.0), ("nan", 2, None, 1.0), ("flat", 1, 0.5, 1.0), ("flat", 2, nan, 1.0)]
+    done = classify.classified(classify.region_figures(spark.createDataFrame(rows, "region string, t int, gi double, p_sim double")))
+    none = spark.createDataFrame([], "region string, neighbor string")
+    return classify.result(done, none).select("region", "classification", F.col("classification_details.reason").alias("reason"), (F.isnan("tau") & F.col("mann_kendall_details").isNull()).alias("no_trend"))
+
+
 @query("""select n_nationkey as id, '{"id":' || n_nationkey || ',"inner":{"a":1,"list":[{"b":"' || n_name || '"}]},"map":{"kept":2}}' as record from nation""")
 def json_records(spark, d):
     """Keys that a script could take for object machinery are left out at any depth."""

@@ -13,7 +13,7 @@ from heatlattice import queries
 from heatlattice.functions import geo, numeric, union
 from heatlattice.operators import classify, cube, numbering, permute, trend, weights
 from heatlattice.plans import ehsa
-from heatlattice.sources import export, ingest
+from heatlattice.sources import export, ingest, shapes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -174,7 +174,9 @@ def test_analysis_of_short_and_gappy_input(spark, tmp_path):
 
 def test_regions_that_cannot_be_read(spark):
     rows = spark.createDataFrame([(r, t, float(t), g) for r, g in (("a", "POINT (0 0)"), ("b", "POLYGON ((0 0, 1")) for t in range(3)], "region string, t int, x double, geometry string")
-    out = {r["region"]: r for r in ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9).collect()}
+    got = ehsa.emerging_hotspot_analysis(rows, "region", "t", "x", nsim=9, ordered=True).collect()
+    assert [r["region"] for r in got] == ["a", "b"]
+    out = {r["region"]: r for r in got}
     assert out["a"]["classification"] != "error_processing" and out["a"]["classification_details"]["error_message"] is None
     assert out["b"]["classification"] == "error_processing" and "POLYGON ((0 0, 1" in out["b"]["classification_details"]["error_message"]
     assert len(out["b"]["location_data"]) == 3 and out["b"]["spatial_context_summary"]["neighbors_config"] == ["b"]
@@ -220,6 +222,25 @@ def test_dates_and_projection(spark, tmp_path):
         assert sorted(json.loads(r[0])["geometry"]["type"] for r in back) == ["MultiPolygon", "Point", "Polygon"]
 
 
+def test_shapefiles(spark, tmp_path):
+    import struct
+
+    record = lambda k, content: struct.pack(">2i", k, len(content) // 2) + content
+    rings = lambda kind, parts: struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(parts), sum(map(len, parts))) + struct.pack(f"<{len(parts)}i", *[sum(map(len, parts[:i])) for i in range(len(parts))]) + b"".join(struct.pack("<2d", *p) for r in parts for p in r)
+    outer, hole, other = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)], [(9, 9), (9, 10), (10, 10), (9, 9)]
+    body = record(1, struct.pack("<i2d", 1, 2.5, -1)) + record(2, rings(5, [outer, hole, other])) + record(3, struct.pack("<i", 0)) + record(4, rings(3, [outer[:2]])) + record(5, struct.pack("<i4di4d", 8, 0, 0, 0, 0, 2, 1, 2, 3, 4))
+    (tmp_path / "a.shp").write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8) + body)
+    (tmp_path / "b.SHP").write_bytes(queries._shapefile([3, 7])[0])
+    (tmp_path / "b.DBF").write_bytes(queries._shapefile([3, 7])[1])
+    got = {(r["name"], r["number"]): (r["geometry"], r["attributes"]) for r in shapes.read_shapefiles(spark, str(tmp_path)).collect()}
+    assert got["a", 1] == ("POINT (2.5 -1.0)", None) and got["a", 3] == (None, None) and got["b", 2][1] == {"KEY": "7"}
+    assert got["a", 4][0] == "LINESTRING (0.0 0.0, 0.0 4.0)" and got["a", 5][0] == "MULTIPOINT (1.0 2.0, 3.0 4.0)"
+    df = spark.createDataFrame([(got["a", 2][0],)], "w string").select(geo.wkt_problem(F.col("w")), geo.polygon_metrics(geo.wkt_polygons(F.col("w")))["area"]).first()
+    assert tuple(df) == (None, 12.5) and len(got) == 7
+    with pytest.raises(ValueError):
+        list(shapes.records_of(b"nothing"))
+
+
 def test_paths_and_pages(spark, tmp_path):
     for bad in ("/etc/x.html", "../x.html", str(tmp_path / "x.txt"), ""):
         with pytest.raises(ValueError):
@@ -256,7 +277,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "p_sim_numpy", "mk_ties", "ehsa_full", "ehsa_nested", "ehsa_positional_gaps", "ehsa_error_rows", "geohash_union_polygons", "geojson_features", "yearly_totals"])
+@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "p_sim_numpy", "mk_ties", "ehsa_full", "ehsa_nested", "ehsa_positional_gaps", "ehsa_error_rows", "geohash_union_polygons", "geojson_features", "shapefile_read", "csv_round_trip", "skipped_regions", "yearly_totals"])
 def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL).toPandas()
     want = duck(SMALL).execute(queries.ORACLE[name]).df()
