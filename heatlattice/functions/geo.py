@@ -128,9 +128,18 @@ def ring_metrics(v: Column) -> Column:
     )
 
 
+def crosses_itself(ring: Column) -> Column:
+    """Whether two sides of a ring cross each other inside both."""
+    sides = F.zip_with(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    turn = lambda s, p: F.signum((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"]))
+    apart = lambda s, t: turn(s, t["a"]) * turn(s, t["b"]) < 0
+    return F.exists(sides, lambda s: F.exists(sides, lambda t: apart(s, t) & apart(t, s)))
+
+
 def polygon_metrics(polygons: Column) -> Column:
     """The figures of `ring_metrics` for polygons with holes, and valid: every ring of a polygon is closed, has four points
-    or more and an area. Holes count as negative; without any area the centre is the mean of the vertices."""
+    or more and an area, and does not cross itself. Holes count as negative; without any area the centre is the mean of
+    the vertices."""
     vertices = F.flatten(F.flatten(polygons))
     weighed = F.flatten(F.transform(polygons, lambda rings: F.transform(rings, lambda ring, k: F.struct(ring_metrics(ring).alias("m"), F.when(k == 0, 1.0).otherwise(-1.0).alias("sign")))))
     total = lambda f: F.aggregate(weighed, F.lit(0.0), lambda a, r: a + r["sign"] * f(r["m"]))
@@ -138,7 +147,7 @@ def polygon_metrics(polygons: Column) -> Column:
     mean = lambda c: F.aggregate(vertices, F.lit(0.0), lambda a, p: a + p[c]) / F.size(vertices)
     centre = lambda c, axis: F.when(area > 0, total(lambda m: m["area"] * m[c]) / area).otherwise(mean(axis))
     ends = lambda agg, c: agg(F.transform(vertices, lambda p: p[c]))
-    closed = lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & (ring_metrics(ring)["area"] > 0)
+    closed = lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & (ring_metrics(ring)["area"] > 0) & ~crosses_itself(ring)
     return F.when(
         F.size(vertices) > 0,
         F.struct(

@@ -191,9 +191,9 @@ def geohash_union_mixed(spark, d):
     return geo.cells_area(codes, "code").select(F.round("area", 12).alias("area")).join(geo.merged_cells(codes, "code").agg(F.count("*").alias("edges")))
 
 
-@query("select id, area, cx, cy, valid from (values ('hole', 12.0::double, 2.0::double, 2.0::double, true), ('two', 5.0::double, round(4 * 1.0::double / 5 + 5.5::double / 5, 9), round(4 * 1.0::double / 5 + 0.5::double / 5, 9), true), ('open', 0.5::double, round(2.0::double / 3, 9), round(1.0::double / 3, 9), false), ('point', 0.0::double, 1.0::double, -2.5::double, false)) v(id, area, cx, cy, valid)")
+@query("select id, area, cx, cy, valid from (values ('hole', 12.0::double, 2.0::double, 2.0::double, true), ('two', 5.0::double, round(4 * 1.0::double / 5 + 5.5::double / 5, 9), round(4 * 1.0::double / 5 + 0.5::double / 5, 9), true), ('open', 0.5::double, round(2.0::double / 3, 9), round(1.0::double / 3, 9), false), ('point', 0.0::double, 1.0::double, -2.5::double, false), ('bow', 4.0::double, 4.0::double, 2.0::double, false)) v(id, area, cx, cy, valid)")
 def polygon_holes(spark, d):
-    shapes = [("hole", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"), ("two", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))"), ("open", "POLYGON ((0 0, 1 0, 1 1))"), ("point", "POINT (1 -2.5)")]
+    shapes = [("hole", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"), ("two", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))"), ("open", "POLYGON ((0 0, 1 0, 1 1))"), ("point", "POINT (1 -2.5)"), ("bow", "POLYGON ((0 0, 4 4, 4 0, 0 2, 0 0))")]
     m = geo.polygon_metrics(geo.wkt_polygons(F.col("w")))
     return spark.createDataFrame(shapes, "id string, w string").select("id", *(F.round(m[c], 9).alias(c) for c in ("area", "cx", "cy")), m["valid"].alias("valid"))
 

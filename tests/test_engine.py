@@ -222,6 +222,26 @@ def test_dates_and_projection(spark, tmp_path):
         assert sorted(json.loads(r[0])["geometry"]["type"] for r in back) == ["MultiPolygon", "Point", "Polygon"]
 
 
+def test_stream_of_events(spark, tmp_path):
+    from heatlattice.streaming import cube as stream
+
+    rows = [(u, f"2024-01-{day:02d} {hour:02d}:00:00") for day in range(1, 8) for hour in (1, 13) for u in (1, 2)]
+    events = spark.createDataFrame(rows, "user_id int, ts string").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events"))
+    got = {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            got[r["region"], str(r["t"].date())] = r["x"]
+
+    source = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    query = stream.windowed(source, "user_id").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    # The watermark lies two days behind the last event, so later windows stay open.
+    assert got == {(str(u), f"2024-01-{day:02d}"): 2.0 for u in (1, 2) for day in range(1, 5)}
+    assert stream.windowed(events, "user_id").count() == 14
+
+
 def test_shapefiles(spark, tmp_path):
     import struct
 
