@@ -414,7 +414,8 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     own = found.where("not again").select("key", "c1", "c2", "doc", "sig", "at", "windows", _ordered().alias("place"))
     # Each distinct context and its first text; a text has it once among these rows.
     classes = staged(own.groupBy("key", "c1", "c2").agg(F.min("place").alias("first"), F.count("*").alias("n")), "classes")
-    several = classes.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    # A table of its own, so that joins with it meet nothing but exchanges, which adaptive execution can split.
+    several = staged(classes.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
     wanted = classes.join(several, "key", "left").where("n > 1 or contexts > 1").select("c1", "c2", "first", "contexts")
     met = own.join(wanted, ["c1", "c2"]).withColumn("is_first", F.col("place") == F.col("first")).where("not is_first or contexts > 1")
     only_first = lambda c: F.when(F.col("is_first"), F.col(c)).alias(c)
@@ -424,7 +425,7 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     firsts = met.where("is_first").dropDuplicates(["c1", "c2"]).select("key", "contexts", "c1", "c2", "doc", "sig", "at")
     strings = found.where("context is not null").select("key", "c1", "c2", "context").join(several.select("key"), "key", "left_semi").dropDuplicates(["c1", "c2"]).drop("key")
     mixed = staged(firsts.join(strings, ["c1", "c2"]).select("key", "contexts", "doc", "sig", "at", "context"), "mixed")
-    discard(found, classes)
+    discard(found, classes, several)
     usual = mixed.where(F.col("contexts") <= HOT).select("key", "doc", "sig", "at", "context")
     # Windows have one length, so equal ones need no index: all but the earliest are covered.
     single = mixed.where(F.col("contexts") > HOT).select("doc", "sig", "at", "context").mapInArrow(_single_windows, "w1 long, w2 long, doc long, sig long, at int")
