@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark documents; tokens get theirs from a bounded sample of labelled rows: a feature (a word or a word beginning)
-that an exact binomial test finds tied to toxic documents, corrected for the number of features, marks the tokens of toxic
+that exact binomial tests find tied to toxic documents, with a bound on false discoveries, marks the tokens of toxic
 documents that have it. The field has two states; features are a token's word, beginnings and ending as the
 sample's windows have them (others weigh nothing), and the transitions. It is fitted by gradient steps on windows of the sample. Forward and backward
 recursions over the whole text give each token's marginal, for many documents at a time; a logistic fit on rows of the
@@ -35,7 +35,8 @@ WIDTH, STEPS, KEPT = 32, 60, 400_000
 #: Windows of each sampled row that the field is fitted on: with marked tokens, and without.
 MARKED, OTHERS = 6, 2
 PORTION = 1 << 23
-LEVEL = 1e-3
+#: Share of false discoveries among the tied features, and of a tied feature's rows that may be clean.
+FALSE, CLEAN_SHARE = 0.01, 0.1
 TOKEN = re.compile(r"\w+")
 
 
@@ -199,6 +200,22 @@ def _first_of_copies(rows: list[list[str]], signs: int = 8) -> np.ndarray:
     return keep
 
 
+def _tied(hot: Counter, cold: Counter, share: float) -> set[str]:
+    """Features of toxic rows that have them far more often than the share of toxic rows explains: an exact binomial test of
+    each, at most FALSE false discoveries among them (Benjamini and Hochberg's step-up)."""
+    known: dict[tuple[int, int], float] = {}
+    found = []
+    for f, n in hot.items():
+        c = cold[f]
+        if n >= 3 and c <= CLEAN_SHARE * n:
+            if (n, c) not in known:
+                known[n, c] = upper_tail(n, n + c, share)
+            found.append((known[n, c], f))
+    found.sort()
+    last = max((k for k, (p, _) in enumerate(found, 1) if p <= FALSE * k / max(1, len(hot))), default=0)
+    return {f for _, f in found[:last]}
+
+
 def fit(sample: list[tuple[str, int]]) -> Field:
     """A field from (text, toxic) rows; every fourth row is kept for the logistic fit."""
     field = Field()
@@ -216,8 +233,7 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         if on:
             (hot if x else cold).update({f for w in set(tokens) for f in features(w)[:4]})
     share = float(toxic[learn].mean())
-    level = LEVEL / max(1, len(hot))
-    tied = {f for f, n in hot.items() if n >= 3 and n > 4 * share * (n + cold[f]) / (1 + 3 * share) and upper_tail(n, n + cold[f], share) < level and cold[f] <= 0.02 * n}
+    tied = _tied(hot, cold, share)
     marks = [[int(x and any(f in tied for f in features(w)[:4])) for w in tokens] for tokens, x in zip(rows, toxic, strict=True)]
     rng = np.random.default_rng(7)
     part = [i for i in np.flatnonzero(learn)]
