@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, remainder
 
-TOXIC, CLEAN = 2000, 3000  # rows of the sample
+TOXIC, CLEAN = 2000, 8000  # rows of the sample
 #: Characters of one text, and of all, that the sample may hold.
 LONGEST, ROOM = 1 << 20, 1 << 27
 WIDTH, STEPS, KEPT = 32, 60, 400_000
@@ -36,7 +36,7 @@ WIDTH, STEPS, KEPT = 32, 60, 400_000
 MARKED, OTHERS = 6, 2
 PORTION = 1 << 23
 #: Share of false discoveries among the tied features, and of a tied feature's rows that may be clean.
-FALSE, CLEAN_SHARE = 0.01, 0.1
+FALSE, CLEAN_SHARE = 1e-3, 0.02
 TOKEN = re.compile(r"\w+")
 
 
@@ -207,7 +207,7 @@ def _tied(hot: Counter, cold: Counter, share: float) -> set[str]:
     found = []
     for f, n in hot.items():
         c = cold[f]
-        if n >= 3 and c <= CLEAN_SHARE * n:
+        if n >= 3 and c <= max(CLEAN_SHARE * n, n >= 10):  # one clean row is allowed to ten toxic ones
             if (n, c) not in known:
                 known[n, c] = upper_tail(n, n + c, share)
             found.append((known[n, c], f))
@@ -219,7 +219,8 @@ def _tied(hot: Counter, cold: Counter, share: float) -> set[str]:
 def fit(sample: list[tuple[str, int]]) -> Field:
     """A field from (text, toxic) rows; every fourth row is kept for the logistic fit."""
     field = Field()
-    rows = [[w.lower() for w in TOKEN.findall(t or "")] for t, _ in sample]
+    same: dict[str, str] = {}  # one object for each word, however often it occurs
+    rows = [[same.get(w) or same.setdefault(w, w.lower()) for w in TOKEN.findall(t or "")] for t, _ in sample]
     keep = _first_of_copies(rows)
     rows = [r for r, on in zip(rows, keep, strict=True) if on]
     toxic = np.array([x for (_, x), on in zip(sample, keep, strict=True) if on])
