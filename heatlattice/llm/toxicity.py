@@ -36,7 +36,7 @@ WIDTH, STEPS, KEPT = 32, 60, 400_000
 MARKED, OTHERS = 6, 2
 PORTION = 1 << 23
 #: Share of false discoveries among the tied features, and of a tied feature's rows that may be clean.
-FALSE, CLEAN_SHARE = 1e-3, 0.02
+FALSE, CLEAN_SHARE = 0.01, 0.02
 TOKEN = re.compile(r"\w+")
 
 
