@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import wkt_problem
 from ..operators import classify, cube, gistar, permute, weights
-from ..storage import staged
+from ..storage import discard, staged
 
 log = logging.getLogger("heatlattice")
 
@@ -27,15 +27,18 @@ def gi_star_spacetime(observations: DataFrame, edges: DataFrame, k: int = 1, nsi
     """observations (region, t, x) with gi, p_sim and cluster; gap_policy 'positional' or 'keyed' (the same on a
     complete cube)."""
     permute.check_nsim(nsim)
+    if gap_policy not in ("positional", "keyed"):
+        raise ValueError("gap_policy must be 'positional' or 'keyed'")
+    # Index, slice statistics, neighbour sums and values all read the cube; it is made once.
+    observations = staged(observations.select("region", "t", "x"), "cube")
     if gap_policy == "positional":
         names = cube.slots(observations)
         near = edges.join(names, "region").join(names.select(F.col("region").alias("neighbor"), F.col("slot").alias("nb")), "neighbor")
         obs, near = cube.positional(observations), near.select(F.col("slot").alias("region"), F.col("nb").alias("neighbor"))
-    elif gap_policy == "keyed":
-        obs, near = cube.keyed(observations), edges
     else:
-        raise ValueError("gap_policy must be 'positional' or 'keyed'")
+        obs, near = cube.keyed(observations), edges
     scored = permute.p_values(gistar.gi_star(obs, near, k), nsim, seed, backend)
+    discard(observations)  # the scored table holds it
     return scored.withColumn("cluster", gistar.cluster_label(F.col("gi"), F.col("p_sim")))
 
 
@@ -81,7 +84,7 @@ def emerging_hotspot_analysis(
         log.info("analysis of %s by %s and %s, k %d, nsim %d, seed %d", value, region_id_field, time_period_field, k, nsim, seed)
         observations = prepare(df, region_id_field, time_period_field, value)
         geo = cube.region_geometry(df.withColumn(region_id_field, F.coalesce(F.col(region_id_field).cast("string"), F.lit("None"))), region_id_field)
-        edges = weights.queen_edges(geo, region_id_field, "geometry", snap, on_error == "raise")
+        edges = staged(weights.queen_edges(geo, region_id_field, "geometry", snap, on_error == "raise"), "edges")  # for sums and result
         problems = None
         if on_error == "row" and dict(geo.dtypes)["geometry"] == "string":
             problems = geo.select(F.col(region_id_field).alias("region"), wkt_problem(F.col("geometry")).alias("problem")).where("problem is not null")
