@@ -477,12 +477,41 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(place.alias("doc"), F.xxhash64("text").alias("sig"), *columns)
 
 
+def _chosen(bits, hit: bool):
+    """The rows whose key, the last column, may be in the bitmap (hit), or is not in it."""
+
+    def run(batches):
+        for batch in batches:
+            key = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_bitmap(bits.value, key) == hit))
+
+    return run
+
+
+def _untouched(bits, with_text: bool, schema):
+    """Results of the rows that have no run, whose key, the last column, is not in the bitmap."""
+    cut = _cut(with_text, schema)
+
+    def run(batches):
+        for batch in _chosen(bits, False)(batches):
+            columns = [*batch.columns[:-1], pa.nulls(batch.num_rows, pa.list_(pa.int32()))]
+            yield from cut(iter([pa.RecordBatch.from_arrays(columns, names=batch.schema.names)]))
+
+    return run
+
+
 def _cut_out(docs: DataFrame, schema, with_text: bool) -> DataFrame:
+    """docs without their covered runs. Only texts that may have some are shuffled to them."""
     runs = covered_runs(_keyed(docs, "text"))
+    key = F.xxhash64("doc", "sig")
     per_row = runs.groupBy("doc", "sig").agg(F.collect_set(F.struct("at", "bytes")).alias("runs"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(runs.select(key.alias("key")), "key", 26))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = _keyed(docs, row).select("doc", "sig", "row", key.alias("key"))
     name = "runs" + "_" * max(map(len, docs.columns))  # no column of docs has it
-    return _keyed(docs, row).join(per_row, ["doc", "sig"], "left").select("row.*", F.col("runs").alias(name)).mapInArrow(_cut(with_text, schema), schema)
+    still = rows.select("row.*", F.col("key").alias(name)).mapInArrow(_untouched(bits, with_text, schema), schema)
+    met = rows.mapInArrow(_chosen(bits, True), rows.schema).join(per_row, ["doc", "sig"], "left").select("row.*", F.col("runs").alias(name))
+    return still.unionByName(met.mapInArrow(_cut(with_text, schema), schema))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
