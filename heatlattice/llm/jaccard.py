@@ -110,11 +110,14 @@ def _levels(summaries: DataFrame) -> np.ndarray:
     blocks = summaries.where("block is not null").select("block", "counts")
     parts = (1 << SKETCH_BITS) // BLOCK
     found = blocks.repartition(parts, "block").mapInArrow(_added, "block int, counts binary").toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.float64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for b, raw in zip(found["block"].to_pylist(), found["counts"].to_pylist(), strict=True):
         counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(raw, "<u4")
-    mean = max(4.0, float(np.mean(counts)))
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8)
+    mean = max(4.0, float(np.mean(counts, dtype=np.float64)))
+    out = np.zeros(len(counts), np.uint8)
+    for i in range(0, len(counts), BLOCK):  # block by block, as the driver has little memory
+        out[i : i + BLOCK] = np.clip(np.floor(2 * np.log2(np.maximum(counts[i : i + BLOCK], 1) / mean)), 0, 31)
+    return out
 
 
 def _leading(width: int, percent: int, levels):
