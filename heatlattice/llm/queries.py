@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, jaccard, langid, lattice, packing, quality, suffix, toxicity
+from . import alignment, bpe, chat, embeddings, jaccard, langid, lattice, packing, quality, squares, suffix, toxicity, variants
 
 
 def table(spark, sf_dir: str, name: str):
@@ -58,11 +58,24 @@ def op10_lattice_score(spark, sf_dir):
     return lattice.score(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op3_language, op4_embedding_join, op5_quality_rules, op6_toxicity, op7_jaccard_join, op8_byte_bpe, op9_chat_format, op10_lattice_score)}
+def op11_token_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_best_fit(spark, sf_dir):
+    return squares.pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pack, op3_language, op4_embedding_join, op5_quality_rules, op6_toxicity, op7_jaccard_join, op8_byte_bpe, op9_chat_format, op10_lattice_score, op11_token_alignment, op12_best_fit, op13_spelling_variants)}
 
 ORACLE = {
     "op4_embedding_join": embeddings.ORACLE,
     "op5_quality_rules": quality.oracle(),
     "op7_jaccard_join": jaccard.oracle(),
     "op9_chat_format": chat.ORACLE,
+    "op13_spelling_variants": variants.oracle(),
 }
