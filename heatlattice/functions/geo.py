@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .validity import invalid_reason
+
 #: Digits of geohash codes (fixed values).
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
@@ -82,33 +84,6 @@ def with_geohash_geometry(df: DataFrame, field: str) -> DataFrame:
     return df.withColumn("geometry", geohash_wkt(F.col(field)))
 
 
-def finest_cells(codes: DataFrame, field: str) -> DataFrame:
-    """(code): the distinct cells, coarse ones as their parts of the finest precision there is."""
-    cells = codes.where(F.col(field).isNotNull()).select(F.lower(F.col(field)).alias("code")).distinct()
-    finest = cells.agg(F.max(F.length("code")).alias("finest"))  # one row
-    missing = F.col("finest") - F.length("code")
-    digit = lambda n, k: F.substring(F.lit(BASE32), (F.floor(n / F.pow(F.lit(32), k)) % 32).cast("int") + 1, F.lit(1))
-    suffix = lambda n: F.when(missing > 0, F.concat_ws("", F.transform(F.sequence(missing - 1, F.lit(0), F.lit(-1)), lambda k: digit(n, k)))).otherwise("")
-    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(32), missing).cast("bigint") - 1), lambda n: F.concat("code", suffix(n)))
-    return cells.join(F.broadcast(finest)).select(F.explode(parts).alias("code")).distinct()
-
-
-def merged_cells(codes: DataFrame, field: str) -> DataFrame:
-    """The boundary edges of the union of geohash cells: those that one cell alone has."""
-    cells = finest_cells(codes, field).select(geohash_bounds(F.col("code")).alias("b"))
-    w, s, e, n = (F.col(f"b.{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
-    side = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    edges = cells.select(F.explode(F.array(side(w, s, e, s), side(w, n, e, n), side(w, s, w, n), side(e, s, e, n))).alias("edge"))
-    return edges.groupBy("edge").agg(F.count("*").alias("k")).where("k = 1").select("edge.*")
-
-
-def cells_area(codes: DataFrame, field: str) -> DataFrame:
-    """One row: the area of the union."""
-    b = geohash_bounds(F.col("code"))
-    cells = finest_cells(codes, field)
-    return cells.select(((b["max_lon"] - b["min_lon"]) * (b["max_lat"] - b["min_lat"])).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
-
-
 def ring_metrics(v: Column) -> Column:
     """struct<area, cx, cy, min_x, min_y, max_x, max_y> of one ring of vertices; a point is its own centroid."""
     crosses = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: F.struct((a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
@@ -128,17 +103,8 @@ def ring_metrics(v: Column) -> Column:
     )
 
 
-def crosses_itself(ring: Column) -> Column:
-    """Whether two sides of a ring cross each other inside both."""
-    sides = F.zip_with(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    turn = lambda s, p: F.signum((s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"]))
-    apart = lambda s, t: turn(s, t["a"]) * turn(s, t["b"]) < 0
-    return F.exists(sides, lambda s: F.exists(sides, lambda t: apart(s, t) & apart(t, s)))
-
-
 def polygon_metrics(polygons: Column) -> Column:
-    """The figures of `ring_metrics` for polygons with holes, and valid: every ring of a polygon is closed, has four points
-    or more and an area, and does not cross itself. Holes count as negative; without any area the centre is the mean of
+    """The figures of `ring_metrics` for polygons with holes, and valid, as of `validity`. Holes count as negative; without any area the centre is the mean of
     the vertices."""
     vertices = F.flatten(F.flatten(polygons))
     weighed = F.flatten(F.transform(polygons, lambda rings: F.transform(rings, lambda ring, k: F.struct(ring_metrics(ring).alias("m"), F.when(k == 0, 1.0).otherwise(-1.0).alias("sign")))))
@@ -147,12 +113,11 @@ def polygon_metrics(polygons: Column) -> Column:
     mean = lambda c: F.aggregate(vertices, F.lit(0.0), lambda a, p: a + p[c]) / F.size(vertices)
     centre = lambda c, axis: F.when(area > 0, total(lambda m: m["area"] * m[c]) / area).otherwise(mean(axis))
     ends = lambda agg, c: agg(F.transform(vertices, lambda p: p[c]))
-    closed = lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & (ring_metrics(ring)["area"] > 0) & ~crosses_itself(ring)
     return F.when(
         F.size(vertices) > 0,
         F.struct(
             area.alias("area"), centre("cx", "x").alias("cx"), centre("cy", "y").alias("cy"),
             ends(F.array_min, "x").alias("min_x"), ends(F.array_min, "y").alias("min_y"), ends(F.array_max, "x").alias("max_x"), ends(F.array_max, "y").alias("max_y"),
-            F.forall(polygons, lambda rings: F.forall(rings, closed)).alias("valid"),
+            invalid_reason(polygons).isNull().alias("valid"),
         ),
     )

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import BASE32
 
+#: Cells of twelve letters on either axis.
+GRID = 1 << 30
+
 
 def cell_box(code: str) -> tuple[float, float, float, float]:
     """(west, south, east, north) of a geohash cell."""
@@ -43,75 +45,72 @@ def _wkt(polygons: list[list[list[tuple[float, float]]]]) -> str:
     return f"POLYGON {bodies[0]}" if len(bodies) == 1 else f"MULTIPOLYGON ({', '.join(bodies)})"
 
 
-def _area(ring: list[tuple[float, float]]) -> float:
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
-
-
-def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
-    crossings = sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:], strict=False))
-    return crossings % 2 == 1
-
-
-def _rings(filled: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Closed rings of grid points around filled squares, which lie on their left; no ring passes a point twice."""
-    padded = np.pad(filled, 1)
-    onward: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    # A square's side is a border where the square beyond it is empty.
-    for dx, dy, start, step in ((0, -1, (0, 0), (1, 0)), (1, 0, (1, 0), (0, 1)), (0, 1, (1, 1), (-1, 0)), (-1, 0, (0, 1), (0, -1))):
-        beyond = np.roll(padded, (-dx, -dy), (0, 1))
-        for i, j in np.argwhere(padded & ~beyond).tolist():
-            onward[i - 1 + start[0], j - 1 + start[1]].append(step)
-    out = []
-    for begin in sorted(onward):
-        while onward[begin]:
-            path, at, step = [begin], begin, onward[begin].pop()
-            while True:
-                at = (at[0] + step[0], at[1] + step[1])
-                if at in path:  # a loop is closed: cut it off
-                    k = path.index(at)
-                    out.append([*path[k:], at])
-                    del path[k + 1 :]
-                else:
-                    path.append(at)
-                if at == begin and not onward[at]:
-                    break
-                if not onward[at]:
-                    break
-                left = (-step[1], step[0])
-                step = left if left in onward[at] else onward[at][-1]
-                onward[at].remove(step)
+def _box(code: str) -> tuple[int, int, int, int]:
+    """(west, south, east, north) in units of a twelve-letter cell."""
+    w, s, e, n = cell_box(code)
+    return tuple(round((v + shift) / span * GRID) for v, shift, span in ((w, 180.0, 360.0), (s, 90.0, 180.0), (e, 180.0, 360.0), (n, 90.0, 180.0)))
+
+
+def _border(boxes: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int], dict[int, tuple[int, int]]]:
+    """Where border edges lead, by start and direction (0 east, then counter-clockwise), filled on their left; boxes
+    (w, s, e, n, k) fill where k is 1 and only mark their corners where it is 0."""
+    turns: dict[tuple[bool, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+    for w, s, e, n, k in boxes:
+        for upright, line, low, high, side in ((True, e, s, n, 0), (True, w, s, n, 1), (False, n, w, e, 0), (False, s, w, e, 1)):
+            turns[upright, line][low][side] += k
+            turns[upright, line][high][side] -= k
+    onward: dict[tuple[int, int], dict[int, tuple[int, int]]] = defaultdict(dict)
+    for (upright, line), at in turns.items():
+        before = behind = 0
+        marks = sorted(at)
+        for low, high in zip(marks, marks[1:], strict=False):
+            before, behind = before + at[low][0], behind + at[low][1]
+            if before != behind:
+                a, b = (low, high) if (before > 0) == upright else (high, low)
+                way = (1 if before > 0 else 3) if upright else (2 if before > 0 else 0)
+                start, end = ((line, a), (line, b)) if upright else ((a, line), (b, line))
+                onward[start][way] = end
+    return onward
+
+
+def _cycles(onward, turned: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Rings of points: on to the left where there is a choice, to the right at the points in turned."""
+    left, out = {(p, d) for p, ways in onward.items() for d in ways}, []
+    for p, d in sorted(left, key=lambda v: (v[0][1], v[0][0], v[1])):
+        ring = []
+        while (p, d) in left:
+            left.remove((p, d))
+            ring.append(p)
+            p, ways = onward[p][d], onward[onward[p][d]]
+            d = next(iter(ways)) if len(ways) == 1 else (d + (3 if p in turned else 1)) % 4
+        if ring:
+            out.append(ring)
     return out
 
 
 def geohashes_to_polygon(codes: Iterable[str | None]) -> str:
-    """The union of cells of any precisions as WKT: POLYGON, MULTIPOLYGON, or POLYGON EMPTY for no cell. Corners of cells on
-    the border stay vertices, so neighbours still share them."""
-    boxes = sorted({cell_box(c) for c in codes if c is not None})
-    if not boxes:
+    """The union of cells of up to twelve letters as WKT: POLYGON, MULTIPOLYGON, or POLYGON EMPTY for no cell. Corners of
+    cells on the border stay vertices, so neighbours still share them; no ring passes a point twice. For the cells of
+    whole tables, see `operators.dissolve`."""
+    cells = {c.lower() for c in codes if c is not None}
+    onward = _border([(*_box(c), int(not any(c[:k] in cells for k in range(1, len(c))))) for c in sorted(cells)])
+    if not onward:
         return _wkt([])
-    xs, ys = sorted({x for b in boxes for x in (b[0], b[2])}), sorted({y for b in boxes for y in (b[1], b[3])})
-    column, row = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
-    filled = np.zeros((len(xs) - 1, len(ys) - 1), bool)
-    for w, s, e, n in boxes:
-        filled[column[w] : column[e], row[s] : row[n]] = True
-    corners = {(column[x], row[y]) for w, s, e, n in boxes for x in (w, e) for y in (s, n)}
-    outer, holes = [], []
-    for ring in _rings(filled):
-        body = ring[:-1]
-        turns = [p for k, p in enumerate(body) if p in corners or not ((body[k - 1][0] == p[0] == body[(k + 1) % len(body)][0]) or (body[k - 1][1] == p[1] == body[(k + 1) % len(body)][1]))]
-        first = turns.index(min(turns, key=lambda p: (p[1], p[0])))
-        turns = turns[first:] + turns[:first]
-        real = [(xs[i], ys[j]) for i, j in [*turns, turns[0]]]
-        (outer if _area(real) > 0 else holes).append(real)
-    outer.sort(key=lambda r: (abs(_area(r)), r[0]))
-    polygons = {k: [r] for k, r in enumerate(outer)}
-    for hole in holes:
-        # A point just inside the filled side of the hole's first edge lies in the smallest ring around it.
-        (x1, y1), (x2, y2) = hole[0], hole[1]
-        nudge = 1e-9
-        x, y = (x1 + x2) / 2 - nudge * (y2 - y1), (y1 + y2) / 2 + nudge * (x2 - x1)
-        polygons[next(k for k, r in enumerate(outer) if _holds(r, x, y))].append(hole)
-    return _wkt(sorted(polygons.values()))
+    counts = [Counter(ring) for ring in _cycles(onward, set())]
+    rings = _cycles(onward, {p for c in counts for p, n in c.items() if n > 1})
+    area = [sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]], strict=True)) for r in rings]
+    walls = [(a[0], b[1], a[1], k) for k, r in enumerate(rings) for a, b in zip(r, [*r[1:], r[0]], strict=True) if a[0] == b[0] and b[1] < a[1]]
+    held = {k: [r] for k, r in enumerate(rings) if area[k] > 0}
+    for k, ring in enumerate(rings):
+        # The first border west of a hole is that of its polygon, or of another of its holes.
+        at = k
+        while area[at] < 0:
+            x, y = min(rings[at], key=lambda p: (p[1], p[0]))
+            at = max((wx, j) for wx, low, high, j in walls if wx < x and low <= y < high)[1]
+        if at != k:
+            held[at].append(ring)
+    real = lambda r: [(x * 360.0 / GRID - 180.0, y * 180.0 / GRID - 90.0) for x, y in [*r, r[0]]]
+    return _wkt([list(map(real, rings)) for rings in held.values()])
 
 
 def union_wkt(codes: Column) -> Column:

@@ -26,6 +26,39 @@ def queen_edges(geo: DataFrame, region: str = "region", geometry: str = "geometr
     return met.select(F.col("a.region").alias("region"), F.col("b.region").alias("neighbor")).distinct().unionByName(own.select("region", F.col("region").alias("neighbor")))
 
 
+def near_vertices(points: DataFrame, within: float) -> DataFrame:
+    """(ax, ay, bx, by): ordered pairs of points (vx, vy), each with itself, at most `within` apart.
+
+    Points are dealt to buckets twice as wide, so partners lie in the same bucket or a neighbouring one wherever the
+    rounding of the quotient falls; a distance that coordinates are too large for raises.
+    """
+    if not within > 0:
+        raise ValueError("the distance must be positive")
+    width = 2.0 * within
+    bucket = lambda c: F.when(F.abs(F.col(c) / width) < 2.0**50, F.floor(F.col(c) / width)).otherwise(F.raise_error(F.lit("coordinates too large for this distance")))
+    dealt = points.select("vx", "vy").where("vx is not null and vy is not null").distinct().select("vx", "vy", bucket("vx").alias("i"), bucket("vy").alias("j"))
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), d -> transform(sequence(-1, 1), e -> struct(i + d as i, j + e as j))))")).alias("at")
+    asks = dealt.select(F.col("vx").alias("ax"), F.col("vy").alias("ay"), around).select("ax", "ay", "at.i", "at.j")
+    met = asks.join(dealt.select("i", "j", F.col("vx").alias("bx"), F.col("vy").alias("by")), ["i", "j"])
+    apart = F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)
+    return met.where(apart <= within * within).select("ax", "ay", "bx", "by")
+
+
+def queen_edges_within(geo: DataFrame, within: float, region: str = "region", geometry: str = "geometry", strict: bool = True) -> DataFrame:
+    """(region, neighbor): regions with vertices at most `within` apart, each region its own neighbour.
+
+    Distances are taken between different points; which regions have them comes in afterwards, so a vertex that many
+    regions share is compared once.
+    """
+    v = vertices(geo, region, geometry, None, strict)
+    near = near_vertices(v, within)
+    one = v.select("region", F.col("vx").alias("ax"), F.col("vy").alias("ay"))
+    other = v.select(F.col("region").alias("neighbor"), F.col("vx").alias("bx"), F.col("vy").alias("by"))
+    met = near.join(one, ["ax", "ay"]).select("region", "bx", "by").distinct().join(other, ["bx", "by"]).where("region <> neighbor")
+    own = geo.select(F.col(region).alias("region")).distinct()
+    return met.select("region", "neighbor").distinct().unionByName(own.select("region", F.col("region").alias("neighbor")))
+
+
 def standardised(edges: DataFrame) -> DataFrame:
     return edges.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("region")))
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, numeric, union
-from .operators import classify, cube, gistar, permute, trend, weights
+from .functions import geo, numeric, validity
+from .operators import classify, cube, dissolve, gistar, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapes
 from .storage import shared_dir
@@ -133,12 +133,12 @@ def cube_dropna(spark, d):
     return cube.dropna(cube.complete(ud(spark, d), "region", "t"), "x")
 
 
-@query(f"with {UD}, {edges_sql(USER_KEYS, 15)} select region, x % 10 as cx, count(*) as n from obs group by all")
+@query(f"with {UD}, {edges_sql(USER_KEYS, 15)} select region, (region::int % 15)::double as min_x, x % 10 as cx, count(*) as n from obs group by all")
 def first_geometry_join(spark, d):
     """Cube completion with geometry: rows keep their region's geometry."""
     full = ud(spark, d).join(user_geo(spark, d), "region")
-    done = cube.dropna(cube.complete(full, "region", "t"), "x").where("geometry is not null")
-    return done.groupBy("region", (F.col("x") % 10).alias("cx")).agg(F.count("*").alias("n"))
+    done = cube.dropna(cube.complete(full, "region", "t"), "x")
+    return done.groupBy("region", geo.ring_metrics(geo.wkt_vertices(F.col("geometry")))["min_x"].alias("min_x"), (F.col("x") % 10).alias("cx")).agg(F.count("*").alias("n"))
 
 
 @query("select n_name as region, min(n_nationkey) as n_nationkey, count(*) as n from nation group by 1")
@@ -149,53 +149,113 @@ def drop_duplicates(spark, d):
 
 # ---- geometry -------------------------------------------------------------------------------------------------------
 
-GEOHASHES = {"9q": (-123.75, 33.75, -112.5, 39.375), "9q8yy": (-122.431640625, 37.7490234375, -122.3876953125, 37.79296875), "9q8yz": (-122.3876953125, 37.7490234375, -122.34375, 37.79296875), "9q8zp": (-122.3876953125, 37.79296875, -122.34375, 37.8369140625), "9q8zr": (-122.3876953125, 37.8369140625, -122.34375, 37.880859375)}
+#: Geohash codes made of customer keys: of any length, and cells of one area in three precisions.
+_ANY_CODE = "substr(replace(md5(cast(c_custkey as varchar(20))), 'a', 'z'), 1, cast(1 + c_custkey % 12 as int))"
+_LETTER = "substr('" + geo.BASE32 + "', cast({} % 32 as int) + 1, 1)"
+_AREA_CODE = f"concat('9q8', {_LETTER.format('floor(c_custkey / 32.0)')}, case when c_custkey % 97 = 0 then '' else {_LETTER.format('c_custkey')} end, case when c_custkey % 7 = 0 then {_LETTER.format('(c_custkey * c_custkey)')} else '' end)"
+_AREA_GROUP = "cast(c_nationkey % 4 as int)"
 
 
-@query("select * from (values " + ", ".join(f"('{c}', {w}::double, {s}::double, {e}::double, {n}::double)" for c, (w, s, e, n) in GEOHASHES.items()) + ") v(code, min_lon, min_lat, max_lon, max_lat)")
-def geohash_bounds(spark, d):
-    codes = spark.createDataFrame([(c,) for c in GEOHASHES], "code string")
-    return codes.select("code", geo.geohash_bounds(F.col("code")).alias("b")).select("code", "b.*")
+def _codes(spark, d, code: str, *more: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", F.expr(code.replace("varchar(20)", "string")).alias("code"), *map(F.expr, more))
 
 
-@query("select 'POLYGON ((-123.75 33.75, -112.5 33.75, -112.5 39.375, -123.75 39.375, -123.75 33.75))' as geometry, '9q' as code union all select null, null")
-def geohash_geometry(spark, d):
-    return geo.with_geohash_geometry(spark.createDataFrame([("9q",), (None,)], "code string"), "code")
+def grid_sql(source: str, bits: int) -> str:
+    """boxes: rows (..., code) of source with w, s, e, n, cells of the grid of 2**bits on each axis."""
+    spelled = f"list_aggregate(list_transform(range(1, length(code) + 1), lambda i: lpad(bin(instr('{geo.BASE32}', substr(code, i::int, 1)) - 1), 5, '0')), 'string_agg', '')"
+    number = lambda first: f"list_reduce(list_prepend(0::bigint, list_transform(range({first}, length(b) + 1, 2), lambda i: substr(b, i::int, 1)::bigint)), lambda p, q: p * 2 + q)"
+    return f"""spelled as (select *, {spelled} as b from ({source})),
+numbers as (select * exclude (b), {number(1)} as i, {number(2)} as j, 1::bigint << ({bits} - (length(b) + 1) // 2)::int as dx, 1::bigint << ({bits} - length(b) // 2)::int as dy from spelled),
+boxes as (select * exclude (i, j, dx, dy), i * dx as w, j * dy as s, (i + 1) * dx as e, (j + 1) * dy as n from numbers)"""
 
 
-@query("select round(2 * 0.0439453125::double * 0.0439453125::double, 12) as area, 6 as edges")
-def geohash_union(spark, d):
-    codes = spark.createDataFrame([("9q8yy",), ("9q8yz",), ("9q8yy",)], "code string")
-    area = geo.cells_area(codes, "code").select(F.round("area", 12).alias("area"))
-    return area.join(geo.merged_cells(codes, "code").agg(F.count("*").cast("int").alias("edges")))
+_BOUNDS = f"with {grid_sql(f'select c_custkey, {_ANY_CODE} as code from customer', 30)}, d as (select *, -180 + w * (360.0::double / 1073741824) as min_lon, -90 + s * (180.0::double / 1073741824) as min_lat, -180 + e * (360.0::double / 1073741824) as max_lon, -90 + n * (180.0::double / 1073741824) as max_lat from boxes)"
+
+
+@query(f"{_BOUNDS} select c_custkey, code, min_lon, min_lat, max_lon, max_lat from d")
+def geohash_bounds(spark, d):
+    codes = _codes(spark, d, _ANY_CODE)
+    return codes.select("c_custkey", "code", geo.geohash_bounds(F.col("code")).alias("b")).select("c_custkey", "code", "b.*")
 
 
-#: Sets of cells: two that touch along a side, two that touch in a corner, a cell with all but one of its 32 parts (a hole),
-#: parts and the whole of a cell, no cell.
-UNIONS = {"side": ["9q8yy", "9q8yz"], "corner": ["9q8yy", "9q8zp"], "hole": ["9q8y" + c for c in geo.BASE32 if c != "s"], "mixed": ["9q8y", "9q8yy", "9q8yyb", "9q8z"], "none": []}
+@query(f"{_BOUNDS} select c_custkey, case when c_custkey % 10 > 0 then 5 end::int as points, case when c_custkey % 10 > 0 then round(min_lon, 9) end as min_x, case when c_custkey % 10 > 0 then round(max_lat, 9) end as max_y, case when c_custkey % 10 > 0 then round((max_lon - min_lon) * (max_lat - min_lat), 6) end as area from d")
+def geohash_geometry(spark, d):
+    """The cells' outlines, read back from their text; no geometry for no code."""
+    codes = _codes(spark, d, f"case when c_custkey % 10 > 0 then {_ANY_CODE} end")
+    v = geo.wkt_vertices(F.col("geometry"))
+    m = geo.with_geohash_geometry(codes, "code").select("c_custkey", F.when(v.isNotNull(), F.size(v)).alias("points"), F.when(v.isNotNull(), geo.ring_metrics(v)).alias("m"))
+    return m.select("c_custkey", "points", F.round("m.min_x", 9).alias("min_x"), F.round("m.max_y", 9).alias("max_y"), F.round("m.area", 6).alias("area"))
+
+
+#: Cells that touch along more than a corner are one part; each part has all its cells of the finest precision. Its holes
+#: follow from its corners, sides and cells by the Euler characteristic, corners being shared.
+_FINE = f"""{grid_sql(f'select distinct {_AREA_GROUP} as g, {_AREA_CODE} as code from customer', 15)},
+cells as (select g, w, s, e, n, row_number() over () as id from boxes),
+touch as (select a.id, b.id as other from cells a join cells b on a.g = b.g and least(a.e, b.e) >= greatest(a.w, b.w) and least(a.n, b.n) >= greatest(a.s, b.s) and least(a.e, b.e) - greatest(a.w, b.w) + least(a.n, b.n) - greatest(a.s, b.s) > 0),
+reach(id, other) as (select id, id from cells union select reach.id, touch.other from reach join touch on touch.id = reach.other),
+named as (select cells.*, part from cells join (select id, min(other) as part from reach group by 1) using (id)),
+columns as (select g, part, unnest(range(w, e)) as x, s, n from named), fine as (select distinct g, part, x, unnest(range(s, n)) as y from columns),
+corners as (select distinct g, part, x + i, y + j from fine, range(0, 2) a(i), range(0, 2) b(j)),
+sides as (select distinct g, part, x + i, y, 0 from fine, range(0, 2) a(i) union select distinct g, part, x, y + i, 1 from fine, range(0, 2) a(i)),
+count_of as (select g, count(distinct part) as polygons, count(*) as parts from fine group by 1),
+whole as (select g, polygons, parts, polygons - (parts - (select count(*) from sides where sides.g = count_of.g) + (select count(*) from corners where corners.g = count_of.g)) as holes from count_of)"""
+_UNIT = 360.0 / 2**15 * 180.0 / 2**15
+
+
+@query(f"with recursive {_FINE} select g, polygons, polygons + holes as rings, round(parts * {_UNIT!r}::double, 9) as area from whole")
+def geohash_union(spark, d):
+    """The union of the cells of each group: polygons, rings and area; holes by the Euler characteristic in SQL."""
+    figures = dissolve.union_figures(_codes(spark, d, _AREA_CODE, f"{_AREA_GROUP} as g"), "g", "code")
+    return figures.select(F.col("grp").alias("g"), "polygons", "rings", F.round("area", 9).alias("area"))
 
 
-@query("""select * from (values ('side', 'POLYGON', 1, 1, round(2 * 0.0439453125::double * 0.0439453125::double, 9), true), ('corner', 'MULTIPOLYGON', 2, 2, round(2 * 0.0439453125::double * 0.0439453125::double, 9), true),
- ('hole', 'POLYGON', 1, 2, round(31 * 0.0439453125::double * 0.0439453125::double, 9), true), ('mixed', 'POLYGON', 1, 1, round(64 * 0.0439453125::double * 0.0439453125::double, 9), true), ('none', 'POLYGON', 0, 0, 0.0::double, true)) v(id, kind, polygons, rings, area, valid)""")
+@query(f"with recursive {_FINE} select g, case when polygons > 1 then 'MULTIPOLYGON' else 'POLYGON' end as kind, polygons::int as polygons, (polygons + holes)::int as rings, round(parts * {_UNIT!r}::double, 6) as area, true as valid from whole")
 def geohash_union_polygons(spark, d):
-    rows = spark.createDataFrame(list(UNIONS.items()), "id string, codes array<string>").select("id", union.union_wkt(F.col("codes")).alias("wkt"))
-    shapes = rows.select("id", "wkt", geo.wkt_polygons(F.col("wkt")).alias("p"))
+    """The unions as text, read back and tested."""
+    shapes = dissolve.union_polygons(_codes(spark, d, _AREA_CODE, f"{_AREA_GROUP} as g"), "g", "code")
+    shapes = shapes.select("grp", F.regexp_extract("geometry", "^[A-Z]+", 0).alias("kind"), geo.wkt_polygons(F.col("geometry")).alias("p"))
     m = geo.polygon_metrics(F.col("p"))
-    return shapes.select("id", F.regexp_extract("wkt", "^[A-Z]+", 0).alias("kind"), F.size("p").alias("polygons"), F.size(F.flatten("p")).alias("rings"), F.coalesce(F.round(m["area"], 9), F.lit(0.0)).alias("area"), F.coalesce(m["valid"], F.lit(True)).alias("valid"))
+    return shapes.select(F.col("grp").alias("g"), "kind", F.size("p").alias("polygons"), F.size(F.flatten("p")).alias("rings"), F.round(m["area"], 6).alias("area"), m["valid"].alias("valid"))
 
 
-@query("select round(33 * 0.0439453125::double * 0.0439453125::double / 32, 12) as area, 2 * (4 + 8) + 4 - 2 * 1::bigint as edges")
+@query(f"""with recursive {_FINE}, open as (select g, 0 as dir from fine a where not exists (from fine b where b.g = a.g and b.x = a.x and b.y = a.y - 1) union all select g, 1 from fine a where not exists (from fine b where b.g = a.g and b.x = a.x + 1 and b.y = a.y)
+  union all select g, 2 from fine a where not exists (from fine b where b.g = a.g and b.x = a.x and b.y = a.y + 1) union all select g, 3 from fine a where not exists (from fine b where b.g = a.g and b.x = a.x - 1 and b.y = a.y))
+select g, dir::int as dir, count(*) as parts from open group by all""")
 def geohash_union_mixed(spark, d):
-    """Edges and area of a cell, one of its parts and a neighbour's part, as rows."""
-    codes = spark.createDataFrame([("9q8yy",), ("9q8yyb",), ("9q8yzp",)], "code string")
-    return geo.cells_area(codes, "code").select(F.round("area", 12).alias("area")).join(geo.merged_cells(codes, "code").agg(F.count("*").alias("edges")))
+    """The border of the unions as edges by direction, in sides of the finest cell."""
+    edges = dissolve.border(dissolve.topmost_cells(_codes(spark, d, _AREA_CODE, f"{_AREA_GROUP} as g"), "g", "code"))
+    return edges.groupBy(F.col("grp").alias("g"), "dir").agg(F.sum(F.shiftright(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")), 15)).alias("parts"))
+
+
+#: Shapes by key: text around (k, k), area, centre and what is wrong with them.
+_SHAPES = [
+    ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))", 12.0, 2.0, 2.0, None),
+    ("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))", 5.0, 1.9, 0.9, None),
+    ("POLYGON ((0 0, 1 0, 1 1))", 0.5, 2 / 3, 1 / 3, "too few points"),
+    ("POINT (1 -2.5)", 0.0, 1.0, -2.5, "too few points"),
+    ("POLYGON ((0 0, 4 4, 4 0, 0 2, 0 0))", 4.0, 4.0, 2.0, "crossing"),
+    ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (5 5, 6 5, 6 6, 5 6, 5 5))", 15.0, 26.5 / 15, 26.5 / 15, "hole outside its shell"),
+    ("MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((2 0, 3 0, 3 1, 2 1, 2 0)))", 5.0, 1.3, 0.9, "overlapping sides"),
+    ("POLYGON ((0 0, 4 0, 4 4, 2 0, 0 4, 0 0))", 8.0, 2.0, 4 / 3, "ring touches itself"),
+    ("POLYGON ((0 0, 4 0, 4 4, 0 4))", 8.0, 2.0, 2.0, "not closed"),
+    ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (0 2, 2 1, 4 2, 2 3, 0 2))", 12.0, 2.0, 2.0, "interior is not connected"),
+]
 
 
-@query("select id, area, cx, cy, valid from (values ('hole', 12.0::double, 2.0::double, 2.0::double, true), ('two', 5.0::double, round(4 * 1.0::double / 5 + 5.5::double / 5, 9), round(4 * 1.0::double / 5 + 0.5::double / 5, 9), true), ('open', 0.5::double, round(2.0::double / 3, 9), round(1.0::double / 3, 9), false), ('point', 0.0::double, 1.0::double, -2.5::double, false), ('bow', 4.0::double, 4.0::double, 2.0::double, false)) v(id, area, cx, cy, valid)")
+def _shapes_sql() -> str:
+    rows = ", ".join(f"({i}, {a!r}::double, {x!r}::double, {y!r}::double, {'null' if p is None else repr(p)})" for i, (_, a, x, y, p) in enumerate(_SHAPES) if i != 8)
+    return f"(values {rows}) v(kind, area, x, y, reason)"
+
+
+@query(f"select p_partkey as id, area, round(x + p_partkey, 6) as cx, round(y + p_partkey, 6) as cy, reason is null as valid, reason from part join {_shapes_sql()} on kind = p_partkey % 10")
 def polygon_holes(spark, d):
-    shapes = [("hole", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))"), ("two", "MULTIPOLYGON (((0 0, 2 0, 2 2, 0 2, 0 0)), ((5 0, 6 0, 6 1, 5 1, 5 0)))"), ("open", "POLYGON ((0 0, 1 0, 1 1))"), ("point", "POINT (1 -2.5)"), ("bow", "POLYGON ((0 0, 4 4, 4 0, 0 2, 0 0))")]
-    m = geo.polygon_metrics(geo.wkt_polygons(F.col("w")))
-    return spark.createDataFrame(shapes, "id string, w string").select("id", *(F.round(m[c], 9).alias(c) for c in ("area", "cx", "cy")), m["valid"].alias("valid"))
+    """Valid and broken shapes around each part's key: area and centre with holes, and validity with its reason."""
+    texts = F.array(*(F.lit(s[0]) for s in _SHAPES))
+    part = table(spark, d, "part").where("p_partkey % 10 <> 8").select("p_partkey", geo.wkt_polygons(F.get(texts, (F.col("p_partkey") % 10).cast("int"))).alias("p"))
+    moved = F.transform("p", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda v: F.struct((v["x"] + F.col("p_partkey")).alias("x"), (v["y"] + F.col("p_partkey")).alias("y")))))
+    rows = part.select("p_partkey", moved.alias("p"))
+    m = geo.polygon_metrics(F.col("p"))
+    return rows.select(F.col("p_partkey").alias("id"), F.round(m["area"], 6).alias("area"), F.round(m["cx"], 6).alias("cx"), F.round(m["cy"], 6).alias("cy"), m["valid"].alias("valid"), validity.invalid_reason(F.col("p")).alias("reason"))
 
 
 @query("select n_nationkey as id, round(n_nationkey * 100000.0::double / 6378137.0::double * 180 / pi(), 9) as lon, round((2 * atan(exp(n_nationkey * 100000.0::double / 6378137.0::double)) - pi() / 2) * 180 / pi(), 9) as lat from nation")
@@ -225,6 +285,19 @@ def queen_edges(spark, d):
     return weights.queen_edges(nation_geo(spark, d))
 
 
+_SHAKEN = "(({k} * 7 + {x} * 3 + {y}) % 5 - 2) * 1e-7"
+
+
+@query(f"""with keys as ({SUPPLIER_KEYS}), corners as (select key::varchar as region, key % 10 + dx + {_SHAKEN.format(k='key', x='dx', y='dy')}::double as vx, key // 10 + dy + {_SHAKEN.format(k='key', x='dy', y='dx')}::double as vy from keys, (values (0), (1)) a(dx), (values (0), (1)) b(dy))
+select distinct a.region, b.region as neighbor from corners a join corners b on a.region = b.region or (a.vx - b.vx) * (a.vx - b.vx) + (a.vy - b.vy) * (a.vy - b.vy) <= 3e-7::double * 3e-7::double""")
+def queen_edges_within(spark, d):
+    """Contiguity within a tolerance: squares whose corners are off by up to 2e-7."""
+    keys = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k")).distinct()
+    corner = lambda x, y: F.struct(F.expr(f"k % 10 + {x} + {_SHAKEN.format(k='k', x=x, y=y).replace('1e-7', '1e-7D')}").alias("x"), F.expr(f"k div 10 + {y} + {_SHAKEN.format(k='k', x=y, y=x).replace('1e-7', '1e-7D')}").alias("y"))
+    shapes = keys.select(F.col("k").cast("string").alias("region"), F.array(*(corner(x, y) for x in (0, 1) for y in (0, 1))).alias("geometry"))
+    return weights.queen_edges_within(shapes, 3e-7)
+
+
 @query(f"with {edges_sql(SUPPLIER_KEYS, 10)} select region, count(*) as degree from edges group by 1")
 def queen_degree(spark, d):
     return weights.queen_edges(supplier_geo(spark, d)).groupBy("region").agg(F.count("*").alias("degree"))
@@ -378,8 +451,8 @@ phi as (select *, case when a >= 8.3::double then 1 else 0.5::double + exp(-a *
 mk as (select id, n, case when n <= 1 then 0 else round(s / d::double, 9) end as tau, case when n <= 1 or v <= 1e-10::double or s = 0 then 1.0::double else round(2 * (1 - f), 9) end as sl, s::int as s_stat, d::int as d_stat, round(case when n <= 1 then 0 else v end, 9) as var_s from phi)"""
 
 
-def _mk(rows: DataFrame) -> DataFrame:
-    return rows.select("id", F.size(F.filter("series", lambda v: ~F.isnan(v))).cast("bigint").alias("n"), trend.mann_kendall(F.col("series")).alias("mk")).select(
+def _mk(rows: DataFrame, test=trend.mann_kendall) -> DataFrame:
+    return rows.select("id", F.size(F.filter("series", lambda v: v.isNotNull() & ~F.isnan(v))).cast("bigint").alias("n"), test(F.col("series")).alias("mk")).select(
         "id", "n", F.round("mk.tau", 9).alias("tau"), F.round("mk.sl", 9).alias("sl"), F.col("mk.S").alias("s_stat"), F.col("mk.D").alias("d_stat"), F.round("mk.varS", 9).alias("var_s")
     )
 
@@ -389,18 +462,32 @@ def mk_test(spark, d):
     return _mk(nq(spark, d).groupBy(F.col("region").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda s: s["x"]).alias("series")))
 
 
-SERIES = {"rising": [1, 2, 3, 4, 5, 6], "falling": [6, 5, 4, 3, 2, 1], "flat": [3] * 6, "mixed": [1, 3, 2, 4, 3, 5], "one": [5], "ties": [1, 2, 2, 3, 3, 3, 4], "long": list(range(1, 11)), "near": [0, 0, 5e-11, 1]}
+#: Few different values, some of them less than the tolerance apart.
+_TIES = "floor(value) % 5 + (event_id % 3) * 4e-11"
+
+
+def _by_event(spark, d, value: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), F.struct("event_id", F.expr(value).cast("double").alias("x")).alias("v"))
+    return rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["x"]).alias("series"))
 
 
-@query("with " + mk_sql("select * from (values " + ", ".join(f"('{k}', {i}, {x!r}::double)" for k, v in SERIES.items() for i, x in enumerate(v)) + ") v(id, i, x)") + " select * from mk")
+@query("with " + mk_sql(f"select user_id::varchar as id, event_id as i, floor(value) % 5 + (event_id % 3) * 4e-11::double as x from events") + " select * from mk")
 def mk_ties(spark, d):
-    return _mk(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in SERIES.items()], "id string, series array<double>"))
+    return _mk(_by_event(spark, d, _TIES.replace("4e-11", "4e-11D")))
 
 
-@query("with " + mk_sql("select * from (values ('gaps', 0, 1::double), ('gaps', 1, 2::double), ('gaps', 3, 4::double), ('gaps', 4, 5::double)) v(id, i, x)") + " select * from mk")
+@query("with " + mk_sql("select user_id::varchar as id, event_id as i, value::double as x from events where event_id % 5 > 1") + " select * from mk")
 def mk_nan(spark, d):
-    nan = float("nan")
-    return _mk(spark.createDataFrame([("gaps", [1.0, 2.0, nan, 4.0, 5.0, nan])], "id string, series array<double>"))
+    """Missing values, null or NaN, are left out."""
+    return _mk(_by_event(spark, d, "case event_id % 5 when 0 then double('nan') when 1 then null else value end"))
+
+
+@query("with h as (select event_type as id, date_trunc('hour', ts) as i, sum(floor(value))::double as x from events group by 1, 2), " + mk_sql("select * from h") + " select * replace (s_stat::bigint as s_stat, d_stat::bigint as d_stat) from mk")
+def mk_long(spark, d):
+    """Long series, the hours of each event type, by counting inversions."""
+    hours = table(spark, d, "events").groupBy(F.col("event_type").alias("id"), F.date_trunc("hour", "ts").alias("t")).agg(F.sum(F.floor("value")).cast("double").alias("x"))
+    series = hours.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "x"))), lambda v: v["x"]).alias("series"))
+    return _mk(series, trend.mann_kendall_long)
 
 
 # ---- classification -------------------------------------------------------------------------------------------------
@@ -428,16 +515,47 @@ def _pattern_values() -> str:
     return "(values " + ", ".join(f"({i}, '{c}', {t}::double, {p}::double)" for i, (c, t, p) in enumerate(PATTERNS)) + ") v(id, code, tau, p)"
 
 
-@query(f"""with f as (select id, code, tau, p, 0.01::double as thr, length(code) as n, length(regexp_replace(code, '[-+]', '', 'g')) as sig, length(regexp_replace(code, '[^H]', '', 'g')) as hot,
- length(regexp_replace(code, '[^C]', '', 'g')) as cold, right(code, 1) in ('H', 'C') as ls, case when right(code, 1) in ('H', '+') then 1 else -1 end as lg, length(regexp_extract(code, '[HC]*$')) as run from {_pattern_values()})
-select id, {_CASE} as classification from f""")
-def classify_rules(spark, d):
-    rows = spark.createDataFrame([(i, c, t, p) for i, (c, t, p) in enumerate(PATTERNS)], "id int, code string, tau double, p double")
+def labels_of_codes(rows: DataFrame) -> DataFrame:
+    """(id, classification) for (id, code, tau, p), a code having one letter for each period."""
     count = lambda kind: F.length(F.regexp_replace("code", f"[^{kind}]", ""))
     last = F.substring("code", -1, 1)
     return rows.select("id", classify.label(n=F.length("code"), sig=count("HC"), hot=count("H"), cold=count("C"), run=F.length(F.regexp_extract("code", "([HC]*)$", 1)), last_sig=last.isin("H", "C"), last=F.when(last.isin("H", "+"), 1).otherwise(-1), tau=F.col("tau"), p=F.col("p")).alias("classification"))
 
 
+_PLANTED = f"""users as (select user_id, count(*) as k from events group by 1), planted as (select user_id, substr(code, (1 + k % 3)::int) || substr(code, 1, (k % 3)::int) as code, tau, p from users join {_pattern_values()} on id = user_id % {len(PATTERNS)})"""
+
+
+def _patterns(spark) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(i, c, t, p) for i, (c, t, p) in enumerate(PATTERNS)], "pattern int, code string, tau double, p double"))  # one row for each pattern
+
+
+@query(f"""with {_PLANTED}, f as (select user_id as id, code, tau, p, 0.01::double as thr, length(code) as n, length(regexp_replace(code, '[-+]', '', 'g')) as sig, length(regexp_replace(code, '[^H]', '', 'g')) as hot,
+ length(regexp_replace(code, '[^C]', '', 'g')) as cold, right(code, 1) in ('H', 'C') as ls, case when right(code, 1) in ('H', '+') then 1 else -1 end as lg, length(regexp_extract(code, '[HC]*$')) as run from planted)
+select id, {_CASE} as classification from f""")
+def classify_rules(spark, d):
+    """The rules alone: each user has a pattern, turned by the number of its events, and that pattern's trend."""
+    users = table(spark, d, "events").groupBy("user_id").agg((F.count("*") % 3).cast("int").alias("k"))
+    rows = users.join(_patterns(spark), F.col("user_id") % len(PATTERNS) == F.col("pattern")).select(F.col("user_id").alias("id"), F.concat(F.substr("code", F.col("k") + 1), F.substr("code", F.lit(1), F.col("k"))).alias("code"), "tau", "p")
+    return labels_of_codes(rows)
+
+
+#: Gi* of a slot of a pattern: its sign, with the pattern's trend, or going up and down.
+_SLOT_GI = "case when {c} in ('H', '+') then 1.0 else -1.0 end + case when p < 0.01 and tau > 0 then 0.05 * t when p < 0.01 then -0.05 * t else 0.05 * (t % 2) end"
+_MADE = f"""slots as (select distinct user_id, event_id % 10 as t from events),
+p as (select user_id::varchar as region, t, ({_SLOT_GI.format(c="substr(code, t::int + 1, 1)")})::double as gi, case when substr(code, t::int + 1, 1) in ('H', 'C') then 0.001::double else 0.5::double end as p_sim, 1.0::double as x
+  from slots join {_pattern_values()} on id = user_id % {len(PATTERNS)})"""
+
+
+@query()
+def label_cube(spark, d):
+    """All labels, from a cube: the slots that a user's events fall into, with a planted pattern's signs and trend."""
+    slots = table(spark, d, "events").select("user_id", (F.col("event_id") % 10).cast("int").alias("t")).distinct()
+    made = slots.join(_patterns(spark), F.col("user_id") % len(PATTERNS) == F.col("pattern")).withColumn("c", F.substr("code", F.col("t") + 1, F.lit(1)))
+    rows = made.select(F.col("user_id").cast("string").alias("region"), "t", F.expr(_SLOT_GI.format(c="c")).cast("double").alias("gi"), F.when(F.col("c").isin("H", "C"), 0.001).otherwise(0.5).alias("p_sim"))
+    done = classify.classified(classify.region_figures(rows))
+    return done.select("region", "classification", F.round("tau", 6).alias("tau"), "n_sig")
+
+
 @query(f"""with {NQ}, m as (select region, t, x, x > avg(x) over (partition by region) as sig from obs), r as (select *, row_number() over (partition by region order by t) as pos from m)
 select region, (count(*) - coalesce(max(case when not sig then pos end), 0))::int as run, count(*) filter (sig) as n_sig from r group by 1""")
 def trailing_run(spark, d):
@@ -460,6 +578,7 @@ f as (select region, count(*) as n, count(*) filter (p_sim <= 0.01::double) as s
  arg_max(p_sim, t) <= 0.01::double as ls, arg_max(gi, t) as lg, count(*) - coalesce(max(case when p_sim > 0.01::double then pos end), 0) as run from series group by 1),
 done as (select f.*, {_CASE.replace('thr', '0.01::double').replace(' p ', ' mk.sl ').replace('tau', 'mk.tau')} as classification, mk.tau, mk.sl as p_value, sig as n_sig from f join (select id, tau, sl from mk) mk on mk.id = region)"""
 _SERIES = "series as (select *, row_number() over (partition by region order by t) as pos from p)"
+ORACLE["label_cube"] = f"with {_MADE}, {_SERIES}, {LABELLED} select region, classification, round(tau, 6) + 0.0 as tau, n_sig from done"
 _EHSA = f"{_BOOSTED}, {edges_sql(NATION_KEYS, 5)}, {KEYED}, {gi_sql(1)}, {draws_sql(99)}, {P_SIM.format(nsim=99)}, {_SERIES}, {LABELLED}"
 
 
@@ -567,16 +686,15 @@ def spatial_context(spark, d):
 
 # ---- sources, sinks, text -------------------------------------------------------------------------------------------
 
-CELLS = ["=1+1", "-0.5", "|x", "", "plain", "+3", "@a", "a=b", "\tq"]
-
-
-def _cell_values() -> str:
-    return "(values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CELLS)) + ") v(id, cell)"
+#: What a cell may begin with: what spreadsheets take for a formula, and what they do not.
+_STARTS = ["=1+", "-", "|", "", "+", "@", "\t", "\r", "\n", " ", "a=", "'"]
+_CELL_SQL = "case p_partkey % 12 " + " ".join(f"when {i} then {' || '.join(f'chr({ord(c)})' for c in s) or repr('')}" for i, s in enumerate(_STARTS)) + " end || p_partkey"
 
 
-@query(f"select id, case when left(cell, 1) in ('=', '+', '-', '@', chr(9), chr(13), chr(10), '|') then chr(39) || cell else cell end as cell from {_cell_values()}")
+@query(f"select p_partkey as id, case when left(cell, 1) in ('=', '+', '-', '@', chr(9), chr(13), chr(10), '|') then chr(39) || cell else cell end as cell from (select p_partkey, {_CELL_SQL} as cell from part)")
 def csv_sanitize(spark, d):
-    return spark.createDataFrame(list(enumerate(CELLS)), "id int, cell string").select("id", numeric.formula_guard(F.col("cell")).alias("cell"))
+    cell = F.concat(F.get(F.array(*map(F.lit, _STARTS)), (F.col("p_partkey") % 12).cast("int")), F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), numeric.formula_guard(cell).alias("cell"))
 
 
 @query("select regexp_replace(n_name || '</ScRipt>', '(?i)</script>', '<' || chr(92) || chr(92) || '/script>', 'g') as s from nation")
@@ -640,14 +758,19 @@ def csv_round_trip(spark, d):
     return ingest.read_table(spark, folder)
 
 
-@query("select * from (values ('one', 'skipped_insufficient_data', 'There is at most one time period.', true), ('nan', 'skipped_all_nan', 'All Gi* values are missing.', true), ('flat', 'no pattern detected', 'No pattern''s conditions hold.', false)) v(region, classification, reason, no_trend)")
+@query("""with t as (select distinct user_id, date_trunc('week', ts) as t from events), kept as (select * from t where user_id % 4 > 0 or t = (select min(t) from t u where u.user_id = t.user_id)),
+f as (select user_id, count(*) as n from kept group by 1)
+select user_id::varchar as region, case when n <= 1 then 'skipped_insufficient_data' when user_id % 4 = 1 then 'skipped_all_nan' else 'no pattern detected' end as classification,
+ case when n <= 1 then 'There is at most one time period.' when user_id % 4 = 1 then 'All Gi* values are missing.' else 'No pattern''s conditions hold.' end as reason, n <= 1 or user_id % 4 = 1 as no_trend from f""")
 def skipped_regions(spark, d):
-    """Regions with one period, and with no value at all."""
-    nan = float("nan")
-    rows = [("one", 1, 2.0, 0.5), ("nan", 1, nan, 1.0), ("nan", 2, None, 1.0), ("flat", 1, 0.5, 1.0), ("flat", 2, nan, 1.0)]
-    done = classify.classified(classify.region_figures(spark.createDataFrame(rows, "region string, t int, gi double, p_sim double")))
-    none = spark.createDataFrame([], "region string, neighbor string")
-    return classify.result(done, none).select("region", "classification", F.col("classification_details.reason").alias("reason"), (F.isnan("tau") & F.col("mann_kendall_details").isNull()).alias("no_trend"))
+    """Users with one period, and with no value at all: weeks with events, cut to the first, or with their Gi* missing."""
+    kind = F.col("user_id") % 4
+    weeks = table(spark, d, "events").select("user_id", F.date_trunc("week", "ts").alias("t")).distinct()
+    weeks = weeks.withColumn("first", F.min("t").over(Window.partitionBy("user_id"))).where((kind > 0) | (F.col("t") == F.col("first")))
+    gi = F.when(kind == 1, F.when(F.col("t") == F.col("first"), F.lit(float("nan")))).when((kind == 2) & (F.col("t") == F.col("first")), None).otherwise(0.5)
+    rows = weeks.select(F.col("user_id").cast("string").alias("region"), "t", gi.alias("gi"), F.lit(1.0).alias("p_sim"))
+    none = rows.select("region", F.col("region").alias("neighbor"))
+    return classify.result(classify.classified(classify.region_figures(rows)), none.distinct()).select("region", "classification", F.col("classification_details.reason").alias("reason"), (F.isnan("tau") & F.col("mann_kendall_details").isNull()).alias("no_trend"))
 
 
 @query("""select n_nationkey as id, '{"id":' || n_nationkey || ',"inner":{"a":1,"list":[{"b":"' || n_name || '"}]},"map":{"kept":2}}' as record from nation""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heatlattice import queries
 from heatlattice.functions import geo, numeric, union
-from heatlattice.operators import classify, cube, numbering, permute, trend, weights
+from heatlattice.operators import classify, cube, dissolve, numbering, permute, trend, weights
 from heatlattice.plans import ehsa
 from heatlattice.sources import export, ingest, shapes
 
@@ -92,7 +92,7 @@ def test_places_in_order(spark):
 
 def test_labels(spark):
     want = ["new hotspot", "new coldspot", "consecutive hotspot", "consecutive coldspot", "consecutive hotspot", "consecutive coldspot", "intensifying hotspot", "intensifying hotspot", "intensifying coldspot", "persistent hotspot", "persistent coldspot", "persistent hotspot", "persistent hotspot", "diminishing hotspot", "diminishing coldspot", "no pattern detected", "oscilating hotspot", "oscilating coldspot", "historical hotspot", "historical coldspot", "sporadic hotspot", "sporadic coldspot", "no pattern detected", "no pattern detected"]
-    got = [r["classification"] for r in queries.classify_rules(spark, SMALL).orderBy("id").collect()]
+    got = [r["classification"] for r in queries.labels_of_codes(spark.createDataFrame([(i, *p) for i, p in enumerate(queries.PATTERNS)], "id int, code string, tau double, p double")).orderBy("id").collect()]
     assert got == want
     assert set(got) - {classify.NONE} <= set(classify.LABELS)
 
@@ -128,8 +128,10 @@ def test_unions_of_cells(spark):
         area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False)) / 2 for r in rings)  # holes turn the other way
         assert area == pytest.approx(len(fine) * side * side)
         assert all(r[0] == r[-1] and len(set(r)) == len(r) - 1 for r in rings)
-    edges = geo.merged_cells(spark.createDataFrame([(c,) for c in codes], "code string"), "code").count()
-    assert edges == sum(abs(a[0] - b[0]) + abs(a[1] - b[1]) for r in rings for a, b in zip(r, r[1:], strict=False)) / side
+    edges = dissolve.border(dissolve.topmost_cells(spark.createDataFrame([(1, c) for c in codes], "g int, code string"), "g", "code"))
+    units = edges.agg(F.sum(F.abs(F.col("x2") - F.col("x1")) / (1 << 17) + F.abs(F.col("y2") - F.col("y1")) / (1 << 18))).first()[0]
+    lengths = sum(abs(a[0] - b[0]) / side + abs(a[1] - b[1]) / side for r in rings for a, b in zip(r, r[1:], strict=False))
+    assert units == pytest.approx(lengths)
     assert union.geohashes_to_polygon([None]) == "POLYGON EMPTY" and union.geohash_to_polygon("9q").startswith("POLYGON ((-123.75 33.75, -112.5 33.75")
     with pytest.raises(ValueError):
         union.geohash_to_polygon("9a")
