@@ -4,13 +4,15 @@ Labels mark documents; tokens get theirs from a bounded sample of labelled rows:
 that exact binomial tests find tied to toxic documents, with a bound on false discoveries, marks the tokens of toxic
 documents that have it. The field has two states; features are a token's word, beginnings and ending as the
 sample's windows have them (others weigh nothing), and the transitions. It is fitted by gradient steps on windows of the sample. Forward and backward
-recursions over the whole text give each token's marginal, for many documents at a time; a logistic fit on rows of the
-sample that the field has not seen turns their sum and maximum into the document's score, and tokens whose marginal is
+recursions over the whole text give each token's marginal, for many documents at a time; a logistic fit on all rows of
+the sample, each marked by a field that has not seen it, turns their sum and maximum into the document's score, and tokens whose marginal is
 at least one half are reported with their character offsets (`spans`).
 
 Defined cases: null or empty texts have no token and score as the logistic fit has it for none; without labels of both
 kinds every score is the share of toxic labels (0 without labels); a document with several labels counts as toxic if one
-says so; repeated rows are scored one by one; texts are read whole, and offsets count code points of the text as it is;
+says so; repeated rows, and different texts of one doc_id, are scored one by one (all of
+them may be in the sample); a null doc_id is not held out, has no label and stays null; a labelled text longer than
+LONGEST is not learned from, but scored; texts are read whole, and offsets count code points of the text as it is;
 empty tables give empty results.
 """
 
@@ -37,6 +39,8 @@ MARKED, OTHERS = 6, 2
 PORTION = 1 << 23
 #: Share of false discoveries among the tied features, and of a tied feature's rows that may be clean.
 FALSE, CLEAN_SHARE = 0.01, 0.02
+#: Parts that rows are scored by fields of the others in, and how far weights of the field and of the logistic fit are held back.
+FOLDS, DECAY, RIDGE = 2, 1e-4, 0.05
 TOKEN = re.compile(r"\w+")
 
 
@@ -173,7 +177,7 @@ def _train(field: Field, windows) -> None:
         both = real[1:]
         for k, (a, add, b, before, after) in enumerate(((a0, moves[1] + emit[1:], b1, 1 - mark[:-1], mark[1:]), (a1, moves[2], b0, mark[:-1], 1 - mark[1:]), (a1, moves[3] + emit[1:], b1, mark[:-1], mark[1:]))):
             grad[-3 + k] = ((np.exp(a[:-1] + add + b[1:] - whole) - before * after) * both).sum()
-        grad = grad / n + 1e-6 * theta
+        grad = grad / n + DECAY * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         theta = theta - 0.25 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
     field.weights = {f: w for f, w in zip(names, theta[:-5].tolist(), strict=True) if abs(w) > 1e-3}
@@ -216,8 +220,34 @@ def _tied(hot: Counter, cold: Counter, share: float) -> set[str]:
     return {f for _, f in found[:last]}
 
 
+def _learned(rows: list[list[str]], toxic: np.ndarray) -> Field:
+    """A field from tokenized rows, without its logistic fit."""
+    field, hot, cold = Field(), Counter(), Counter()
+    for tokens, x in zip(rows, toxic, strict=True):
+        (hot if x else cold).update({f for w in set(tokens) for f in features(w)[:4]})
+    tied = _tied(hot, cold, float(toxic.mean()))
+    marks = [[int(x and any(f in tied for f in features(w)[:4])) for w in tokens] for tokens, x in zip(rows, toxic, strict=True)]
+    _train(field, _windows(rows, marks, np.random.default_rng(7)))
+    return field
+
+
+def _figures(field: Field, rows: list[list[str]]) -> np.ndarray:
+    """What the logistic fit sees of each row: one, the largest marginal, and their sum on a log scale."""
+    out, i = np.zeros((len(rows), 3)), 0
+    while i < len(rows):
+        j, size = i, 0
+        while j < len(rows) and (j == i or size < PORTION >> 4):
+            size += len(rows[j])
+            j += 1
+        found = field.marginals([np.array([field.emission(w) for w in r], np.float64) for r in rows[i:j]])
+        out[i:j] = [[1.0, p.max() if len(p) else 0.0, math.log1p(p.sum())] for p in found]
+        i = j
+    return out
+
+
 def fit(sample: list[tuple[str, int]]) -> Field:
-    """A field from (text, toxic) rows; every fourth row is kept for the logistic fit."""
+    """A field from all (text, toxic) rows, and a logistic fit on every row as a field that has not seen it marks it; which
+    half of the rows a row belongs to follows from its words alone."""
     field = Field()
     same: dict[str, str] = {}  # one object for each word, however often it occurs
     rows = [[same.get(w) or same.setdefault(w, w.lower()) for w in TOKEN.findall(t or "")] for t, _ in sample]
@@ -228,26 +258,20 @@ def fit(sample: list[tuple[str, int]]) -> Field:
         share = float(toxic.mean()) if len(toxic) else 0.0
         field.logistic[0] = math.log((share + 1e-12) / (1 - share + 1e-12))
         return field
-    learn = np.arange(len(rows)) % 4 != 3
-    hot, cold = Counter(), Counter()
-    for tokens, x, on in zip(rows, toxic, learn, strict=True):
-        if on:
-            (hot if x else cold).update({f for w in set(tokens) for f in features(w)[:4]})
-    share = float(toxic[learn].mean())
-    tied = _tied(hot, cold, share)
-    marks = [[int(x and any(f in tied for f in features(w)[:4])) for w in tokens] for tokens, x in zip(rows, toxic, strict=True)]
-    rng = np.random.default_rng(7)
-    part = [i for i in np.flatnonzero(learn)]
-    _train(field, _windows([rows[i] for i in part], [marks[i] for i in part], rng))
-    rest = np.flatnonzero(~learn)
-    found = field.marginals([np.array([field.emission(w) for w in rows[i]]) for i in rest])
-    x = np.array([[1.0, p.max() if len(p) else 0.0, math.log1p(p.sum())] for p in found])
-    y = toxic[rest].astype(float)
-    w = np.zeros(3)
-    for _ in range(30):  # Newton steps on the penalised likelihood
+    half = np.array([zlib.crc32(" ".join(r).encode("utf-8", "surrogatepass")) % FOLDS for r in rows])
+    x, y = np.zeros((len(rows), 3)), toxic.astype(float)
+    for k in range(FOLDS):
+        seen, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if len(own):
+            x[own, 0] = 1.0
+        if len(own) and len(seen) and toxic[seen].min() < toxic[seen].max():
+            x[own] = _figures(_learned([rows[i] for i in seen], toxic[seen]), [rows[i] for i in own])
+    field = _learned(rows, toxic)
+    w, ridge = np.zeros(3), np.array([1e-9, RIDGE, RIDGE])  # the intercept is free
+    for _ in range(40):  # Newton steps on the penalised likelihood
         q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
-        w = w - np.linalg.solve(h, x.T @ (q - y) + 0.05 * w)
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        w = w - np.linalg.solve(h, x.T @ (q - y) + ridge * w)
     field.logistic = w
     return field
 
