@@ -1,7 +1,8 @@
 """Exact near-duplicate vectors by a metric range join over pivots.
 
 Vectors that are equal, up to a power of two as a factor, collapse to one class. On the unit sphere the angle is a metric;
-the link radius is eps = arccos(threshold). Pivots, one for each CELL vectors, cut the sphere into cells by nearest pivot.
+the link radius is eps = arccos(threshold). Pivots, one for each CELL vectors but CELLS wherever each can have LEAST vectors,
+cut the sphere into cells by nearest pivot.
 A vector x of cell i must meet the vectors of an earlier cell j only if angle(x, p_j) <= angle(x, p_i) + 2 eps and
 angle(x, p_j) <= radius_j + eps, by the triangle inequality; such cells get a replica. A first narrow pass counts each
 cell's replicas, so that blocks are dealt for the replicas there are. Cells then join independently, in blocks of at
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, staged
 
 THRESHOLD, MARGIN = 0.9, 1e-9
-CELL = BLOCK = 16384
+#: Vectors of a cell on average and, where there are fewer, cells there are at least; vectors of a block.
+CELL, CELLS, LEAST, BLOCK = 16384, 8, 16, 16384
 #: Bytes of all pivots, pivots of one length chosen farthest first, and sampled vectors for each pivot.
 PIVOT_BYTES, FARTHEST, SAMPLE = 64 << 20, 512, 8
 ROWS = 4096
@@ -245,9 +247,9 @@ def link_components(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = staged(classes, "classes")
 
     pivots = {}
-    full = classes.groupBy("dim").count().where(F.col("count") > CELL).collect()  # lengths with more than a cell
+    full = classes.groupBy("dim").count().where(F.col("count") >= 2 * LEAST).collect()  # lengths with enough vectors for two cells
     for dim, n in full:
-        k = max(2, min(-(-n // CELL), PIVOT_BYTES // (8 * dim * len(full))))
+        k = max(2, min(max(-(-n // CELL), min(CELLS, n // LEAST)), PIVOT_BYTES // (8 * dim * len(full))))
         sample = classes.where(F.col("dim") == dim).orderBy("key").select("vector").limit(SAMPLE * k).toArrow()  # keys are digests
         pivots[dim] = choose_pivots(_units(_matrix(sample["vector"].to_pylist(), kind)), k)
     sent = spark.sparkContext.broadcast(pivots)
