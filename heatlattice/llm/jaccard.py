@@ -95,28 +95,41 @@ def _summaries(width: int):
 
 
 def _added(batches):
-    """Sums of the sketch blocks of this task, one row for each block."""
+    """Sums of the sketch blocks of this task, one row for each block, and their total."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             have = total.setdefault(b, np.zeros(BLOCK, np.int64))
             have += np.frombuffer(pa.decompress(raw, 2 * BLOCK, "zstd"), "<u2")
     for b, row in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.minimum(row, 2**31).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
+        row = np.minimum(row, 2**31)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([int(row.sum())], pa.int64()), pa.array([pa.compress(row.astype("<u4").tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "total", "counts"])
+
+
+def _leveled(mean: float):
+    """Blocks of counts as blocks of levels, one byte a slot."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [np.frombuffer(pa.decompress(raw, 4 * BLOCK, "zstd"), "<u4") for raw in batch.column("counts").to_pylist()]
+            levels = [np.clip(np.floor(2 * np.log2(np.maximum(row, 1) / mean)), 0, 31).astype(np.uint8).tobytes() for row in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(levels, pa.binary())], names=["block", "levels"])
+
+    return run
 
 
 def _levels(summaries: DataFrame) -> np.ndarray:
     """For each slot of the sketch, how much commoner than the mean its tokens are, in powers of the root of two (0 to 31)."""
     blocks = summaries.where("block is not null").select("block", "counts")
     parts = (1 << SKETCH_BITS) // BLOCK
-    found = blocks.repartition(parts, "block").mapInArrow(_added, "block int, counts binary").toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for b, raw in zip(found["block"].to_pylist(), found["counts"].to_pylist(), strict=True):
-        counts[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(raw, "<u4")
-    mean = max(4.0, float(np.mean(counts, dtype=np.float64)))
-    out = np.zeros(len(counts), np.uint8)
-    for i in range(0, len(counts), BLOCK):  # block by block, as the driver has little memory
-        out[i : i + BLOCK] = np.clip(np.floor(2 * np.log2(np.maximum(counts[i : i + BLOCK], 1) / mean)), 0, 31)
+    counts = staged(blocks.repartition(parts, "block").mapInArrow(_added, "block int, total long, counts binary"), "counts")
+    mean = max(4.0, (counts.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS))
+    found = counts.mapInArrow(_leveled(mean), "block int, levels binary").toArrow()  # one byte a slot
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for b, raw in zip(found["block"], found["levels"], strict=True):
+        b = b.as_py()
+        out[b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(raw.as_buffer(), np.uint8)
+    discard(counts)
     return out
 
 
