@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heatlattice.llm import alignment, packing, squares, variants
+from heatlattice.llm import alignment, embeddings, packing, squares, toxicity, variants
 from heatlattice.llm.byte_tokens import ByteTokenizer
 from heatlattice.llm.queries import table, tokenizer_file
 
@@ -238,3 +238,52 @@ def test_variants_hold_no_slip(spark):
     rows = [(1, "kitten kitten sitten sitten"), (2, "kittens kittens")]
     got = {r["word"]: (r["n_near"], r["form"]) for r in variants.variants(frame(spark, rows), least_chars=3, slip=None).collect()}
     assert got == {"kitten": (2, None), "sitten": (1, None), "kittens": (1, None)}
+
+
+def test_given_vectors_meet_in_several_cells(spark, sf="/root/testdata/sf0.01"):
+    vectors = table(spark, sf, "embeddings")
+    sent = []
+    real = embeddings.choose_pivots
+
+    def kept(sample, k):
+        sent.append(k)
+        return real(sample, k)
+
+    embeddings.choose_pivots = kept
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_components(vectors).collect()}
+    finally:
+        embeddings.choose_pivots = real
+    assert sent == [embeddings.CELLS]
+    rows = sorted((r["vec_id"], r["embedding"]) for r in vectors.select("vec_id", "embedding").collect())
+    ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows], float)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = ids.copy()
+    for _ in range(len(ids)):
+        low = np.minimum(label, np.where(near, label, ids.max() + 1).min(1))
+        if (low == label).all():
+            break
+        label = low
+    assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(1), label)}
+
+
+def test_toxicity_of_given_held_out_rows(spark, sf="/root/testdata/sf0.01"):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = toxicity.score(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").collect()
+    toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
+    clean = [r["predicted"] for r in rows if r["toxic"] == 0]
+    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.005 * len(clean)
+
+
+def test_toxicity_fit_does_not_depend_on_order(spark, sf="/root/testdata/sf0.01"):
+    sample = toxicity.draw(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    fits = []
+    for seed in range(2):
+        random.Random(seed).shuffle(sample)
+        field = toxicity.fit(sample)
+        texts = [toxicity.TOKEN.findall((t or "").lower()) for t, _ in sample[:200]]
+        fits.append({" ".join(r): field.score(p) for r, p in zip(texts, field.marginals([np.array([field.emission(w) for w in r], float) for r in texts]))})
+    shared = fits[0].keys() & fits[1].keys()
+    assert shared and np.mean([(fits[0][t] >= 0.7) == (fits[1][t] >= 0.7) for t in shared]) > 0.97
