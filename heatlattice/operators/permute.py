@@ -5,7 +5,8 @@ Cells have numbers o = time index * regions + region index. Draw d of a simulati
 with two starts and multipliers for 62 bits, where the starts are scrambled from (seed, cell, simulation): in integers
 that Spark, numpy and SQL compute alike. So results are the same however the rows lie and whichever backend runs:
 `native` explodes draws and joins values by cell number; `numpy` looks them up in the broadcast vector of values, and
-is what `auto` takes while that vector is below BROADCAST cells.
+is what `auto` takes while that vector is below BROADCAST cells; `sharded`, which `auto` takes beyond, looks them up in
+shards of it, with the same sums bit for bit. `native` adds in no fixed order, so it agrees where sums are exact.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ P = 2**31 - 1
 #: Multipliers of both sequences, steps of the simulation in both starts, and what the rounds of scrambling add.
 A, STEPS, ROUNDS = (48271, 39373), (742938285, 950706376), (1226874159, 62089911)
 PORTION = 1 << 21
+#: Cells of a shard of values, as a power of two.
+SHARD_BITS = 18
 
 
 def check_nsim(nsim) -> int:
@@ -145,15 +150,15 @@ def picks(o: np.ndarray, m: int, total: int, nsim: int, seed: int) -> np.ndarray
 def p_values(gi: DataFrame, nsim: int = 199, seed: int = 77, backend: str = "auto") -> DataFrame:
     """gi with p_sim and upper, lower tail counts; cells without neighbours and surplus rows have p 1."""
     check_nsim(nsim)
-    if backend not in ("auto", "numpy", "native"):
-        raise ValueError("backend must be 'auto', 'numpy' or 'native'")
+    if backend not in ("auto", "numpy", "native", "sharded"):
+        raise ValueError("backend must be 'auto', 'numpy', 'native' or 'sharded'")
     cells = staged(numbered(gi), "gi")  # read by all that follows
     real = cells.where(~F.col("surplus") & F.col("m").isNotNull())
     if backend == "auto":
-        backend = "numpy" if real.count() <= BROADCAST else "native"
+        backend = "numpy" if real.count() <= BROADCAST else "sharded"
     # Rows that share a cell have all but x in common.
     one = real.where("total > 1").groupBy("o").agg(*(F.min(c).alias(c) for c in ("m", "total", "s", "n", "mean", "var", "gi", "x")))
-    tails = (_native if backend == "native" else _numpy)(one, nsim, seed)
+    tails = {"native": _native, "numpy": _numpy, "sharded": _sharded}[backend](one, nsim, seed)
     out = cells.join(tails, "o", "left")
     flat = F.col("surplus") | F.col("upper").isNull()
     p = F.least(F.col("upper"), F.col("lower")) / F.lit(nsim + 1.0)
@@ -175,6 +180,21 @@ def _native(one: DataFrame, nsim: int, seed: int) -> DataFrame:
     return tails.select("o", (F.col("above") + F.when(F.col("gi") <= 0, blank).otherwise(0) + 1).alias("upper"), (F.col("below") + F.when(F.col("gi") >= 0, blank).otherwise(0) + 1).alias("lower"))
 
 
+def _tails(v: np.ndarray, m: int, s, n, mean, var, gi) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower tail counts of cells from the values v (cell, simulation, draw) they drew, NaN for none."""
+    there = ~np.isnan(v)
+    sums, sizes = np.where(there, v, 0.0).sum(2), there.sum(2)
+    s, n, mean, var, gi = (x[:, None] for x in (s, n, mean, var, gi))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        usable = (n > sizes) & (sizes > 0) & (var > 0)
+        z = np.where(usable, (sums - sizes * mean) / np.sqrt(var * sizes * (n - sizes) / np.maximum(1, n - 1)), 0.0)
+    same = (sizes == m) & (n > m) & (var > 0)
+    return np.where(same, sums >= s, z >= gi).sum(1) + 1, np.where(same, sums <= s, z <= gi).sum(1) + 1
+
+
+_FIGURES = ["s", "n", "mean", "var", "gi"]
+
+
 def _numpy(one: DataFrame, nsim: int, seed: int) -> DataFrame:
     spark = one.sparkSession
     got = one.select("o", "x", "total").toPandas()  # bounded by BROADCAST
@@ -191,15 +211,101 @@ def _numpy(one: DataFrame, nsim: int, seed: int) -> DataFrame:
                 for i in range(0, len(part), step):
                     g = part.iloc[i : i + step]
                     v = sent.value[picks(g.o.to_numpy().astype(np.int64), int(m), total, nsim, seed)]
-                    there = ~np.isnan(v)
-                    sums, sizes = np.where(there, v, 0.0).sum(2), there.sum(2)
-                    s, n, mean, var, gi = (g[c].to_numpy()[:, None] for c in ("s", "n", "mean", "var", "gi"))
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        usable = (n > sizes) & (sizes > 0) & (var > 0)
-                        z = np.where(usable, (sums - sizes * mean) / np.sqrt(var * sizes * (n - sizes) / np.maximum(1, n - 1)), 0.0)
-                    same = (sizes == m) & (n > m) & (var > 0)
-                    upper = np.where(same, sums >= s, z >= gi).sum(1) + 1
-                    lower = np.where(same, sums <= s, z <= gi).sum(1) + 1
+                    upper, lower = _tails(v, int(m), *(g[c].to_numpy(dtype=float) for c in _FIGURES))
                     yield g[["o"]].assign(upper=upper, lower=lower)
 
     return one.mapInPandas(run, "o bigint, upper bigint, lower bigint")
+
+
+def _sharded(one: DataFrame, nsim: int, seed: int) -> DataFrame:
+    """The numpy backend without the whole vector: values lie in shards of 2**SHARD_BITS cells.
+
+    Blocks of cells, of about PORTION draws, send each shard the addresses they drew from it, four bytes a draw, and get the
+    values back in the same order, eight bytes a draw. A block makes its draws again to put them in place, so their order
+    is not sent. No row stands for a draw, and sums are taken as in the numpy backend, bit for bit.
+    """
+    bits = SHARD_BITS
+    total = (one.select("total").limit(1).first() or [0])[0]
+
+    def dealt(batches):
+        task = TaskContext.get().partitionId()
+        k = 0
+        for batch in batches:
+            ms = batch.column("m").to_numpy()
+            for m in np.unique(ms).tolist():
+                own = np.flatnonzero(ms == m)
+                step = max(1, PORTION // (nsim * int(m)))
+                for i in range(0, len(own), step):
+                    part = batch.take(pa.array(own[i : i + step]))
+                    lists = [pa.array([part.column(c).to_numpy().astype(t).tolist()]) for c, t in (("o", np.int64), *((c, float) for c in _FIGURES))]
+                    yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([int(m)], pa.int64()), *lists], names=["block", "m", "o", *_FIGURES])
+                    k += 1
+
+    fields = ", ".join(f"{c} array<double>" for c in _FIGURES)
+    blocks = staged(one.select("o", F.col("m").cast("bigint").alias("m"), *(F.col(c).cast("double").alias(c) for c in _FIGURES)).mapInArrow(dealt, f"block bigint, m bigint, o array<bigint>, {fields}"), "blocks")
+
+    def drawn(o: np.ndarray, m: int):
+        """The drawn cells in the order of their shards, and that order."""
+        j = picks(o, m, total, nsim, seed).ravel()
+        order = np.argsort(j >> bits, kind="stable")
+        return j[order], order
+
+    def asked(batches):
+        for batch in batches:
+            for block, m, o in zip(*(batch.column(c).to_pylist() for c in ("block", "m", "o")), strict=True):
+                j, _ = drawn(np.array(o, np.int64), m)
+                shard, first = np.unique(j >> bits, return_index=True)
+                at = [x.astype("<u4").tobytes() for x in np.split(j & ((1 << bits) - 1), first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), block)), pa.array(at, pa.binary())], names=["shard", "block", "at"])
+
+    # A shard with many askers is held by several tasks.
+    spread = max(1, -(-blocks.count() // 64))
+    empty = "cast(null as array<struct<o:bigint,x:double>>)"
+    asks = blocks.select("block", "m", "o").mapInArrow(asked, "shard bigint, block bigint, at binary")
+    asks = asks.select("shard", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int").alias("salt"), F.lit(1).alias("role"), "block", "at", F.expr(f"{empty} as own"))
+    values = one.groupBy(F.shiftright("o", bits).alias("shard")).agg(F.collect_list(F.struct(F.col("o").cast("bigint").alias("o"), F.col("x").cast("double").alias("x"))).alias("own"))  # 2**SHARD_BITS at most
+    values = values.select("shard", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"), F.lit(0).alias("role"), F.expr("cast(null as bigint) as block"), F.expr("cast(null as binary) as at"), "own")
+
+    def answered(batches):
+        now, held = None, np.zeros(0)
+        for batch in batches:
+            blocks, shards, out = [], [], []
+            for shard, salt, role, block, at, own in zip(*(batch.column(c) for c in ("shard", "salt", "role", "block", "at", "own")), strict=True):
+                key = shard.as_py(), salt.as_py()
+                if key != now:
+                    now, held = key, np.full(1 << bits, np.nan)
+                if role.as_py() == 0:
+                    cells = own.values
+                    held[cells.field("o").to_numpy() & ((1 << bits) - 1)] = cells.field("x").to_numpy(zero_copy_only=False)
+                else:
+                    blocks.append(block.as_py())
+                    shards.append(key[0])
+                    out.append(held[np.frombuffer(at.as_buffer(), "<u4")].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(shards, pa.int64()), pa.array(out, pa.binary())], names=["block", "shard", "got"])
+
+    met = asks.unionByName(values).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "role")
+    answers = met.mapInArrow(answered, "block bigint, shard bigint, got binary").withColumn("role", F.lit(1))
+    both = answers.unionByName(blocks.withColumn("role", F.lit(0)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "role", "shard")
+
+    def placed(m, o, figures, got):
+        o = np.array(o, np.int64)
+        _, order = drawn(o, m)
+        v = np.empty(len(order))
+        v[order] = np.frombuffer(b"".join(got), "<f8")
+        upper, lower = _tails(v.reshape(len(o), nsim, m), m, *(np.array(x, float) for x in figures))
+        return pa.RecordBatch.from_arrays([pa.array(o), pa.array(upper), pa.array(lower)], names=["o", "upper", "lower"])
+
+    def finished(batches):
+        block, got = None, []
+        for batch in batches:
+            for i, role in enumerate(batch.column("role").to_pylist()):
+                if role == 1:
+                    got.append(batch.column("got")[i].as_py())
+                    continue
+                if block:
+                    yield placed(*block, got)
+                block, got = (batch.column("m")[i].as_py(), batch.column("o")[i].as_py(), [batch.column(c)[i].as_py() for c in _FIGURES]), []
+        if block:
+            yield placed(*block, got)
+
+    return both.mapInArrow(finished, "o bigint, upper bigint, lower bigint")

@@ -84,6 +84,7 @@ def emerging_hotspot_analysis(
         log.info("analysis of %s by %s and %s, k %d, nsim %d, seed %d", value, region_id_field, time_period_field, k, nsim, seed)
         observations = prepare(df, region_id_field, time_period_field, value)
         geo = cube.region_geometry(df.withColumn(region_id_field, F.coalesce(F.col(region_id_field).cast("string"), F.lit("None"))), region_id_field)
+        geo = staged(geo, "geometry")  # a row for each region, for contiguity and problems
         edges = staged(weights.queen_edges(geo, region_id_field, "geometry", snap, on_error == "raise"), "edges")  # for sums and result
         problems = None
         if on_error == "row" and dict(geo.dtypes)["geometry"] == "string":

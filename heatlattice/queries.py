@@ -12,7 +12,7 @@ from .functions import geo, numeric, validity
 from .operators import classify, cube, dissolve, gistar, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapes
-from .storage import shared_dir
+from .storage import fresh_folder
 from .streaming import cube as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,8 +268,8 @@ def reprojected(spark, d):
 @query("select last_day(date '2023-01-31' + to_months(n_nationkey::int))::varchar as t, n_nationkey as id from nation")
 def month_ends(spark, d):
     """The period generator: month ends from a date on, one for each nation."""
-    dates = ingest.date_range(spark, "2023-01-31", table(spark, d, "nation").count())
-    return dates.select(F.col("t").cast("string").alias("t"), (F.row_number().over(Window.orderBy("t")) - 1).alias("id"))  # as many rows as nations
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    return rows.select(ingest.period("2023-01-31", F.col("id")).cast("string").alias("t"), "id")
 
 
 @query(f"with keys as ({NATION_KEYS}) select key::varchar as region, 1.0::double as area, key % 5 + 0.5::double as cx, key // 5 + 0.5::double as cy, (key % 5)::double as min_x, (key // 5)::double as min_y, (key % 5 + 1)::double as max_x, (key // 5 + 1)::double as max_y from keys")
@@ -430,6 +430,13 @@ def p_sim_numpy(spark, d):
     return out.select("region", "t", "upper", "lower", F.round("p_sim", 9).alias("p_sim"))
 
 
+@query(ORACLE["p_sim"])
+def p_sim_sharded(spark, d):
+    """The same draws, looked up in shards of the values."""
+    out = ehsa.gi_star_spacetime(ny(spark, d), weights.queen_edges(nation_geo(spark, d)), 1, 99, 77, "keyed", "sharded")
+    return out.select("region", "t", "upper", "lower", F.round("p_sim", 9).alias("p_sim"))
+
+
 @query(f"with {_NY_GI}, {draws_sql(99)}, {P_SIM.format(nsim=99)} select cluster, count(*) as n from (select case when p_sim <= 0.01::double and gi > 0 then 'Hot Spot' when p_sim <= 0.01::double and gi < 0 then 'Cold Spot' else 'Not Significant' end as cluster from p) group by 1")
 def cluster_labels(spark, d):
     return _ny_p(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
@@ -753,7 +760,7 @@ def shapefile_read(spark, d):
 @query("select n_nationkey::varchar as \"N_NATIONKEY\", n_name as \"N_NAME\", '{\"a\":' || n_nationkey || '}' as \"NESTED\" from nation")
 def csv_round_trip(spark, d):
     """Written as CSV with nested columns as JSON, and read with a separator found in the header."""
-    folder = f"{shared_dir(spark)}/heatlattice/{spark.sparkContext.applicationId}/csv"
+    folder = fresh_folder(spark, "csv")
     export.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name", F.struct(F.col("n_nationkey").alias("a")).alias("nested")), folder)
     return ingest.read_table(spark, folder)
 

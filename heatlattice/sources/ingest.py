@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import web_mercator_to_degrees, wkt_vertices
@@ -90,6 +90,16 @@ def periods(start: str, n: int, step: str = "month") -> list[date]:
     return [date(m // 12, m % 12 + 1, 1) - timedelta(days=1) for m in months]
 
 
+def period(start: str, i: Column, step: str = "month") -> Column:
+    """Date number i of `periods`, as an expression."""
+    first = F.lit(start).cast("date")
+    if step == "30 days":
+        return F.date_add(first, (30 * i).cast("int"))
+    if step != "month":
+        raise ValueError("step must be 'month' or '30 days'")
+    return F.last_day(F.add_months(F.trunc(first, "month"), i.cast("int")))
+
+
 def date_range(spark: SparkSession, start: str, n: int, step: str = "month") -> DataFrame:
     """(t): the dates of `periods`."""
-    return spark.createDataFrame([(d,) for d in periods(start, n, step)], "t date")
+    return spark.range(n).select(period(start, F.col("id"), step).alias("t"))

@@ -32,6 +32,14 @@ def _located(spark: SparkSession, path: str):
     return place.getFileSystem(context._jsc.hadoopConfiguration()), place
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/heatlattice/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    files, place = _located(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read back: a lost executor costs nothing. The table goes with `discard`, or when the driver ends."""
     spark = df.sparkSession
