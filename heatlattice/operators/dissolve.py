@@ -202,10 +202,8 @@ def union_figures(codes: DataFrame, group: str, code: str) -> DataFrame:
     return figures.groupBy("grp").agg(F.count_if(F.col("area2") > 0).alias("polygons"), F.count("*").alias("rings"), F.sum("edges").alias("edges"), (F.sum("area2").cast("double") * unit).alias("area"))
 
 
-def union_polygons(codes: DataFrame, group: str, code: str) -> DataFrame:
-    """(grp, geometry): the union as POLYGON or MULTIPOLYGON text. A group's text is one value, whatever its length."""
-    ringed, figures = union_rings(codes, group, code)
-    lon, lat = degrees(F.col("x1"), F.col("y1"))
+def polygons_text(ringed: DataFrame, figures: DataFrame, lon: Column, lat: Column) -> DataFrame:
+    """(grp, geometry) of edges and rings as `union_rings` has them; lon and lat are those of an edge's start."""
     points = ringed.groupBy("grp", "ring").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(" ", lon.cast("string"), lat.cast("string")).alias("p"))))["p"].alias("p"))
     text = points.select(F.col("grp").alias("g"), F.col("ring").alias("r"), F.concat(F.lit("("), F.array_join("p", ", "), F.lit(", "), F.col("p")[0], F.lit(")")).alias("text"))
     told = figures.join(text, F.col("grp").eqNullSafe(F.col("g")) & (F.col("ring") == F.col("r")))
@@ -213,3 +211,9 @@ def union_polygons(codes: DataFrame, group: str, code: str) -> DataFrame:
     whole = whole.select("grp", "outer", F.concat(F.lit("("), F.array_join("parts", ", "), F.lit(")")).alias("text"))
     parts = F.array_sort(F.collect_list(F.struct("outer", "text")))["text"]
     return whole.groupBy("grp").agg(parts.alias("p")).select("grp", F.when(F.size("p") == 1, F.concat(F.lit("POLYGON "), F.col("p")[0])).otherwise(F.concat(F.lit("MULTIPOLYGON ("), F.array_join("p", ", "), F.lit(")"))).alias("geometry"))
+
+
+def union_polygons(codes: DataFrame, group: str, code: str) -> DataFrame:
+    """(grp, geometry): the union as POLYGON or MULTIPOLYGON text. A group's text is one value, whatever its length."""
+    ringed, figures = union_rings(codes, group, code)
+    return polygons_text(ringed, figures, *degrees(F.col("x1"), F.col("y1")))

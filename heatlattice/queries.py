@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, numeric, validity
-from .operators import classify, cube, dissolve, gistar, permute, trend, weights
+from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapes
 from .storage import fresh_folder
@@ -227,6 +227,57 @@ def geohash_union_mixed(spark, d):
     return edges.groupBy(F.col("grp").alias("g"), "dir").agg(F.sum(F.shiftright(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")), 15)).alias("parts"))
 
 
+#: Overlapping squares, diamonds, right triangles and frames around places made of customer keys, s wide.
+_LAND_COLUMNS = {"id": "c_custkey", "g": "cast(c_nationkey % 4 as int)", "kind": "cast(c_custkey % 4 as int)", "x": "cast(c_custkey * 17 % 61 as int)", "y": "cast(c_custkey * 29 % 53 as int)", "s": "cast(1 + floor(c_custkey / 4.0) % 3 as int)"}
+_LAND = "select " + ", ".join(f"{e} as {n}" for n, e in _LAND_COLUMNS.items()) + " from customer"
+_LAND_SHAPES = [
+    [[(0, 0), ("s", 0), ("s", "s"), (0, "s")]],
+    [[(3, "3 - s"), ("3 + s", 3), (3, "3 + s"), ("3 - s", 3)]],
+    [[(0, 0), (0, "s + 1"), ("s + 1", 0)]],
+    [[(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]],
+]
+#: The diagonals of the unit squares cut them into quarters (x, y: six times their middle's place; their sides and corners
+#: at four times their place), of which all shapes are made. Shapes that share a side of a quarter are one part; holes
+#: follow from each part's quarters, sides and corners by the Euler characteristic.
+_LAND_SQL = f"""land as ({_LAND}),
+quarter(ox, oy, sides, corners) as (values (3, 1, [[2, 0], [1, 1], [3, 1]], [[0, 0], [4, 0], [2, 2]]), (5, 3, [[4, 2], [3, 1], [3, 3]], [[4, 0], [4, 4], [2, 2]]),
+  (3, 5, [[2, 4], [3, 3], [1, 3]], [[4, 4], [0, 4], [2, 2]]), (1, 3, [[0, 2], [1, 3], [1, 1]], [[0, 4], [0, 0], [2, 2]])),
+inside as (select id, g, x + i as px, y + j as py, ox, oy, sides, corners, 6 * i + ox as dx, 6 * j + oy as dy, kind, s from land, range(0, 7) a(i), range(0, 7) b(j), quarter),
+has as (select * from inside where (kind = 0 and dx < 6 * s and dy < 6 * s) or (kind = 1 and abs(dx - 18) + abs(dy - 18) < 6 * s) or (kind = 2 and dx + dy < 6 * (s + 1))
+  or (kind = 3 and dx < 24 and dy < 24 and not (dx between 6 and 18 and dy between 6 and 18))),
+own as (select distinct id, g, 4 * px + u[1] as sx, 4 * py + u[2] as sy from (select id, g, px, py, unnest(sides) as u from has)),
+touch as (select distinct a.id, b.id as other from own a join own b using (g, sx, sy)),
+reach(id, other) as (select id, id from land union select reach.id, touch.other from reach join touch on touch.id = reach.other),
+part_of as (select id, min(other) as part from reach group by 1),
+f as (select g, count(distinct part) as parts, count(distinct (px, py, ox, oy)) as quarters from has join part_of using (id) group by 1),
+e as (select g, count(distinct (part, sx, sy)) as n from own join part_of using (id) group by 1),
+v as (select g, count(distinct (part, 4 * px + u[1], 4 * py + u[2])) as n from (select id, g, px, py, unnest(corners) as u from has) join part_of using (id) group by 1),
+whole as (select g, parts as polygons, 2 * parts - (quarters - e.n + v.n) as rings, quarters / 4.0::double as area from f join e using (g) join v using (g))"""
+
+
+def _land(spark, d) -> DataFrame:
+    point = lambda x, y: F.concat_ws(" ", F.expr(f"string(double(x + {x}))"), F.expr(f"string(double(y + {y}))"))
+    ring = lambda r: F.concat(F.lit("("), F.concat_ws(", ", *(point(*p) for p in (*r, r[0]))), F.lit(")"))
+    texts = F.array(*(F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *map(ring, rings)), F.lit(")")) for rings in _LAND_SHAPES))
+    rows = table(spark, d, "customer").selectExpr(*(f"{e} as {n}" for n, e in _LAND_COLUMNS.items()))
+    return rows.select("g", F.get(texts, F.col("kind")).alias("geometry"))
+
+
+@query(f"with recursive {_LAND_SQL} select g, polygons, rings, area from whole")
+def polygon_union(spark, d):
+    """The union of overlapping polygons of each group: polygons, rings and area."""
+    figures = overlay.union_figures(_land(spark, d), "g", "geometry")
+    return figures.select(F.col("grp").alias("g"), "polygons", "rings", F.round("area", 6).alias("area"))
+
+
+@query(f"with recursive {_LAND_SQL} select g, polygons::int as polygons, rings::int as rings, area, true as valid from whole")
+def polygon_union_text(spark, d):
+    """The unions as text, read back and tested."""
+    shapes = overlay.union_polygons(_land(spark, d), "g", "geometry").select("grp", geo.wkt_polygons(F.col("geometry")).alias("p"))
+    m = geo.polygon_metrics(F.col("p"))
+    return shapes.select(F.col("grp").alias("g"), F.size("p").alias("polygons"), F.size(F.flatten("p")).alias("rings"), F.round(m["area"], 6).alias("area"), m["valid"].alias("valid"))
+
+
 #: Shapes by key: text around (k, k), area, centre and what is wrong with them.
 _SHAPES = [
     ("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))", 12.0, 2.0, 2.0, None),

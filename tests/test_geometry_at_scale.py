@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatlattice.functions import geo, union, validity
-from heatlattice.operators import dissolve, trend, weights
+from heatlattice.operators import dissolve, overlay, trend, weights
 
 
 def parts(cells):
@@ -201,3 +201,67 @@ def test_sharded_draws_equal_those_of_the_vector(spark, monkeypatch, bits):
     both = [sorted((r["region"], r["t"], r["upper"], r["lower"], r["p_sim"]) for r in ehsa.gi_star_spacetime(observations, near, 1, 19, 5, policy, backend).collect()) for policy in ("keyed", "positional") for backend in ("numpy", "sharded")]
     assert both[0] == both[1] and both[2] == both[3] and len(both[0]) == len(rows)
     assert ehsa.gi_star_spacetime(observations.limit(0), near, 1, 19, 5, "keyed", "sharded").count() == 0
+
+
+def union_area(polygons):
+    """The area that polygons (lists of rings) cover, by exact slabs between all ends and crossings of their sides."""
+    per = [[(Fraction(a), Fraction(b), Fraction(c), Fraction(d)) for r in rings for (a, b), (c, d) in zip(r, r[1:] + r[:1], strict=True) if a != c] for rings in polygons]
+    every = [s for own in per for s in own]
+    xs = {x for a, _, c, _ in every for x in (a, c)} | {Fraction(a) for rings in polygons for r in rings for a, _ in r}
+    for k, (a, b, c, d) in enumerate(every):
+        for e, f, g, h in every[:k]:
+            p, q = (d - b) / (c - a), (h - f) / (g - e)
+            if p != q and max(min(a, c), min(e, g)) < (x := (f - q * e - b + p * a) / (p - q)) < min(max(a, c), max(e, g)):
+                xs.add(x)
+    xs, total = sorted(xs), Fraction(0)
+    for lo, hi in zip(xs, xs[1:], strict=False):
+        mid, spans = (lo + hi) / 2, []
+        for own in per:
+            ys = sorted(b + (d - b) * (mid - a) / (c - a) for a, b, c, d in own if min(a, c) < mid < max(a, c))
+            spans += zip(ys[::2], ys[1::2], strict=True)
+        end = None
+        for low, high in sorted(spans):
+            low = low if end is None else max(low, end)
+            if high > low:
+                total += (high - low) * (hi - lo)
+                end = high
+    return float(total)
+
+
+def wkt(rings):
+    return "POLYGON (" + ", ".join("(" + ", ".join(f"{x} {y}" for x, y in [*r, r[0]]) + ")" for r in rings) + ")"
+
+
+def test_union_of_polygons(spark):
+    rng = random.Random(3)
+    sets = {
+        "apart": [[[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(3, 0), (4, 0), (4, 1), (3, 1)]]],
+        "side": [[[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(1, 0), (2, 0), (2, 1), (1, 1)]]],
+        "corner": [[[(0, 0), (1, 0), (1, 1), (0, 1)]], [[(1, 1), (2, 1), (2, 2), (1, 2)]]],
+        "inside": [[[(0, 0), (9, 0), (9, 9), (0, 9)]], [[(2, 2), (2, 3), (3, 3)]]],
+        "cross": [[[(0, 4), (9, 4), (9, 5), (0, 5)]], [[(4, 0), (5, 0), (5, 9), (4, 9)]]],
+        "frame": [[[(0, 0), (9, 0), (9, 1), (0, 1)]], [[(0, 8), (9, 8), (9, 9), (0, 9)]], [[(0, 0), (1, 0), (1, 9), (0, 9)]], [[(8, 0), (9, 0), (9, 9), (8, 9)]], [[(3, 3), (6, 3), (6, 6), (3, 6)], [(4, 4), (4, 5), (5, 5), (5, 4)]]],
+        "pinched": [[[(0, 0), (6, 0), (6, 6), (0, 6)], [(1, 1), (1, 3), (3, 3), (3, 1)], [(3, 3), (3, 5), (5, 5), (5, 3)]]],
+        "pinched shell": [[[(0, 0), (6, 0), (6, 6), (0, 6)], [(2, 0), (1, 2), (3, 2)]]],
+        "filled": [[[(0, 0), (6, 0), (6, 6), (0, 6)], [(1, 1), (1, 3), (3, 3), (3, 1)]], [[(1, 1), (3, 1), (3, 3), (1, 3)]]],
+    }
+    for i in range(3):
+        sets[f"random {i}"] = [[[(rng.randint(0, 40) / 4 + dx, rng.randint(0, 40) / 4 + dy) for dx, dy in ((0, 0), (rng.randint(1, 9) / 3, 0.25), (0.5, rng.randint(1, 9) / 3))]] for _ in range(25)]
+        sets[f"random {i}"] += [[[(0, i), (11, 5 + i / 7), (11, 5.1)]]]
+    rows = [(g, wkt(p)) for g, ps in sets.items() for p in ps]
+    rows += [rows[0], ("apart", None), ("apart", "POLYGON EMPTY"), ("apart", "POINT (0 0)"), ("apart", "LINESTRING (0 0, 5 5, 5 0)"), ("apart", "POLYGON ((7 7, 8 8, 7 7))"), ("nothing", None), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows, "grp string, ring string")
+    got = {r["grp"]: r for r in overlay.union_figures(frame, "grp", "ring").collect()}
+    assert got.keys() == sets.keys() | {None}
+    for g, polygons in sets.items():
+        assert got[g]["area"] == pytest.approx(union_area(polygons), abs=1e-4), g
+    shape = {"apart": (2, 2), "side": (1, 1), "corner": (2, 2), "inside": (1, 1), "cross": (1, 1), "frame": (2, 4), "pinched": (1, 3), "pinched shell": (1, 2), "filled": (1, 1), None: (1, 1)}
+    assert {g: (got[g]["polygons"], got[g]["rings"]) for g in shape} == shape
+    texts = overlay.union_polygons(frame, "grp", "ring")
+    checked = texts.select("grp", "geometry", validity.invalid_reason(geo.wkt_polygons(F.col("geometry"))).alias("why")).collect()
+    assert not [r for r in checked if r["why"]]
+    assert shapes_of(next(r["geometry"] for r in checked if r["grp"] == "inside")) == {(((0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0)), frozenset())}
+    assert overlay.union_figures(frame.limit(0), "grp", "ring").count() == 0
+    for text, why in (("POLYGON ((0 0, 1e9 0, 1 1))", "too large"), ("POLYGON ((0 0, x 0, 1 1))", "not a WKT")):
+        with pytest.raises(Exception, match=why):
+            overlay.sides(spark.createDataFrame([("a", text)], "g string, p string"), "g", "p").collect()
