@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geo, numeric, validity
 from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
-from .sources import export, ingest, shapes
+from .sources import export, ingest, shapefile_source
 from .storage import fresh_folder
 from .streaming import cube as stream
 
@@ -260,7 +259,7 @@ def _land(spark, d) -> DataFrame:
     ring = lambda r: F.concat(F.lit("("), F.concat_ws(", ", *(point(*p) for p in (*r, r[0]))), F.lit(")"))
     texts = F.array(*(F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *map(ring, rings)), F.lit(")")) for rings in _LAND_SHAPES))
     rows = table(spark, d, "customer").selectExpr(*(f"{e} as {n}" for n, e in _LAND_COLUMNS.items()))
-    return rows.select("g", F.get(texts, F.col("kind")).alias("geometry"))
+    return rows.select("id", "g", F.get(texts, F.col("kind")).alias("geometry"))
 
 
 @query(f"with recursive {_LAND_SQL} select g, polygons, rings, area from whole")
@@ -785,29 +784,33 @@ def guarded_export(spark, d):
     return export.guarded(out)
 
 
-def _shapefile(keys: list[int]) -> tuple[bytes, bytes]:
-    """Unit squares of a grid, five wide, as the bytes of a .shp and a .dbf file."""
-    body, rows = b"", b""
-    for i, k in enumerate(keys):
-        x, y = float(k % 5), float(k // 5)
-        ring = [(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y), (x, y)]
-        content = struct.pack("<i4d2ii", 5, x, y, x + 1, y + 1, 1, 5, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
-        body += struct.pack(">2i", i + 1, len(content) // 2) + content
-        rows += b" " + str(k).rjust(8).encode()
-    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
-    field = b"KEY".ljust(11, b"\0") + b"N" + bytes(4) + bytes([8, 0]) + bytes(14)
-    return head + body, struct.pack("<4BIHH20x", 3, 0, 0, 0, len(keys), 32 + 32 + 1, 9) + field + b"\r" + rows
+def _shapefiles(spark, rows: DataFrame) -> DataFrame:
+    """(key, geometry) rows written as shapefiles by their tasks, and read back."""
+    spark.dataSource.register(shapefile_source.ShapefileSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    folder = fresh_folder(spark, "shapes")
+    rows.write.format("shapefile").mode("append").save(folder)
+    return spark.read.format("shapefile").load(folder)
 
 
 @query("select n_nationkey as key, 1.0::double as area, n_nationkey % 5 + 0.5::double as cx, n_nationkey // 5 + 0.5::double as cy, true as valid from nation")
 def shapefile_read(spark, d):
     """The nations' squares through the shapefile format."""
-    shp, dbf = _shapefile(sorted(r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()))  # a fixture: one file
-    rows = shapes.shapes(spark.createDataFrame([("nations", bytearray(shp), bytearray(dbf))], "name string, shp binary, dbf binary"))
+    rows = _shapefiles(spark, nation_geo(spark, d).withColumnRenamed("region", "KEY"))
     m = geo.polygon_metrics(geo.wkt_polygons(F.col("geometry")))
     return rows.select(F.col("attributes")["KEY"].cast("int").alias("key"), *(m[c].alias(c) for c in ("area", "cx", "cy", "valid")))
 
 
+@query(f"""with b as (select id, x, y, kind, s, (x + case kind when 0 then s when 1 then 3 + s when 2 then s + 1 else 4 end)::double as max_x, (y + case kind when 1 then 3 - s else 0 end)::double as min_y,
+ case kind when 0 then s * s when 1 then 2 * s * s when 2 then (s + 1) * (s + 1) / 2.0 else 12 end::double as area from ({_LAND}))
+select id, max_x, min_y, area from b where max_x > 20 and min_y <= 30""")
+def shapefile_filtered(spark, d):
+    """Overlapping shapes from shapefiles by a part of their bounding box, which the source looks at before it parses them."""
+    rows = _shapefiles(spark, _land(spark, d).select("id", "geometry")).where("max_x > 20 and min_y <= 30")
+    area = geo.polygon_metrics(geo.wkt_polygons(F.col("geometry")))["area"]
+    return rows.select(F.col("attributes")["id"].cast("bigint").alias("id"), "max_x", "min_y", F.round(area, 6).alias("area"))
+
+
 @query("select n_nationkey::varchar as \"N_NATIONKEY\", n_name as \"N_NAME\", '{\"a\":' || n_nationkey || '}' as \"NESTED\" from nation")
 def csv_round_trip(spark, d):
     """Written as CSV with nested columns as JSON, and read with a separator found in the header."""

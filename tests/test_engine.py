@@ -3,6 +3,7 @@ import math
 import os
 import random
 import re
+import struct
 
 import duckdb
 import numpy as np
@@ -244,16 +245,28 @@ def test_stream_of_events(spark, tmp_path):
     assert stream.windowed(events, "user_id").count() == 14
 
 
-def test_shapefiles(spark, tmp_path):
-    import struct
+def _shapefile(keys: list[int]) -> tuple[bytes, bytes]:
+    """Unit squares of a grid, five wide, as the bytes of a .shp and a .dbf file."""
+    body, rows = b"", b""
+    for i, k in enumerate(keys):
+        x, y = float(k % 5), float(k // 5)
+        ring = [(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y), (x, y)]
+        content = struct.pack("<i4d2ii", 5, x, y, x + 1, y + 1, 1, 5, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+        body += struct.pack(">2i", i + 1, len(content) // 2) + content
+        rows += b" " + str(k).rjust(8).encode()
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+    field = b"KEY".ljust(11, b"\0") + b"N" + bytes(4) + bytes([8, 0]) + bytes(14)
+    return head + body, struct.pack("<4BIHH20x", 3, 0, 0, 0, len(keys), 32 + 32 + 1, 9) + field + b"\r" + rows
+
 
+def test_shapefiles(spark, tmp_path):
     record = lambda k, content: struct.pack(">2i", k, len(content) // 2) + content
     rings = lambda kind, parts: struct.pack("<i4d2i", kind, 0, 0, 0, 0, len(parts), sum(map(len, parts))) + struct.pack(f"<{len(parts)}i", *[sum(map(len, parts[:i])) for i in range(len(parts))]) + b"".join(struct.pack("<2d", *p) for r in parts for p in r)
     outer, hole, other = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)], [(9, 9), (9, 10), (10, 10), (9, 9)]
     body = record(1, struct.pack("<i2d", 1, 2.5, -1)) + record(2, rings(5, [outer, hole, other])) + record(3, struct.pack("<i", 0)) + record(4, rings(3, [outer[:2]])) + record(5, struct.pack("<i4di4d", 8, 0, 0, 0, 0, 2, 1, 2, 3, 4))
     (tmp_path / "a.shp").write_bytes(struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8) + body)
-    (tmp_path / "b.SHP").write_bytes(queries._shapefile([3, 7])[0])
-    (tmp_path / "b.DBF").write_bytes(queries._shapefile([3, 7])[1])
+    (tmp_path / "b.SHP").write_bytes(_shapefile([3, 7])[0])
+    (tmp_path / "b.DBF").write_bytes(_shapefile([3, 7])[1])
     got = {(r["name"], r["number"]): (r["geometry"], r["attributes"]) for r in shapes.read_shapefiles(spark, str(tmp_path)).collect()}
     assert got["a", 1] == ("POINT (2.5 -1.0)", None) and got["a", 3] == (None, None) and got["b", 2][1] == {"KEY": "7"}
     assert got["a", 4][0] == "LINESTRING (0.0 0.0, 0.0 4.0)" and got["a", 5][0] == "MULTIPOINT (1.0 2.0, 3.0 4.0)"
@@ -263,6 +276,46 @@ def test_shapefiles(spark, tmp_path):
         list(shapes.records_of(b"nothing"))
 
 
+def test_shapefile_source(spark, tmp_path):
+    from heatlattice.sources import shapefile_source as source
+
+    spark.dataSource.register(source.ShapefileSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    folder = str(tmp_path / "own")
+    square = "POLYGON (({0} 0.0, {1} 0.0, {1} 1.0, {0} 1.0, {0} 0.0))"
+    rows = [(str(k), k, square.format(float(k), k + 1.0)) for k in range(500)] + [("hole", None, "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1)), ((20 0, 21 0, 21 1, 20 0)))"), ("é" * 40, -1, None)]
+    frame = spark.createDataFrame(rows, "name string, number long, geometry string").repartition(3)
+    frame.write.format("shapefile").option("rows", 150).mode("append").save(folder)
+    names = sorted(p.name for p in (tmp_path / "own").iterdir())
+    assert len([n for n in names if n.endswith(".shp")]) == 6 and not [n for n in names if n.startswith("_")]
+    read = spark.read.format("shapefile").option("portion", 4000).load(folder)
+    assert read.rdd.getNumPartitions() > 12
+    got = {r["attributes"]["name"]: r for r in read.collect()}
+    assert len(got) == len(rows) == read.count() and got["7"]["attributes"]["number"] == "7" and got["é" * 40]["geometry"] is None
+    area = lambda df: df.select(F.sum(geo.polygon_metrics(geo.wkt_polygons(F.col("geometry")))["area"])).first()[0]
+    assert area(read) == 500 + 80.5 and got["7"]["max_x"] == 8.0 and got["hole"]["min_x"] == 0.0
+    # The same through whole files, and without index or attributes.
+    assert area(shapes.read_shapefiles(spark, folder)) == 580.5
+    east = read.where("min_x >= 490 and max_y < 2")
+    assert east.count() == 10 and read.where("max_x < 2").count() == 1 and read.where("min_x > 1000").count() == 0
+    reader = source.ShapefileReader({"path": folder, "portion": "4000"})
+    list(reader.pushFilters([source.GreaterThan(("min_x",), 1000.0)]))
+    assert reader.partitions() == []
+    for p in (tmp_path / "own").iterdir():
+        if p.suffix in (".shx", ".dbf"):
+            p.unlink()
+    bare = spark.read.format("shapefile").load(folder)
+    assert area(bare) == 580.5 and bare.where("attributes is not null").count() == 0 and bare.rdd.getNumPartitions() == 6
+    frame.limit(0).write.format("shapefile").mode("overwrite").save(folder)
+    assert not list((tmp_path / "own").glob("*.shp"))
+    for wrong, why in ((frame.withColumn("name", F.repeat(F.lit("x"), 99)), "more than 80 bytes"), (frame.withColumn("geometry", F.lit("POINT (1 2)")), "not of shape polygon")):
+        with pytest.raises(Exception, match=why):
+            wrong.write.format("shapefile").mode("append").save(folder)
+    assert not list((tmp_path / "own").glob("*.shp"))
+    line = source.content_of("LINESTRING (0 0, 1 2)", "line")
+    assert shapes.wkt_of(line[0]) == "LINESTRING (0.0 0.0, 1.0 2.0)" and shapes.wkt_of(source.content_of("POINT (1 2)", "point")[0]) == "POINT (1.0 2.0)"
+
+
 def test_paths_and_pages(spark, tmp_path):
     for bad in ("/etc/x.html", "../x.html", str(tmp_path / "x.txt"), ""):
         with pytest.raises(ValueError):
