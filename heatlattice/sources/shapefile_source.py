@@ -142,7 +142,9 @@ class ShapefileReader(DataSourceReader):
         fields = [(head[k : k + 11].split(b"\0")[0].decode(self.encoding, "replace"), head[k + 16]) for k in range(0, len(head) - 31, 32) if head[k] != 0x0D]
         return n, start, width, fields
 
-    def read(self, partition: Portion) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Portion | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file is left: Spark reads one empty portion
+            return
         system, _ = _opened(self.path)
         name = re.sub(r"(?i)\.shp$", "", partition.shp.rpartition("/")[2])
         n, start, width, fields = self._fields(system, partition.dbf) if partition.dbf else (0, 0, 0, [])
