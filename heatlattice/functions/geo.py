@@ -43,12 +43,6 @@ def wkt_polygons(wkt: Column) -> Column:
     return F.when(wkt.isNotNull() & ~wkt.rlike(_EMPTY), F.transform(parts, rings)).when(wkt.isNotNull(), F.array().cast("array<array<array<struct<x:double,y:double>>>>"))
 
 
-def web_mercator_to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
-    """EPSG:3857 metres to EPSG:4326 degrees."""
-    radius = 6378137.0
-    return F.degrees(x / radius), F.degrees(2 * F.atan(F.exp(y / radius)) - F.lit(1.5707963267948966))
-
-
 def geohash_bounds(code: Column) -> Column:
     """struct<min_lon, min_lat, max_lon, max_lat> of a geohash cell, by halving; even bits are longitude."""
     bits = F.flatten(F.transform(F.split(F.lower(code), ""), lambda c: F.transform(F.sequence(F.lit(4), F.lit(0), F.lit(-1)), lambda s: F.shiftright(F.instr(F.lit(BASE32), c) - 1, 0).cast("int").bitwiseAND(F.pow(F.lit(2), s).cast("int")) > 0)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geo, numeric, validity
+from .functions import geo, numeric, projection, validity
 from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapefile_source
@@ -315,6 +315,28 @@ def reprojected(spark, d):
     return ingest.with_geometry(rows, srid=3857).select("id", F.round(F.col("geometry")[0]["x"], 9).alias("lon"), F.round(F.col("geometry")[0]["y"], 9).alias("lat"))
 
 
+#: UTM zone 23 south on SIRGAS 2000, as a shapefile declares it.
+_PRJ = """PROJCS["SIRGAS_2000_UTM_Zone_23S",GEOGCS["GCS_SIRGAS_2000",DATUM["D_SIRGAS_2000",SPHEROID["GRS_1980",6378137.0,298.257222101]],PRIMEM["Greenwich",0.0],
+UNIT["Degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["False_Easting",500000.0],PARAMETER["False_Northing",10000000.0],
+PARAMETER["Central_Meridian",-45.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]"""
+_PLACE = "(c_custkey * 7919 % 60000) / {0} - 48 as lon, -(c_custkey * 104729 % 330000) / {0} as lat"
+
+
+@query(f"""with p as (select c_custkey as id, {_PLACE.format("10000.0::double")}, (1 / 298.257222101) / (2 - 1 / 298.257222101)::double as n from customer),
+q as (select *, sin(radians(lat)) as s, radians(lon + 45) as l, 2 * sqrt(n) / (1 + n) as c from p), r as (select *, atanh(s) - c * atanh(c * s) as w from q), t as (select *, (exp(w) - exp(-w)) / 2 as t from r),
+u as (select *, atan2(t, cos(l)) as u, atanh(sin(l) / sqrt(1 + t * t)) as v, 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) as k,
+  [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] as a from t),
+z as (select *, list_sum([a[j] * cos(2 * j * u) * (exp(2 * j * v) - exp(-2 * j * v)) / 2 for j in [1, 2, 3, 4]]) as de, list_sum([a[j] * sin(2 * j * u) * (exp(2 * j * v) + exp(-2 * j * v)) / 2 for j in [1, 2, 3, 4]]) as dn from u)
+select id, round(500000 + k * (v + de), 3)::double as east, round(10000000 + k * (u + dn), 3)::double as north, round(lon, 9)::double as lon, round(lat, 9)::double as lat from z""")
+def projected(spark, d):
+    """Places in a national grid, and back to degrees by the text of a .prj file."""
+    places = table(spark, d, "customer").selectExpr("c_custkey as id", *_PLACE.format("10000.0D").split(", "))
+    east, north = projection.from_degrees(F.col("lon"), F.col("lat"), projection.of_srid(31983))
+    flat = places.select("id", east.alias("east"), north.alias("north")).withColumn("geometry", F.array(F.struct(F.col("east").alias("x"), F.col("north").alias("y"))))
+    back = ingest.with_geometry(flat, prj=_PRJ)
+    return back.select("id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(F.col("geometry")[0]["x"], 9).alias("lon"), F.round(F.col("geometry")[0]["y"], 9).alias("lat"))
+
+
 @query("select last_day(date '2023-01-31' + to_months(n_nationkey::int))::varchar as t, n_nationkey as id from nation")
 def month_ends(spark, d):
     """The period generator: month ends from a date on, one for each nation."""

@@ -8,7 +8,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import web_mercator_to_degrees, wkt_vertices
+from ..functions import projection
+from ..functions.geo import wkt_vertices
 
 
 def sniff_separator(line: str) -> str:
@@ -56,16 +57,16 @@ def join_districts(districts: DataFrame, totals: DataFrame, key: str) -> DataFra
     return districts.join(totals, key, "left").orderBy(F.col(key).asc_nulls_last(), F.col("year").asc_nulls_last())
 
 
-def with_geometry(df: DataFrame, geometry: str = "geometry", srid: int = 4326) -> DataFrame:
-    """df with geometry as vertices in EPSG:4326, checked; EPSG:3857 is converted, other systems raise."""
-    if srid not in (4326, 3857):
-        raise ValueError("coordinates must be EPSG:4326 or EPSG:3857")
+def with_geometry(df: DataFrame, geometry: str = "geometry", srid: int = 4326, prj: str | None = None) -> DataFrame:
+    """df with geometry as vertices in EPSG:4326, checked. Other systems are converted: by their number, or by the text that
+    a shapefile declares them with (prj); those that `projection` does not know raise."""
+    crs = projection.of_text(prj) if prj is not None else projection.of_srid(srid)
     if geometry not in df.columns:
         raise KeyError(geometry)
     out = df if dict(df.dtypes)[geometry].startswith("array") else df.withColumn(geometry, wkt_vertices(F.col(geometry)))
-    if srid == 4326:
+    if crs == projection.of_srid(4326):
         return out
-    degrees = lambda p: dict(zip("xy", web_mercator_to_degrees(p["x"], p["y"]), strict=True))
+    degrees = lambda p: dict(zip("xy", projection.to_degrees(p["x"], p["y"], crs), strict=True))
     return out.withColumn(geometry, F.transform(geometry, lambda p: F.struct(*(c.alias(n) for n, c in degrees(p).items()))))
 
 

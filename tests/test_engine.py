@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatlattice import queries
-from heatlattice.functions import geo, numeric, union
+from heatlattice.functions import geo, numeric, projection, union
 from heatlattice.operators import classify, cube, dissolve, numbering, permute, trend, weights
 from heatlattice.plans import ehsa
 from heatlattice.sources import export, ingest, shapes
@@ -212,7 +212,7 @@ def test_dates_and_projection(spark, tmp_path):
     assert [str(d) for d in ingest.periods("2023-11-30", 4)] == ["2023-11-30", "2023-12-31", "2024-01-31", "2024-02-29"]
     assert [str(d) for d in ingest.periods("2023-01-01", 3, "30 days")] == ["2023-01-01", "2023-01-31", "2023-03-02"]
     with pytest.raises(ValueError):
-        ingest.with_geometry(spark.createDataFrame([("POINT (0 0)",)], "geometry string"), srid=31983)
+        ingest.with_geometry(spark.createDataFrame([("POINT (0 0)",)], "geometry string"), srid=29193)
     line = '{"type":"Feature","geometry":{"type":"%s","coordinates":%s},"properties":{"id":%d}}'
     found = [line % ("Point", "[1, 2.5]", 1), line % ("Polygon", "[[[0,0],[2,0],[2,2],[0,0]]]", 2), line % ("MultiPolygon", "[[[[0,0],[2,0],[2,2],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]", 3)]
     (tmp_path / "a.geojson").write_text("\n".join(found) + "\n")
@@ -225,6 +225,38 @@ def test_dates_and_projection(spark, tmp_path):
         assert sorted(json.loads(r[0])["geometry"]["type"] for r in back) == ["MultiPolygon", "Point", "Polygon"]
 
 
+def test_reference_systems(spark):
+    one = spark.range(1)
+    at = lambda pair: tuple(one.select(*pair).first())
+    # A published example of transverse Mercator, on the ellipsoid of Clarke 1866.
+    clarke = projection.Crs("tm", (6378206.4, 294.9786982), {"central_meridian": -75.0, "latitude_of_origin": 0.0, "scale_factor": 0.9996, "false_easting": 0.0, "false_northing": 0.0})
+    assert at(projection.from_degrees(F.lit(-73.5), F.lit(40.5), clarke)) == pytest.approx((127106.5, 4484124.4), abs=0.06)
+    text = """PROJCS["Grid",GEOGCS["Old",DATUM["Old_Datum",SPHEROID["Bessel 1841",6377397.155,299.1528128],TOWGS84[598.1,73.7,418.2,0.202,0.045,-2.455,6.7]],PRIMEM["Paris",2.33722917],UNIT["degree",0.0174532925199433]],
+      PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",50],PARAMETER["central_meridian",9],PARAMETER["scale_factor",1],PARAMETER["false_easting",3500000],PARAMETER["false_northing",0],UNIT["foot",0.3048]]"""
+    old = projection.of_text(text)
+    assert old.meridian == pytest.approx(2.33722917) and old.unit == 0.3048 and len(old.shift) == 7
+    for crs in (old, clarke, projection.of_srid(31983), projection.of_srid(32601), projection.of_srid(3857), projection.of_text(queries._PRJ)):
+        lon, lat = (crs.parameters.get("central_meridian", 9.0) + crs.meridian + 2.5, -47.25)
+        x, y = at(projection.from_degrees(F.lit(lon), F.lit(lat), crs))
+        # Turning a shift round by its signs leaves millimetres.
+        assert at(projection.to_degrees(F.lit(x), F.lit(y), crs)) == pytest.approx((lon, lat), abs=1e-6 if crs.shift else 1e-10)
+    # The shift against geocentric coordinates, by fixed-point steps.
+    geocentric = lambda lon, lat, a, f: (lambda e2, v: (v * math.cos(lat) * math.cos(lon), v * math.cos(lat) * math.sin(lon), v * (1 - e2) * math.sin(lat)))((2 - f) * f, a / math.sqrt(1 - (2 - f) * f * math.sin(lat) ** 2))
+    x, y, z = geocentric(math.radians(8), math.radians(50), 6377397.155, 1 / 299.1528128)
+    rx, ry, rz = (math.radians(v / 3600) for v in (0.202, 0.045, -2.455))
+    x, y, z = 598.1 + (1 + 6.7e-6) * (x - rz * y + ry * z), 73.7 + (1 + 6.7e-6) * (rz * x + y - rx * z), 418.2 + (1 + 6.7e-6) * (-ry * x + rx * y + z)
+    e2, lat = (2 - 1 / 298.257223563) / 298.257223563, math.radians(50)
+    for _ in range(30):
+        lat = math.atan2(z + e2 * 6378137.0 / math.sqrt(1 - e2 * math.sin(lat) ** 2) * math.sin(lat), math.hypot(x, y))
+    place = projection.Crs("degrees", old.ellipsoid, {}, 1.0, 0.0, old.shift)
+    assert at(projection.to_degrees(F.lit(8.0), F.lit(50.0), place)) == pytest.approx((math.degrees(math.atan2(y, x)), math.degrees(lat)), abs=1e-10)
+    for wrong in ("GEOGCS[]", "LOCAL_CS[]", text.replace("Transverse_Mercator", "Lambert"), text.replace("TOWGS84[598.1,73.7,418.2,0.202,0.045,-2.455,6.7]", "AUTHORITY[1]"), text.replace(",0.202,0.045,-2.455,6.7", ",1")):
+        with pytest.raises(ValueError):
+            projection.of_text(wrong)
+    with pytest.raises(ValueError):
+        projection.utm(61, False)
+
+
 def test_stream_of_events(spark, tmp_path):
     from heatlattice.streaming import cube as stream
 
