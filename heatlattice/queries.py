@@ -11,7 +11,7 @@ from .functions import geo, numeric, projection, validity
 from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapefile_source
-from .storage import fresh_folder
+from .storage import fresh_folder, staged
 from .streaming import cube as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -895,6 +895,18 @@ def events_tumbling_cube(spark, d):
     return stream.windowed(table(spark, d, "events"), "user_id")
 
 
+@query(f"""with whole as (select user_id, ts from events), closed as (select max(ts) - interval 2 day as mark from whole),
+obs as (select user_id::varchar as region, date_trunc('day', ts)::timestamp as t, count(*)::double as x from whole, closed where date_trunc('day', ts) + interval 1 day <= mark group by 1, 2),
+{edges_sql(USER_KEYS, 15)}, {KEYED}, {gi_sql(1)} select region, t::varchar as t, x, round(gi, 6) + 0.0 as gi from gi""")
+def gi_star_stream(spark, d):
+    """Gi* of the days that a stream of the events closes, two days being the watermark."""
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    scorer = stream.GiStarStream(staged(weights.queen_edges(user_geo(spark, d)), "edges"), fresh_folder(spark, "stream"))
+    running = scorer.start(source, "user_id", fresh_folder(spark, "progress"), {"availableNow": True})
+    running.awaitTermination()
+    return scorer.scores(spark).select("region", F.to_utc_timestamp("t", F.current_timezone()).cast("string").alias("t"), "x", (F.round("gi", 6) + 0.0).alias("gi"))
+
+
 @query(f"with {NQ} select count(distinct region) as regions, count(distinct t) as times, min(x) as low, max(x) as high, count(*) filter (x is null) as missing from obs")
 def overview(spark, d):
     return nq(spark, d).agg(F.countDistinct("region").alias("regions"), F.countDistinct("t").alias("times"), F.min("x").alias("low"), F.max("x").alias("high"), F.count_if(F.col("x").isNull()).alias("missing"))

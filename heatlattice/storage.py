@@ -64,3 +64,9 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         files, place = _located(df.sparkSession, df._staged_path)
         files.delete(place, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, place = _located(spark, path)
+    files.delete(place, True)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from heatlattice import queries
 from heatlattice.functions import geo, numeric, projection, union
-from heatlattice.operators import classify, cube, dissolve, numbering, permute, trend, weights
+from heatlattice.operators import classify, cube, dissolve, gistar, numbering, permute, trend, weights
 from heatlattice.plans import ehsa
 from heatlattice.sources import export, ingest, shapes
 
@@ -277,6 +277,43 @@ def test_stream_of_events(spark, tmp_path):
     assert stream.windowed(events, "user_id").count() == 14
 
 
+def test_stream_of_scores(spark, tmp_path):
+    from heatlattice.streaming import cube as stream
+
+    rng = random.Random(5)
+    days = [1, 2, 3, 6, 7, 8, 9, 12, 13]  # days without events are no slices
+    folder = tmp_path / "events"
+    folder.mkdir()
+    rows = []
+    for n, day in enumerate(days):
+        own = [(u, f"2024-01-{day:02d} {rng.randrange(24):02d}:00:00") for u in range(9) for _ in range(rng.randrange(1, 6))]
+        # An event a day late counts, one that comes after its day has closed does not.
+        own += [(4, f"2024-01-{days[n - 1]:02d} 23:30:00")] if n in (1, 2) else [(4, "2024-01-01 12:00:00")] if n == 6 else []
+        rows += own[:-1] if n == 6 else own
+        spark.createDataFrame(own, "user_id int, ts string").select("user_id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "part"), mode="overwrite")
+        part = next((tmp_path / "part").glob("*.parquet"))
+        part.rename(folder / f"{n:02d}.parquet")
+        os.utime(folder / f"{n:02d}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    squares = queries.squares(spark.range(9).withColumnRenamed("id", "key"), 3)
+    edges = weights.queen_edges(squares)
+    events = spark.createDataFrame(rows, "user_id int, ts string").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    source = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    got = {}
+    for k in (0, 2):
+        scorer = stream.GiStarStream(edges, str(tmp_path / f"out {k}"), k)
+        assert scorer.start(source(), "user_id", str(tmp_path / f"progress {k}"), {"availableNow": True}).awaitTermination(300)
+        got[k] = {(r["region"], r["t"]): (r["x"], round(r["gi"], 9)) for r in scorer.scores(spark).collect()}
+        want = gistar.gi_star(cube.keyed(stream.windowed(events, "user_id")), edges, k).where("t < '2024-01-11'").collect()
+        assert got[k] == {(r["region"], r["t"]): (r["x"], round(r["gi"], 9)) for r in want}
+        assert len(list((tmp_path / f"out {k}" / "slices").glob("batch=*"))) == 2
+        # A batch that is repeated leaves what it left.
+        numbers = sorted(int(p.name[6:]) for p in (tmp_path / f"out {k}" / "scores").glob("batch=*"))
+        again = spark.read.parquet(scorer._path("scores", numbers[-1])).select("region", "t", "x").collect()
+        scorer.step(spark.createDataFrame(again, "region string, t timestamp, x double"), numbers[-1])
+        assert {(r["region"], r["t"]): (r["x"], round(r["gi"], 9)) for r in scorer.scores(spark).collect()} == got[k]
+    assert got[0] != got[2]
+
+
 def _shapefile(keys: list[int]) -> tuple[bytes, bytes]:
     """Unit squares of a grid, five wide, as the bytes of a .shp and a .dbf file."""
     body, rows = b"", b""
