@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geo, numeric, projection, validity
 from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
-from .sources import export, ingest, shapefile_source
+from .sources import export, ingest, shapefile_source, tiles
 from .storage import fresh_folder, staged
 from .streaming import cube as stream
 
@@ -868,6 +868,38 @@ def map_frame(spark, d):
     return export.map_frame(_analysis(spark, d).join(nation_geo(spark, d), "region"), "region").select("region", "classification", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"))
 
 
+#: Squares of several sizes around places made of customer keys, with labels in turn.
+_SQUARES = {"x": "cast(c_custkey * 17 % 211 as double)", "y": "cast(c_custkey * 29 % 199 as double)", "side": "cast(case when c_custkey % 50 = 0 then 40 else (1 + c_custkey % 3) / 4.0 end as double)", "code": "cast(c_custkey % 17 as int)"}
+_TILES_SQL = f"""r as (select c_custkey as k, {", ".join(f"{e} as {n}" for n, e in _SQUARES.items())} from customer),
+m as (select min(x) as x0, min(y) as y0, greatest(max(x + side) - min(x), max(y + side) - min(y)) as span, count(*) as regions from r),
+deep as (select count(*)::int as levels from m, range(0, 16) t(z) where (256::bigint << (2 * z)::int) < regions),
+g as (select k, code, floor((x - x0) / span * 268435456)::bigint as w, floor((y - y0) / span * 268435456)::bigint as s, floor((x + side - x0) / span * 268435456)::bigint as e, floor((y + side - y0) / span * 268435456)::bigint as n from r, m),
+h as (select *, case when greatest(e - w, n - s) < 2 then 0 else length(bin(greatest(e - w, n - s) - 1)) end as bits from g),
+l as (select h.*, z::int as z, least(levels, 28 - bits) as home, z < least(levels, 28 - bits) and bits <= 22 - z as dot from h, deep, range(0, 17) t(z) where z <= least(levels, 28 - bits)),
+steps as (select *, case when z = home then 0 else 18 - z end::int as f from l where not dot),
+shapes as (select k, z, f, w, s, e, n, z = home as own, unnest(range(least(w >> (28 - z), (1 << z) - 1), least(e >> (28 - z), (1 << z) - 1) + 1)) as tx, least(s >> (28 - z), (1 << z) - 1) as ty0, least(n >> (28 - z), (1 << z) - 1) as ty1 from steps),
+each as (select *, unnest(range(ty0, ty1 + 1)) as ty, case when f = 0 then 0 else 1::bigint << (f - 1) end as half from shapes),
+drawn as (select z as level, tx::int as x, ty::int as y, case when own then 'own' else 'over' end as kind, count(*) as shapes, 0 as dots, count(*) as regions, sum(((e + half) >> f) - ((w + half) >> f))::bigint as wide, sum(((n + half) >> f) - ((s + half) >> f))::bigint as high, sum(((w + half) >> f) - (tx << (28 - z - f)))::bigint as lefts from each group by 1, 2, 3, 4),
+cells as (select z, code, least(((w + e) // 2) >> (22 - z), (64 << z) - 1) as i, least(((s + n) // 2) >> (22 - z), (64 << z) - 1) as j from l where dot),
+dotted as (select z as level, (i // 64)::int as x, (j // 64)::int as y, 'over' as kind, 0 as shapes, count(distinct (i, j, code)) as dots, count(*) as regions, 0 as wide, 0 as high, sum(distinct_i)::bigint as lefts from (select *, case when row_number() over (partition by z, i, j, code) = 1 then i % 64 else 0 end as distinct_i from cells) group by 1, 2, 3)"""
+
+
+@query(f"""with {_TILES_SQL} select level, x, y, kind, sum(shapes)::bigint as shapes, sum(dots)::bigint as dots, sum(regions)::bigint as regions, sum(wide)::bigint as wide, sum(high)::bigint as high, sum(lefts)::bigint as lefts
+from (select * from drawn union all select * from dotted) group by 1, 2, 3, 4""")
+def map_tiles(spark, d):
+    """The tiles of a map of squares of several sizes, written by tasks and read back: what each holds, and where."""
+    labels = F.array(*map(F.lit, sorted(export.COLOURS)))
+    rows = table(spark, d, "customer").selectExpr("c_custkey as region", *(f"{e} as {n}" for n, e in _SQUARES.items()))
+    rows = rows.select("region", F.get(labels, F.col("code")).alias("classification"), F.lit(0.5).alias("tau"), F.lit(0.01).alias("p_value"), geo.box_wkt(F.col("x"), F.col("y"), F.col("x") + F.col("side"), F.col("y") + F.col("side")).alias("geometry"))
+    folder = fresh_folder(spark, "tiles")
+    tiles.write_tiles(rows, folder, "region")
+    corners = lambda k: F.transform(F.flatten("g"), lambda p: p[k])
+    wide = lambda k: F.array_max(corners(k)) - F.array_min(corners(k))
+    dot = F.col("d").isNotNull()
+    total = lambda v: F.coalesce(F.sum(v).cast("bigint"), F.lit(0).cast("bigint"))
+    return tiles.read_tiles(spark, folder).groupBy("level", "x", "y", "kind").agg(F.count_if(~dot).alias("shapes"), F.count_if(dot).alias("dots"), total(F.coalesce("n", F.lit(1))).alias("regions"), total(wide(0)).alias("wide"), total(wide(1)).alias("high"), total(F.coalesce(F.col("d")[0], F.array_min(corners(0)))).alias("lefts"))
+
+
 
 
 def _wide(spark, d):

@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 from ..functions.geo import polygon_metrics, wkt_polygons
 from ..functions.numeric import formula_guard, hover_text, map_zoom
 from ..operators.classify import NONE
+from ..storage import shared_dir
 
 _NESTED = ("struct", "array", "map")
 #: Map colours by label (fixed values).
@@ -208,9 +209,13 @@ def _shapes(rows: list[dict], polygons: list[list | None]) -> list[str]:
     return out
 
 
+class TooManyRegions(ValueError):
+    """More regions than one page can hold."""
+
+
 def render(df: DataFrame | None, title: str = "Emerging hot spots", region: str | None = None, interactive: bool = True, most: int = PAGE) -> str:
     """An HTML page with a map of df's regions; without geometry, with their rows alone. More than `most` regions are too
-    many for a browser and raise ValueError: write them with `features` and tile them instead."""
+    many for one page and raise ValueError: `tiles.write_tiled_map` writes maps of any size."""
     if df is None or not df.columns:
         return _page(title, [], [], interactive)
     region = region or df.columns[0]
@@ -218,7 +223,7 @@ def render(df: DataFrame | None, title: str = "Emerging hot spots", region: str
     shown = df.select(facts, (polygons_of(df) if "geometry" in df.columns else F.lit(None)).alias("shape"), hover_text(F.col(region).cast("string"), F.col("classification"), F.col("tau"), F.col("p_value")).alias("hover"))
     got = shown.limit(most + 1).collect()
     if len(got) > most:
-        raise ValueError(f"a page holds at most {most} regions")
+        raise TooManyRegions(f"a page holds at most {most} regions; tiles.write_tiled_map writes maps of any size")
     rows = [x["r"].asDict() for x in got]
     marked = [r | {"region": r[region], "hover": x["hover"] or "", "colour": COLOURS.get(r["classification"], COLOURS[NONE])} for r, x in zip(rows, got, strict=True)]
     return _page(title, rows, _shapes(marked, [x["shape"] for x in got]), interactive)
@@ -231,16 +236,31 @@ def plot_map(df: DataFrame, title: str = "Emerging hot spots", region: str | Non
     return render(df, title, region, lib != "svg")
 
 
-def save_visualization(path: str, df: DataFrame | None = None, include_data: bool = True) -> str:
+def save_visualization(path: str, df: DataFrame | None = None, include_data: bool = True, most: int = PAGE) -> str:
+    """A page at path. Beyond `most` regions its tiles lie in a folder beside it, which tasks write: path must then be in
+    a folder that driver and executors share."""
     target = check_path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(render(df if include_data else None), encoding="utf-8")
+    try:
+        target.write_text(render(df if include_data else None, most=most), encoding="utf-8")
+    except TooManyRegions:
+        from .tiles import write_tiled_map
+
+        write_tiled_map(df, str(target))
     return str(target)
 
 
-def launch_visualization(df: DataFrame | None = None, auto_open: bool = True) -> str:
+def launch_visualization(df: DataFrame | None = None, auto_open: bool = True, most: int = PAGE) -> str:
+    """A page in a folder of its own, opened in a browser; beyond `most` regions in a folder of spark.checkpoint.dir, with
+    its tiles, as far as that names a mounted folder."""
     path = Path(tempfile.mkdtemp(prefix="heatlattice-map-")) / "map.html"
-    path.write_text(render(df), encoding="utf-8")
+    try:
+        path.write_text(render(df, most=most), encoding="utf-8")
+    except TooManyRegions:
+        from .tiles import write_tiled_map
+
+        path = Path(re.sub("^file:/+", "/", shared_dir(df.sparkSession))) / path.parent.name / "map.html"
+        write_tiled_map(df, str(path))
     if auto_open:
         webbrowser.open(path.as_uri())
     return str(path)
