@@ -421,7 +421,7 @@ def duck(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "p_sim_numpy", "mk_ties", "ehsa_full", "ehsa_nested", "ehsa_positional_gaps", "ehsa_error_rows", "geohash_union_polygons", "geojson_features", "shapefile_read", "csv_round_trip", "skipped_regions", "yearly_totals"])
+@pytest.mark.parametrize("name", ["cube_gaps", "queen_edges", "gi_star_k1", "gi_star_positional_gaps", "p_sim", "p_sim_numpy", "mk_ties", "ehsa_full", "ehsa_nested", "ehsa_positional_gaps", "ehsa_error_rows", "geohash_union_polygons", "geojson_features", "shapefile_read", "map_tiles", "csv_round_trip", "skipped_regions", "yearly_totals"])
 def test_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL).toPandas()
     want = duck(SMALL).execute(queries.ORACLE[name]).df()
