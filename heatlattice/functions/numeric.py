@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i)inf(inity)?|(?i)nan)$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once for each row however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def scaled_round(value: Column, digits: int) -> Column:
+    """value rounded as DuckDB rounds: the scaled double goes to the nearest integer, halves away from zero."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def to_double(value: Column, numeric: bool = False) -> Column:
     """A number as double; of text only what reads as one plain number, else null."""
     if numeric:

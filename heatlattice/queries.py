@@ -11,7 +11,7 @@ from .functions import geo, numeric, projection, validity
 from .operators import classify, cube, dissolve, gistar, overlay, permute, trend, weights
 from .plans import ehsa
 from .sources import export, ingest, shapefile_source, tiles
-from .storage import fresh_folder, staged
+from .storage import fresh_folder, spread, staged
 from .streaming import cube as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,7 +156,7 @@ _AREA_GROUP = "cast(c_nationkey % 4 as int)"
 
 
 def _codes(spark, d, code: str, *more: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.expr(code.replace("varchar(20)", "string")).alias("code"), *map(F.expr, more))
+    return spread(table(spark, d, "customer")).select("c_custkey", F.expr(code.replace("varchar(20)", "string")).alias("code"), *map(F.expr, more))
 
 
 def grid_sql(source: str, bits: int) -> str:
@@ -181,9 +181,10 @@ def geohash_bounds(spark, d):
 def geohash_geometry(spark, d):
     """The cells' outlines, read back from their text; no geometry for no code."""
     codes = _codes(spark, d, f"case when c_custkey % 10 > 0 then {_ANY_CODE} end")
-    v = geo.wkt_vertices(F.col("geometry"))
-    m = geo.with_geohash_geometry(codes, "code").select("c_custkey", F.when(v.isNotNull(), F.size(v)).alias("points"), F.when(v.isNotNull(), geo.ring_metrics(v)).alias("m"))
-    return m.select("c_custkey", "points", F.round("m.min_x", 9).alias("min_x"), F.round("m.max_y", 9).alias("max_y"), F.round("m.area", 6).alias("area"))
+    figures = lambda v: F.struct(F.size(v).alias("points"), geo.ring_metrics(v).alias("m"))
+    read = numeric.bound(geo.wkt_vertices(F.col("geometry")), lambda v: F.when(v.isNotNull(), figures(v)))
+    m = geo.with_geohash_geometry(codes, "code").select("c_custkey", read.alias("f")).select("c_custkey", "f.*")
+    return m.select("c_custkey", "points", *(numeric.scaled_round(F.col(f"m.{c}"), n).alias(c) for c, n in (("min_x", 9), ("max_y", 9), ("area", 6))))
 
 
 #: Cells that touch along more than a corner are one part; each part has all its cells of the finest precision. Its holes
