@@ -302,11 +302,11 @@ def _shapes_sql() -> str:
 def polygon_holes(spark, d):
     """Valid and broken shapes around each part's key: area and centre with holes, and validity with its reason."""
     texts = F.array(*(F.lit(s[0]) for s in _SHAPES))
-    part = table(spark, d, "part").where("p_partkey % 10 <> 8").select("p_partkey", geo.wkt_polygons(F.get(texts, (F.col("p_partkey") % 10).cast("int"))).alias("p"))
+    part = spread(table(spark, d, "part").where("p_partkey % 10 <> 8")).select("p_partkey", geo.wkt_polygons(F.get(texts, (F.col("p_partkey") % 10).cast("int"))).alias("p"))
     moved = F.transform("p", lambda rings: F.transform(rings, lambda ring: F.transform(ring, lambda v: F.struct((v["x"] + F.col("p_partkey")).alias("x"), (v["y"] + F.col("p_partkey")).alias("y")))))
-    rows = part.select("p_partkey", moved.alias("p"))
-    m = geo.polygon_metrics(F.col("p"))
-    return rows.select(F.col("p_partkey").alias("id"), F.round(m["area"], 6).alias("area"), F.round(m["cx"], 6).alias("cx"), F.round(m["cy"], 6).alias("cy"), m["valid"].alias("valid"), validity.invalid_reason(F.col("p")).alias("reason"))
+    rows = part.select("p_partkey", moved.alias("p")).select("p_partkey", "p", validity.invalid_reason(F.col("p")).alias("reason"))
+    rows = rows.select(F.col("p_partkey").alias("id"), geo.polygon_metrics(F.col("p"), F.col("reason")).alias("m"), "reason")
+    return rows.select("id", *(F.round(f"m.{c}", 6).alias(c) for c in ("area", "cx", "cy")), "m.valid", "reason")
 
 
 @query("select n_nationkey as id, round(n_nationkey * 100000.0::double / 6378137.0::double * 180 / pi(), 9) as lon, round((2 * atan(exp(n_nationkey * 100000.0::double / 6378137.0::double)) - pi() / 2) * 180 / pi(), 9) as lat from nation")

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from heatlattice import queries
-from heatlattice.functions import geo, numeric
+from heatlattice.functions import geo, numeric, validity
+
+from .test_geometry_at_scale import CASES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +33,14 @@ def test_outline_of_a_cell_and_its_figures(spark):
 def test_rounding_is_that_of_the_sql(spark):
     value = F.lit(-55.888373516499996)  # F.round gives ...516
     assert spark.range(1).select(numeric.scaled_round(value, 9)).first()[0] == -55.888373517
+
+
+def test_polygons_are_tested_once_and_many_at_a_time(spark):
+    df = queries.QUERIES["polygon_holes"](spark, SMALL)
+    told = plan(df)
+    assert told.count("ArrowEvalPython") == 1 and told.split("ArrowEvalPython", 1)[1].split("]", 1)[0].count("reasons(") == 1
+    assert told.count("aggregate(") < 12
+    assert df.rdd.getNumPartitions() > 4
+    shapes = [shape for own in CASES.values() for shape in own]
+    reasons = [reason for reason, own in CASES.items() for _ in own]
+    assert validity.problems([*shapes * 300, None]) == [*reasons * 300, None]
