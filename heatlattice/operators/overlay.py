@@ -54,10 +54,12 @@ def _upward(rows: DataFrame, m: Column) -> DataFrame:
 
 def sides(polygons: DataFrame, group: str, geometry: str, step: float = STEP) -> DataFrame:
     """(grp, x1, y1, x2, y2, m) of the polygons' sides on the grid; shells count counter-clockwise, holes clockwise."""
-    text = _C(geometry)
+    text = _C("_text")
     area = text.rlike(r"(?i)^\s*(MULTI)?POLYGON")
     shape = F.when(wkt_problem(text).isNotNull(), F.raise_error(wkt_problem(text))).when(area, wkt_polygons(text))
-    ringed = polygons.select(_C(group).alias("grp"), F.explode(shape).alias("p")).select("grp", F.posexplode("p").alias("k", "ring"))
+    # Repeated polygons cover what one does; without them more sides cancel, and no text is read twice.
+    once = polygons.select(_C(group).alias("grp"), _C(geometry).alias("_text")).distinct()
+    ringed = once.select("grp", F.explode(shape).alias("p")).select("grp", F.posexplode("p").alias("k", "ring"))
     on = lambda v: F.when(F.abs(v / step) < 2.0**LIMIT, F.round(v / step).cast("long")).otherwise(F.raise_error(F.lit("coordinates too large for this grid")))
     gridded = ringed.select("grp", "k", F.transform("ring", lambda v: F.struct(on(v["x"]).alias("x"), on(v["y"]).alias("y"))).alias("r"))
     following = F.concat(F.slice("r", F.lit(2), F.size("r")), F.slice("r", F.lit(1), F.lit(1)))

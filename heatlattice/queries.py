@@ -258,9 +258,9 @@ whole as (select g, parts as polygons, 2 * parts - (quarters - e.n + v.n) as rin
 def _land(spark, d) -> DataFrame:
     point = lambda x, y: F.concat_ws(" ", F.expr(f"string(double(x + {x}))"), F.expr(f"string(double(y + {y}))"))
     ring = lambda r: F.concat(F.lit("("), F.concat_ws(", ", *(point(*p) for p in (*r, r[0]))), F.lit(")"))
-    texts = F.array(*(F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *map(ring, rings)), F.lit(")")) for rings in _LAND_SHAPES))
-    rows = table(spark, d, "customer").selectExpr(*(f"{e} as {n}" for n, e in _LAND_COLUMNS.items()))
-    return rows.select("id", "g", F.get(texts, F.col("kind")).alias("geometry"))
+    texts = [F.concat(F.lit("POLYGON ("), F.concat_ws(", ", *map(ring, rings)), F.lit(")")) for rings in _LAND_SHAPES]
+    rows = spread(table(spark, d, "customer").selectExpr(*(f"{e} as {n}" for n, e in _LAND_COLUMNS.items())))
+    return rows.select("id", "g", F.coalesce(*(F.when(F.col("kind") == k, text) for k, text in enumerate(texts))).alias("geometry"))  # one text a row is made
 
 
 @query(f"with recursive {_LAND_SQL} select g, polygons, rings, area from whole")

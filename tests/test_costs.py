@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from heatlattice import queries
 from heatlattice.functions import geo, numeric, validity
+from heatlattice.operators import overlay
 
 from .test_geometry_at_scale import CASES
 
@@ -44,3 +45,12 @@ def test_polygons_are_tested_once_and_many_at_a_time(spark):
     shapes = [shape for own in CASES.values() for shape in own]
     reasons = [reason for reason, own in CASES.items() for _ in own]
     assert validity.problems([*shapes * 300, None]) == [*reasons * 300, None]
+
+
+def test_repeated_polygons_are_read_once(spark):
+    box, beside = "POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", "POLYGON ((1 0, 2 0, 2 1, 1 1, 1 0))"
+    rows = spark.createDataFrame([("a", box)] * 3 + [("a", beside), ("a", None), (None, box), (None, box)], "g string, w string")
+    found = {(r.grp, r.x1, r.y1, r.x2, r.y2): r.m for r in overlay.sides(rows, "g", "w", 1.0).collect()}
+    assert ("a", 1, 0, 1, 1) not in found  # the shared side cancels however often either box comes
+    assert len(found) == 6 + 4 and {abs(m) for m in found.values()} == {1}
+    assert queries._land(spark, SMALL).rdd.getNumPartitions() > 4
