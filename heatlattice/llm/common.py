@@ -128,7 +128,8 @@ def components(edges: DataFrame, u: str, v: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges, for each node that has an edge to another.
 
     Alternates star contractions; every round is written to the shared folder, nothing is gathered on the driver but a
-    checksum. A hub's edges meet their minimum by a join that adaptive execution can split, not in one group.
+    checksum: no join is a broadcast, which would pass a side through the driver in each round. A hub's edges meet their
+    minimum by a join that adaptive execution can split, not in one group.
     """
 
     def mark(e: DataFrame):
@@ -142,11 +143,12 @@ def components(edges: DataFrame, u: str, v: str, rounds: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = staged(large, "large")  # three readers: planned once, not in each of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, e = e, staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(before)
+        discard(before, large)
         now = mark(e)
         if now == seen:
             break

@@ -11,7 +11,8 @@ group and the tokens it shares with the group's union can reach the threshold fo
 an opened group only the members that pass the same bound are compared. A token counts only where the shared tokens ahead
 of it and the elements behind it, on both sides, leave room for that overlap. This repeats with the groups grown by the links,
 one member of each opened group at first, then all, until no comparison is left that could join two groups.
-Comparisons that could only repeat a known connection are never made, so groups of copies cost linear work.
+Comparisons that could only repeat a known connection are never made, so groups of copies cost linear work. Joins are
+sort-merge joins by hint: a broadcast passes a side through the driver, and dozens of them at once cost it memory.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are their own component; with fewer words
 than a shingle the whole sequence is one shingle; rows that share a doc_id are one node; rows whose doc_id is null get a
@@ -239,9 +240,10 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     bits = spark.sparkContext.broadcast(bitmap(ids.mapInArrow(_scramble(), "key long"), "key", 24))
     sets = docs.select("doc_id", "text").mapInArrow(_sets_of(width, bits), "id long, elements binary")
     sets = staged(sets, "sets")
+    bits.destroy()
     spreads = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("spread"))
-    heads = spreads.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), "elements")
-    others = pairs.join(spreads, "a").join(sets, F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("spread")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "elements")
+    heads = spreads.join(sets.hint("merge"), F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), "elements")
+    others = pairs.join(spreads.hint("merge"), "a").join(sets.hint("merge"), F.col("b") == F.col("id")).select("a", F.pmod(F.xxhash64("b"), F.col("spread")).cast("int").alias("salt"), F.lit(1).alias("role"), "b", "elements")
     met = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     out = staged(met.mapInArrow(_compared(percent), "a long, b long"), "links")
     discard(sets)
@@ -258,15 +260,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 
     leading = slim.mapInArrow(_leading(width, percent, levels), "doc_id long, n long, digest binary, tokens array<bigint>")
     classes = staged(leading.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens")).drop("digest"), "leading")
+    levels.destroy()
     # Tokens that several classes lead with, and the smallest of these; others can be of no use.
     seen = classes.select("id", "n", F.explode("tokens").alias("token")).groupBy("token")
     heads = staged(seen.agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.count("*").alias("classes")).where("classes > 1").drop("classes"), "heads")
     bits = spark.sparkContext.broadcast(bitmap(heads, "token", 26))
-    met = classes.mapInArrow(_shared(bits), "id long, n long, last long, at int, token long").join(heads, "token")
+    met = classes.mapInArrow(_shared(bits), "id long, n long, last long, at int, token long").join(heads.hint("merge"), "token")
     met = met.withColumn("behind", F.col("n") - F.col("at") - 1).drop("at")
     # Elements ahead of a token that another class leads with too, and all elements behind it.
     met = staged(met.withColumn("ahead", F.row_number().over(Window.partitionBy("id").orderBy("token")) - 1), "tokens")
     discard(classes, heads)
+    bits.destroy()
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     least_overlap = lambda x, y: F.ceil((percent * (x + y)) / F.lit(100.0 + percent) - 1e-9)
     rest = lambda x: F.ceil(percent * x / F.lit(100.0) - 1e-9) - 1  # noqa: E731  elements behind the leading ones
@@ -289,14 +293,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     group = components(links, "a", "b")
     for turn in range(2):  # the second turn compares all that is left
         # The groups so far, and the matrix of tokens by groups.
-        members = met.join(group, F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", "ahead", "behind", F.coalesce("component", "id").alias("grp"))
+        members = met.join(group.hint("merge"), F.col("id") == F.col("node"), "left").select("token", "id", "n", "last", "ahead", "behind", F.coalesce("component", "id").alias("grp"))
         shared = members.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
-        members = staged(members.join(shared, "token", "left_semi"), "members")
+        members = staged(members.join(shared.hint("merge"), "token", "left_semi"), "members")
         matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("ahead").alias("g_ahead"), F.max("behind").alias("g_behind"))
         n = F.col("n")
         opened = (
             members.select("token", "id", "n", "ahead", "behind", F.col("grp").alias("own"))
-            .join(matrix, "token")
+            .join(matrix.hint("merge"), "token")
             .where((F.col("grp") < F.col("own")) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least")))
             .where(within("g_ahead", "g_behind", n, F.greatest("least", F.ceil(percent * n / F.lit(100.0) - 1e-9))))
             .groupBy("id", "n", "grp")
@@ -304,22 +308,23 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
             .where(may_reach(F.col("c"), n, F.col("least"), F.col("most")))
             .select("id", "grp")
         )
-        asked = members.select("token", "id", "n", "last", "ahead", "behind").join(opened, "id")
+        opened = staged(opened, "opened")
+        asked = members.select("token", "id", "n", "last", "ahead", "behind").join(opened.hint("merge"), "id")
         inside = members.select("token", "grp", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"), F.col("ahead").alias("other_ahead"), F.col("behind").alias("other_behind"))
         o = F.col("other_n")
         pairs = (
-            asked.join(inside, ["token", "grp"])
+            asked.join(inside.hint("merge"), ["token", "grp"])
             .where(fits(n, o) & within("other_ahead", "other_behind", n, o))
             .groupBy("id", "n", "last", "grp", "other", "other_n", "other_last")
             .agg(F.count("*").alias("c"))
             .where(F.col("c") >= least_overlap(n, o) - F.when(F.col("last") == F.col("other_last"), F.least(rest(n), rest(o))).when(F.col("last") < F.col("other_last"), rest(n)).otherwise(rest(o)))
             .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "id", "grp", "c")
-            .join(done, ["a", "b"], "left_anti")
+            .join(done.hint("merge"), ["a", "b"], "left_anti")
         )
         if turn < 1:  # most groups join by one link
             pairs = pairs.groupBy("id", "grp").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("best")).select("best.*")
         pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-        discard(members)
+        discard(members, opened)
         if not pairs.limit(1).count():
             break
         links = links.unionByName(_links(slim, pairs, width, percent))
@@ -327,9 +332,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         group = components(links, "a", "b")
 
     reps = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    labelled = reps.join(group, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("label"))
+    labelled = reps.join(group.hint("merge"), F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("label"))
     return (
-        rows.join(labelled, "digest", "left")
+        rows.join(labelled.hint("merge"), "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
     )
 

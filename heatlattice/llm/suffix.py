@@ -408,6 +408,7 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     twice = docs.select("text").mapInArrow(_seen, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(bitmap(twice, "key", 26))
     found = staged(docs.mapInArrow(_contexts(bits), _CONTEXT), "contexts")
+    bits.destroy()
 
     covered = (F.col("windows") + LENGTH - 1).alias("bytes")
     again = staged(found.where("again").select("doc", "sig", "at", covered), "again")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from heatlattice import queries
 from heatlattice.functions import geo, numeric, validity
+from heatlattice.llm import common, jaccard
 from heatlattice.operators import overlay
 
 from .test_geometry_at_scale import CASES
@@ -54,3 +55,21 @@ def test_repeated_polygons_are_read_once(spark):
     assert ("a", 1, 0, 1, 1) not in found  # the shared side cancels however often either box comes
     assert len(found) == 6 + 4 and {abs(m) for m in found.values()} == {1}
     assert queries._land(spark, SMALL).rdd.getNumPartitions() > 4
+
+
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    told = []
+    written = common.staged
+
+    def staged(df, name):
+        told.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "staged", staged)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (9, 9)], "u long, v long")
+    assert {tuple(r) for r in common.components(edges, "u", "v").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)}
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, words), (4, "other words altogether here"), (5, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
+    assert len(told) > 10 and not any("Broadcast" in t for t in told)
