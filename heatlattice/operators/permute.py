@@ -28,6 +28,8 @@ P = 2**31 - 1
 #: Multipliers of both sequences, steps of the simulation in both starts, and what the rounds of scrambling add.
 A, STEPS, ROUNDS = (48271, 39373), (742938285, 950706376), (1226874159, 62089911)
 PORTION = 1 << 21
+#: Draws that are made at a time, so that they stay in the processor's cache.
+CACHED = 1 << 16
 #: Cells of a shard of values, as a power of two.
 SHARD_BITS = 18
 
@@ -54,14 +56,30 @@ def numbered(gi: DataFrame) -> DataFrame:
     return out.withColumns({"o": F.col("b") * F.col("regions") + F.col("r_idx"), "total": F.col("regions") * F.col("times")})
 
 
-def scrambled(x, rounds=ROUNDS):
+def scrambled(x, rounds=ROUNDS, mod=lambda v: v % P):
     """Rounds of x**5 + c modulo P, one to one on 0 to P - 1; for integers, numpy arrays and columns."""
     for c in rounds:
-        square = x * x % P
-        x = (square * square % P * x + c) % P
+        square = mod(x * x)
+        x = mod(mod(square * square) * x + c)
     return x
 
 
+def mod_p(x: np.ndarray) -> np.ndarray:
+    """x % P for int64 arrays from 0 to P * P, without a division: as P is 2**31 - 1, 2**31 counts as 1."""
+    y = x & P
+    y += x >> 31
+    y = y.view(np.uint64)
+    return np.minimum(y, y - np.uint64(P)).view(np.int64)  # the difference wraps around below P
+
+
+def mod_n(x: np.ndarray, n: int) -> np.ndarray:
+    """x % n for int64 arrays from 0; numpy divides unsigned numbers by one number without the processor's division."""
+    y = x.view(np.uint64)
+    q = y // np.uint64(n)
+    q *= np.uint64(n)
+    return (y - q).view(np.int64)
+
+
 def tries(m, total, least=min, ceil=lambda a, b: -(-a // b)):
     """How many draws are looked at first: enough for m different cells but in a vanishing share of cases."""
     return m + SLACK + ceil(2 * m * m, total) if 3 * m < total else least(20 * total, 40 * m + 200)
@@ -116,20 +134,42 @@ def starts(o: np.ndarray, nsim: int, seed: int) -> tuple[np.ndarray, np.ndarray]
     """Both starts for each cell and simulation."""
     key = scrambled((o % P * 16807 + o // P * 69621 + (seed * 40692 + 1) % P) % P)
     sim = np.arange(1, nsim + 1, dtype=np.int64)
-    return tuple(scrambled((key[:, None] + sim * c + k) % P) % (P - 1) + 1 for k, c in enumerate(STEPS))
+    return tuple(scrambled(mod_p(key[:, None] + sim * c + k), mod=mod_p) % (P - 1) + 1 for k, c in enumerate(STEPS))
+
+
+def repeats(rows: np.ndarray) -> np.ndarray:
+    """Which rows hold a number twice."""
+    if rows.shape[1] > 32:
+        order = np.sort(rows, axis=1)
+        return (order[:, 1:] == order[:, :-1]).any(axis=1)
+    columns = np.ascontiguousarray(rows.T)  # few columns are compared with each other over all rows, without a sort of each row
+    out = np.zeros(len(rows), bool)
+    for k in range(1, len(columns)):
+        out |= (columns[k:] == columns[:-k]).any(axis=0)
+    return out
 
 
 def picks(o: np.ndarray, m: int, total: int, nsim: int, seed: int) -> np.ndarray:
     """The same cells as `draws`, as an array (cell, simulation, draw), for cells with m neighbour values each."""
+    step = max(1, CACHED // (nsim * m))
+    if len(o) > step:
+        return np.concatenate([picks(o[i : i + step], m, total, nsim, seed) for i in range(0, len(o), step)])
     most = tries(m, total) if total - 1 >= m else m
     up = powers(most)
     s, t = (x.ravel() for x in starts(o, nsim, seed))
     own = np.repeat(o, nsim)
-    place = lambda at, n: (own[at, None] + 1 + (s[at, None] * up[0, :n] % P * P + t[at, None] * up[1, :n] % P) % (total - 1)) % total
+
+    def place(at, n: int) -> np.ndarray:
+        x = mod_p(s[at, None] * up[0, :n]) * P
+        x += mod_p(t[at, None] * up[1, :n])
+        x = mod_n(x, total - 1)
+        x += own[at, None] + 1
+        x -= (x >= total) * total
+        return x
+
     out = place(slice(None), m)
     if total - 1 >= m:
-        order = np.sort(out, axis=1)
-        bad = np.flatnonzero((order[:, 1:] == order[:, :-1]).any(axis=1))
+        bad = np.flatnonzero(repeats(out.astype(np.int32) if total <= P else out))
         for i in range(0, len(bad), max(1, PORTION // most)):
             at = bad[i : i + max(1, PORTION // most)]
             made = place(at, most)
@@ -247,15 +287,16 @@ def _sharded(one: DataFrame, nsim: int, seed: int) -> DataFrame:
     def drawn(o: np.ndarray, m: int):
         """The drawn cells in the order of their shards, and that order."""
         j = picks(o, m, total, nsim, seed).ravel()
-        order = np.argsort(j >> bits, kind="stable")
+        order = np.argsort((j >> bits).astype(np.min_scalar_type(total >> bits)), kind="stable")  # numpy sorts short numbers by radix
         return j[order], order
 
     def asked(batches):
         for batch in batches:
             for block, m, o in zip(*(batch.column(c).to_pylist() for c in ("block", "m", "o")), strict=True):
                 j, _ = drawn(np.array(o, np.int64), m)
-                shard, first = np.unique(j >> bits, return_index=True)
-                at = [x.astype("<u4").tobytes() for x in np.split(j & ((1 << bits) - 1), first[1:])]
+                counts = np.bincount(j >> bits)
+                shard = np.flatnonzero(counts)
+                at = [x.tobytes() for x in np.split((j & ((1 << bits) - 1)).astype("<u4"), np.cumsum(counts[shard])[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), block)), pa.array(at, pa.binary())], names=["shard", "block", "at"])
 
     # A shard with many askers is held by several tasks.

@@ -1,12 +1,13 @@
 """What costs a lot is computed once for each row, and rows of one small file go to many tasks."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from heatlattice import queries
 from heatlattice.functions import geo, numeric, validity
 from heatlattice.llm import common, jaccard
-from heatlattice.operators import overlay
+from heatlattice.operators import overlay, permute
 
 from .test_geometry_at_scale import CASES
 
@@ -73,3 +74,13 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, words), (4, "other words altogether here"), (5, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)}
     assert len(told) > 10 and not any("Broadcast" in t for t in told)
+
+
+def test_draws_without_divisions():
+    x = np.array([0, 1, permute.P - 1, permute.P, permute.P + 1, 2 * permute.P, 2**62 - 2**33, permute.P**2], np.int64)
+    assert (permute.mod_p(x) == x % permute.P).all()
+    for n in (1, 2, 3, 699, 2**31 + 11, 2**40):
+        assert (permute.mod_n(x, n) == x % n).all()
+    rows = np.random.default_rng(1).integers(0, 400, (3000, 40))
+    for m in (1, 2, 18, 40):
+        assert (permute.repeats(rows[:, :m]) == [len(set(r)) < m for r in rows[:, :m].tolist()]).all()
